@@ -1,0 +1,5 @@
+"""The workload this package covers is batch only, so there are no stream operators here.
+
+Every rule in ``foliolake.operators.validation`` is a stateless column expression and can be applied
+to a streaming DataFrame unchanged (see ``tests/test_validation.py``).
+"""
