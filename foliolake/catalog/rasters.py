@@ -121,3 +121,39 @@ SCORES_SQL = ", ".join(
         ("iou", "true_positive", "true_positive + false_positive + false_negative"),
     )
 )
+
+
+SHAPE = "shape AS (SELECT page_id, max(y) + 1 AS h, max(x) + 1 AS w FROM dense GROUP BY page_id)"
+
+
+def level_sql(value: str) -> str:
+    return f"CAST(floor(({value}) + (0.5 + 1e-9)) AS INT)"
+
+
+def border_sql(position: str, length: str, border: str) -> str:
+    if border == "edge":
+        return f"least(greatest({position}, 0), {length} - 1)"
+    period = f"(2 * ({length} - 1))"
+    folded = f"((({position}) % {period} + {period}) % {period})"
+    return f"least({folded}, {period} - {folded})"
+
+
+def smooth_sql(name: str, source: str, columns: list[str], size: int, sigma: float, border: str, shape: str = "shape") -> str:
+    """Separable Gaussian mean of the columns of a dense pixel relation."""
+    r = size // 2
+    taps = (
+        f"{name}_raw AS (SELECT k, exp(-((k - {r}) * (k - {r})) / {2 * sigma * sigma!r}) AS e FROM range({size}) t(k)), "
+        f"{name}_taps AS (SELECT k - {r} AS k, e / sum(e) OVER () AS w FROM {name}_raw)"
+    )
+
+    def one_pass(out: str, src: str, axis: str, length: str) -> str:
+        other = "x" if axis == "y" else "y"
+        sums = ", ".join(f"sum(k.w * s.{c}) AS {c}" for c in columns)
+        at = border_sql(f"t.{axis} + k.k", f"p.{length}", border)
+        return (
+            f"{out} AS (SELECT t.page_id, t.y, t.x, {sums} FROM {src} t JOIN {shape} p ON p.page_id = t.page_id "
+            f"CROSS JOIN {name}_taps k JOIN {src} s ON s.page_id = t.page_id AND s.{other} = t.{other} "
+            f"AND s.{axis} = {at} GROUP BY t.page_id, t.y, t.x)"
+        )
+
+    return f"{taps}, {one_pass(name + '_h', source, 'x', 'w')}, {one_pass(name, name + '_h', 'y', 'h')}"

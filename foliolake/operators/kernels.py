@@ -94,7 +94,8 @@ def _reduce_row(rows: pa.Array, to: pa.Array) -> pa.Array:
 
 
 def area_reduce(
-    scan: DataFrame, sized: DataFrame, inputs: Sequence[str] = ("values",), to_byte: bool = False
+    scan: DataFrame, sized: DataFrame, inputs: Sequence[str] = ("values",), to_byte: bool = False,
+    keys: Sequence[str] = (PAGE,),
 ) -> DataFrame:
     """Area-weighted shrink to ``(reduced_height, reduced_width)`` given per page in ``sized``.
 
@@ -102,11 +103,11 @@ def area_reduce(
     and are combined before the shuffle.
     """
     ratio = F.col("height") / F.col("reduced_height")
-    rows = attach_page_values(scan.select(PAGE, "y", *inputs), sized)
+    rows = attach_page_values(scan.select(*keys, "y", *inputs), sized, keys)
     low = F.floor(F.col("y") / ratio).cast("int")
     high = F.least(F.ceil((F.col("y") + 1) / ratio - 1e-12) - 1, F.col("reduced_height") - 1).cast("int")
     rows = rows.select(
-        PAGE, "y", "height", "reduced_height",
+        *keys, "y", "height", "reduced_height",
         *[_reduce_row(F.col(c), F.col("reduced_width")).alias(c) for c in inputs],
         F.explode(F.sequence(low, F.greatest(low, high))).alias("ry"),
     )
@@ -114,16 +115,16 @@ def area_reduce(
         F.least(F.col("y") + 1.0, (F.col("ry") + 1) * ratio) - F.greatest(F.col("y") * 1.0, F.col("ry") * ratio)
     ) / ratio
     rows = rows.withColumn("share", share)
-    cells = rows.select(PAGE, "ry", "share", *inputs[1:], F.posexplode(inputs[0]).alias("x", "_v0"))
+    cells = rows.select(*keys, "ry", "share", *inputs[1:], F.posexplode(inputs[0]).alias("x", "_v0"))
     sums = [F.sum(F.col("_v0") * F.col("share")).alias(inputs[0])]
     sums += [F.sum(F.get(F.col(c), F.col("x")) * F.col("share")).alias(c) for c in inputs[1:]]
-    small = cells.groupBy(PAGE, "ry", "x").agg(*sums)
+    small = cells.groupBy(*keys, "ry", "x").agg(*sums)
     line = F.array_sort(F.collect_list(F.struct("x", *inputs)))
-    value = lambda c: (lambda cell: F.rint(cell[c] + 0.0).cast("int") if to_byte else cell[c])
+    value = lambda c: (lambda cell: F.floor(cell[c] + (0.5 + 1e-9)).cast("int") if to_byte else cell[c])
     return (
-        small.groupBy(PAGE, F.col("ry").alias("y"))
+        small.groupBy(*keys, F.col("ry").alias("y"))
         .agg(line.alias("_line"))
-        .select(PAGE, "y", *[F.transform("_line", value(c)).alias(c) for c in inputs])
+        .select(*keys, "y", *[F.transform("_line", value(c)).alias(c) for c in inputs])
     )
 
 
@@ -138,8 +139,8 @@ def _divide_background(rows: pa.Array, above: pa.Array, below: pa.Array, weight:
         up = a.values.to_numpy(zero_copy_only=False)
         small = up * (1 - f) + b.values.to_numpy(zero_copy_only=False) * f
         at = (np.arange(len(line)) + 0.5) * (len(small) / len(line)) - 0.5
-        background = np.rint(np.interp(at, np.arange(len(small)), small))
-        out.append(np.minimum(255, np.rint(255 * line / np.maximum(background, 1))).astype(np.int32))
+        background = stencil.to_level(np.interp(at, np.arange(len(small)), small))
+        out.append(np.minimum(255, stencil.to_level(255 * line / np.maximum(background, 1))))
     return pa.array(out, pa.list_(pa.int32()))
 
 
@@ -160,7 +161,7 @@ def normalize_illumination(
     taps = stencil.gaussian_taps(stencil.taps_for_sigma(sigma), sigma)
 
     def blur(planes):
-        return {"field": np.rint(stencil.smooth(planes[values], taps, "edge")).astype(np.int32)}
+        return {"field": stencil.to_level(stencil.smooth(planes[values], taps, "edge"))}
 
     reduced = area_reduce(scan, sized, (values,), to_byte=True)
     field = stencil.map_bands(reduced, blur, len(taps) // 2, (values,), {"field": "int"})
@@ -194,7 +195,7 @@ def adaptive_binarize(
     offset = int(np.ceil(config.adaptive_c))
 
     def threshold(planes):
-        mean = np.rint(stencil.smooth(planes[values], taps, "edge"))
+        mean = stencil.to_level(stencil.smooth(planes[values], taps, "edge"))
         result = {out: np.where(planes[values] > mean - offset, 255, 0)}
         return {**result, **{k: planes[k] for k in keep}}
 
@@ -248,7 +249,7 @@ def cleaning_suite(
 
     def all_variants(planes):
         page, level = planes["normalized"], planes["level"][:, :1]
-        mean = np.rint(stencil.smooth(page, taps, "edge"))
+        mean = stencil.to_level(stencil.smooth(page, taps, "edge"))
         out = {
             "otsu": np.where(page > level, 255, 0),
             "adaptive": np.where(page > mean - offset, 255, 0),
@@ -281,30 +282,30 @@ def cleaning_suite(
 # --- structural similarity ------------------------------------------------------------------------
 
 
-def ssim(pairs: DataFrame, first: str, second: str) -> DataFrame:
+def ssim(pairs: DataFrame, first: str, second: str, keys: Sequence[str] = (PAGE,)) -> DataFrame:
     """Mean structural similarity per page with an 11-tap Gaussian, reflected at page edges.
 
     Pages of more than about 384 pixels on the short side are shrunk first, which cuts what the
     vertical pass shuffles. Only one (sum, count) row per band leaves the band pass.
     """
     scale = F.greatest(F.lit(1), F.rint(F.least("height", "width") / 256).cast("int"))
-    sized = page_shape(pairs, first).withColumn("scale", scale)
+    sized = page_shape(pairs, first, keys).withColumn("scale", scale)
     sized = sized.select(
-        PAGE, "height", "width", "scale",
+        *keys, "height", "width", "scale",
         F.greatest(F.lit(1), F.floor(F.col("height") / F.col("scale"))).cast("int").alias("reduced_height"),
         F.greatest(F.lit(1), F.floor(F.col("width") / F.col("scale"))).cast("int").alias("reduced_width"),
     )
     sized = shared(sized)
-    asis = sized.where("scale = 1").select(PAGE)
-    plain = attach_page_values(pairs.select(PAGE, "y", first, second), asis).select(
-        PAGE, "y",
+    asis = sized.where("scale = 1").select(*keys)
+    plain = attach_page_values(pairs.select(*keys, "y", first, second), asis, keys).select(
+        *keys, "y",
         F.col(first).cast("array<double>").alias("a"),
         F.col(second).cast("array<double>").alias("b"),
     )
     large = pairs.select(
-        PAGE, "y", F.col(first).cast("array<double>").alias("a"), F.col(second).cast("array<double>").alias("b")
+        *keys, "y", F.col(first).cast("array<double>").alias("a"), F.col(second).cast("array<double>").alias("b")
     )
-    reduced = area_reduce(large, sized.where("scale > 1"), ("a", "b"))
+    reduced = area_reduce(large, sized.where("scale > 1"), ("a", "b"), keys=keys)
     taps = stencil.gaussian_taps(11, 1.5)
 
     def score(planes, core):
@@ -318,7 +319,7 @@ def ssim(pairs: DataFrame, first: str, second: str) -> DataFrame:
         return {"total": float(value.sum()), "cells": int(value.size)}
 
     parts = stencil.reduce_bands(
-        plain.unionByName(reduced), score, 5, ("a", "b"), {"total": "double", "cells": "bigint"}
+        plain.unionByName(reduced), score, 5, ("a", "b"), {"total": "double", "cells": "bigint"}, keys
     )
     mean = F.sum("total") / F.sum("cells")
-    return parts.groupBy(PAGE).agg(F.greatest(F.least(mean, F.lit(1.0)), F.lit(-1.0)).alias("ssim"))
+    return parts.groupBy(*keys).agg(F.greatest(F.least(mean, F.lit(1.0)), F.lit(-1.0)).alias("ssim"))

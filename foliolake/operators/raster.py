@@ -28,14 +28,16 @@ def to_scanlines(pixels: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return pixels.groupBy(PAGE, "y", *keep).agg(F.transform(cells, lambda c: c["v"]).alias("values"))
 
 
-def page_shape(scan: DataFrame, values: str = "values") -> DataFrame:
+def page_shape(scan: DataFrame, values: str = "values", keys: Sequence[str] = (PAGE,)) -> DataFrame:
     """One row per page: height and width."""
-    return scan.groupBy(PAGE).agg(
+    return scan.groupBy(*keys).agg(
         (F.max("y") + 1).cast("int").alias("height"), F.max(F.size(values)).alias("width")
     )
 
 
-def attach_page_values(scan: DataFrame, facts: DataFrame, copies: int = 16) -> DataFrame:
+def attach_page_values(
+    scan: DataFrame, facts: DataFrame, keys: Sequence[str] = (PAGE,), copies: int = 16
+) -> DataFrame:
     """Join one-row-per-page ``facts`` to scanlines without gathering a page in one task.
 
     The small side is copied ``copies`` times and the scanlines of a page are dealt over the copies
@@ -45,7 +47,7 @@ def attach_page_values(scan: DataFrame, facts: DataFrame, copies: int = 16) -> D
     dealt = facts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return (
         scan.withColumn("_copy", F.pmod(F.col("y"), F.lit(copies)).cast("int"))
-        .join(dealt, [PAGE, "_copy"])
+        .join(dealt, [*keys, "_copy"])
         .drop("_copy")
     )
 

@@ -124,6 +124,11 @@ def reduce_bands(
 # --- arithmetic of one band ---------------------------------------------------------------------
 
 
+def to_level(values: np.ndarray) -> np.ndarray:
+    """Half-up rounding with a little slack, so the order of a float sum cannot change a pixel."""
+    return np.floor(values + (0.5 + 1e-9)).astype(np.int32)
+
+
 def gaussian_taps(size: int, sigma: float) -> np.ndarray:
     at = np.arange(size) - (size - 1) / 2
     weights = np.exp(-(at**2) / (2 * sigma * sigma))
