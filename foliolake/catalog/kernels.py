@@ -126,7 +126,7 @@ def adaptive_binarized(spark, sf):
 def cross_sql(name: str, source: str, grow: bool) -> str:
     agg = "max" if grow else "min"
     return (
-        f"{name} AS (SELECT t.page_id, t.y, t.x, {agg}(s.v) AS v FROM {source} t JOIN {source} s ON s.page_id = t.page_id "
+        f"{name} AS MATERIALIZED (SELECT t.page_id, t.y, t.x, {agg}(s.v) AS v FROM {source} t JOIN {source} s ON s.page_id = t.page_id "
         f"AND abs(s.y - t.y) + abs(s.x - t.x) <= 1 AND s.y BETWEEN t.y - 1 AND t.y + 1 AND s.x BETWEEN t.x - 1 AND t.x + 1 "
         f"GROUP BY t.page_id, t.y, t.x)"
     ).replace(
@@ -140,7 +140,7 @@ def cross_sql(name: str, source: str, grow: bool) -> str:
 def chain_sql(source: str, name: str, operation: str) -> str:
     """Ink-side morphology of a binary page as a chain of cross windows."""
     steps = kernels._morphology_steps(operation, 1)
-    parts, last = [f"{name}_0 AS (SELECT page_id, y, x, 255 - v AS v FROM {source})"], f"{name}_0"
+    parts, last = [f"{name}_0 AS MATERIALIZED (SELECT page_id, y, x, 255 - v AS v FROM {source})"], f"{name}_0"
     for i, grow in enumerate(steps, start=1):
         parts.append(cross_sql(f"{name}_{i}", last, grow))
         last = f"{name}_{i}"

@@ -166,7 +166,7 @@ def ellipse_spans(size: int) -> list[tuple[int, int]]:
 
 def spread(plane: np.ndarray, spans: Sequence[tuple[int, int]], grow: bool) -> np.ndarray:
     """Moving maximum (``grow``) or minimum over the element; pixels outside the page do not count."""
-    pick, neutral = (np.maximum, -1) if grow else (np.minimum, 1 << 20)
+    pick, neutral = (np.maximum, -1) if grow else (np.minimum, 1 << 30)
     ry, rx = max(abs(dy) for dy, _ in spans), max(dx for _, dx in spans)
     height, width = plane.shape
     padded = np.pad(plane.astype(np.int32), ((ry, ry), (rx, rx)), constant_values=neutral)
