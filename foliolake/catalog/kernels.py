@@ -124,17 +124,13 @@ def adaptive_binarized(spark, sf):
 
 
 def cross_sql(name: str, source: str, grow: bool) -> str:
-    agg = "max" if grow else "min"
-    return (
-        f"{name} AS MATERIALIZED (SELECT t.page_id, t.y, t.x, {agg}(s.v) AS v FROM {source} t JOIN {source} s ON s.page_id = t.page_id "
-        f"AND abs(s.y - t.y) + abs(s.x - t.x) <= 1 AND s.y BETWEEN t.y - 1 AND t.y + 1 AND s.x BETWEEN t.x - 1 AND t.x + 1 "
-        f"GROUP BY t.page_id, t.y, t.x)"
-    ).replace(
-        f"FROM {source} t JOIN {source} s ON s.page_id = t.page_id AND abs(s.y - t.y) + abs(s.x - t.x) <= 1 "
-        f"AND s.y BETWEEN t.y - 1 AND t.y + 1 AND s.x BETWEEN t.x - 1 AND t.x + 1 ",
-        f"FROM {source} t CROSS JOIN (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dy,dx) JOIN {source} s "
-        f"ON s.page_id = t.page_id AND s.y = t.y + o.dy AND s.x = t.x + o.dx ",
+    """Moving maximum or minimum over the 3 x 3 cross; neighbours off the page do not count."""
+    pick = "greatest" if grow else "least"
+    near = ", ".join(
+        f"{f}(v, 1, v) OVER (PARTITION BY page_id, {a} ORDER BY {b})"
+        for f in ("lag", "lead") for a, b in (("y", "x"), ("x", "y"))
     )
+    return f"{name} AS MATERIALIZED (SELECT page_id, y, x, {pick}(v, {near}) AS v FROM {source})"
 
 
 def chain_sql(source: str, name: str, operation: str) -> str:

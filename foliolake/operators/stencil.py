@@ -10,10 +10,11 @@ the kernel's own border rule.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,18 +38,55 @@ def list_of(plane: np.ndarray, type_: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(plane).ravel(), type=type_))
 
 
-def band_rows(scan: DataFrame, radius: int, keys: Sequence[str] = (PAGE,), rows: int = BAND_ROWS) -> DataFrame:
+def band_rows(scan: DataFrame, radius: int, rows: int = BAND_ROWS) -> DataFrame:
     """Scanlines copied to every band that reads them."""
     first = F.greatest(F.floor((F.col("y") - radius) / rows), F.lit(0))
     last = F.floor((F.col("y") + radius) / rows)
     return scan.withColumn("band", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
 
 
-def _sorted_band(table: pa.Table, band: int, rows: int) -> tuple[pa.Table, np.ndarray, slice] | None:
-    table = table.sort_by("y")
-    y = table.column("y").to_numpy()
-    lo, hi = np.searchsorted(y, [band * rows, (band + 1) * rows])
-    return None if lo == hi else (table, y, slice(int(lo), int(hi)))
+def group_tables(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[list[pa.Table]]:
+    """Complete groups of a partition sorted by ``keys``, a list per Arrow batch; holds one open group."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held:
+            table = pa.concat_tables([*held, table]).combine_chunks()
+        changed = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            column = table.column(k)
+            changed |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), False).to_numpy()
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), table.num_rows]
+        yield [table.slice(lo, hi - lo) for lo, hi in zip(cuts[:-2], cuts[1:-1])]
+        held = [table.slice(cuts[-2])] if len(cuts) > 1 else []
+    if held and held[0].num_rows:
+        yield held
+
+
+def map_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[list[pa.Table]], list[pa.Table]],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """Run ``fn`` on lists of whole groups, each sorted by ``order``.
+
+    Groups are clustered by hash and streamed many to an Arrow batch, so small groups cost no round
+    trip of their own. A group must be bounded by construction (a band, a tile), never a whole page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in group_tables(batches, keys):
+            made = [t for t in fn(groups) if t is not None and t.num_rows] if groups else []
+            if made:
+                yield from pa.concat_tables(made).combine_chunks().to_batches()
+
+    clustered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return clustered.mapInArrow(run, schema)
+
+
+def _owned(table: pa.Table, rows: int) -> slice | None:
+    band = table.column("band")[0].as_py()
+    lo, hi = np.searchsorted(table.column("y").to_numpy(), [band * rows, (band + 1) * rows])
+    return None if lo == hi else slice(int(lo), int(hi))
 
 
 def map_bands(
@@ -67,21 +105,17 @@ def map_bands(
     page-wide scalar columns passed through.
     """
     element = {"int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64())}
-    source = band_rows(scan.select(*keys, "y", *carry, *inputs), radius, keys, rows)
+    passed, names = [*keys, "y", *carry], list(inputs)
+    source = band_rows(scan.select(*passed, *names), radius, rows)
     schema = T.StructType(
-        [source.schema[c] for c in (*keys, "y", *carry)]
+        [source.schema[c] for c in passed]
         + [T.StructField(n, T.ArrayType(element[t][0])) for n, t in outputs.items()]
     )
-    passed, names = [*keys, "y", *carry], list(inputs)
 
-    def one_band(key: tuple, table: pa.Table) -> pa.Table:
-        found = _sorted_band(table, key[-1].as_py(), rows)
-        if found is None:
-            return pa.table(
-                {**{c: table.column(c).slice(0, 0) for c in passed},
-                 **{n: pa.array([], pa.list_(element[t][1])) for n, t in outputs.items()}}
-            )
-        table, _, core = found
+    def one_band(table: pa.Table) -> pa.Table | None:
+        core = _owned(table, rows)
+        if core is None:
+            return None
         result = kernel({n: plane_of(table.column(n)) for n in names})
         kept = table.slice(core.start, core.stop - core.start)
         return pa.table(
@@ -89,7 +123,7 @@ def map_bands(
              **{n: list_of(result[n][core], element[t][1]) for n, t in outputs.items()}}
         )
 
-    return source.groupBy(*keys, "band").applyInArrow(one_band, schema)
+    return map_groups(source, [*keys, "band"], ["y"], lambda groups: [one_band(t) for t in groups], schema)
 
 
 def reduce_bands(
@@ -103,22 +137,23 @@ def reduce_bands(
 ) -> DataFrame:
     """One row of partial sums per band; ``kernel`` gets the planes and the owned rows."""
     types = {"bigint": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64())}
-    source = band_rows(scan.select(*keys, "y", *inputs), radius, keys, rows)
+    names, page_keys = list(inputs), list(keys)
+    source = band_rows(scan.select(*page_keys, "y", *names), radius, rows)
     schema = T.StructType(
         [source.schema[c] for c in keys] + [T.StructField(n, types[t][0]) for n, t in outputs.items()]
     )
-    names, page_keys = list(inputs), list(keys)
 
-    def one_band(key: tuple, table: pa.Table) -> pa.Table:
-        found = _sorted_band(table, key[-1].as_py(), rows)
-        size = 0 if found is None else 1
-        sums = {} if found is None else kernel({n: plane_of(found[0].column(n)) for n in names}, found[2])
+    def one_band(table: pa.Table) -> pa.Table | None:
+        core = _owned(table, rows)
+        if core is None:
+            return None
+        sums = kernel({n: plane_of(table.column(n)) for n in names}, core)
         return pa.table(
-            {**{c: table.column(c).slice(0, size) for c in page_keys},
-             **{n: pa.array([sums[n]] if size else [], types[t][1]) for n, t in outputs.items()}}
+            {**{c: table.column(c).slice(0, 1) for c in page_keys},
+             **{n: pa.array([sums[n]], types[t][1]) for n, t in outputs.items()}}
         )
 
-    return source.groupBy(*keys, "band").applyInArrow(one_band, schema)
+    return map_groups(source, [*keys, "band"], ["y"], lambda groups: [one_band(t) for t in groups], schema)
 
 
 # --- arithmetic of one band ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ memory of a task does not grow with the page.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from foliolake.constants import CLASSES
 from foliolake.functions import pixel
 from foliolake.operators.raster import PAGE, attach_page_values, page_shape
-from foliolake.operators.stencil import list_of, plane_of
+from foliolake.operators.stencil import list_of, map_groups, plane_of
 
 CHANNELS = ("cleaning", *CLASSES)
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -104,73 +105,80 @@ def _pad(tile_values: np.ndarray, size: int) -> np.ndarray:
     return np.pad(tile_values, ((0, size - height), (0, size - width)), mode="reflect")
 
 
-def score_tiles(pieces: DataFrame, scorer: Scorer, tile: int) -> DataFrame:
-    """Run ``scorer`` on every tile: ``(tile, tile)`` intensities in, ``(5, tile, tile)`` logits out.
+def score_tiles(pieces: DataFrame, scorer: Scorer, tile: int, cells_per_call: int = 1 << 22) -> DataFrame:
+    """Run ``scorer`` on batches of tiles: ``(n, tile, tile)`` intensities to ``(n, 5, tile, tile)`` logits.
 
     The channels are the cleaning logit and the four class logits. Rows leave already weighted by the
     blend window. ``scorer`` is serialized to the executors once per task; load weights lazily in it.
     """
     axis = blend_axis(tile)
     lists = ", ".join(f"{c} array<double>" for c in CHANNELS)
+    at_once = max(1, cells_per_call // (tile * tile))
 
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        import time
+    def score(tables: list[pa.Table]) -> list[pa.Table]:
+        return [row for i in range(0, len(tables), at_once) for row in score_batch(tables[i : i + at_once])]
 
-        table = table.sort_by("y")
-        values = plane_of(table.column("piece")).astype(np.float64) / 255.0
-        height, width = values.shape
+    def score_batch(tables: list[pa.Table]) -> list[pa.Table]:
+        planes = [plane_of(t.column("piece")).astype(np.float64) / 255.0 for t in tables]
+        batch = np.stack([_pad(p, tile) for p in planes])
         started = time.perf_counter()
-        logits = scorer(_pad(values, tile))[:, :height, :width]
-        seconds = time.perf_counter() - started
-        window = axis[:height, None] * axis[None, :width]
-        kept = {c: table.column(c) for c in (PAGE, "height", "width", "y", "left")}
-        scored = {c: list_of(logits[i] * window, pa.float64()) for i, c in enumerate(CHANNELS)}
-        spent = pa.array([seconds / height] * height, pa.float64())
-        rows = pa.array(axis[:height], pa.float64())
-        return pa.table({**kept, **scored, "row_weight": rows, "seconds": spent})
-
-    dtype = dict(pieces.dtypes)
-    return pieces.groupBy(PAGE, "top", "left").applyInArrow(
-        score,
-        f"{PAGE} {dtype[PAGE]}, height {dtype['height']}, width {dtype['width']}, y {dtype['y']}, "
-        f"left int, {lists}, row_weight double, seconds double",
+        logits = scorer(batch)
+        seconds = (time.perf_counter() - started) / len(tables)
+        out = []
+        for table, plane, z in zip(tables, planes, logits):
+            height, width = plane.shape
+            window = axis[:height, None] * axis[None, :width]
+            out.append(
+                pa.table(
+                    {
+                        **{c: table.column(c) for c in (PAGE, "height", "width", "top", "left", "y")},
+                        **{c: list_of(z[i, :height, :width] * window, pa.float64()) for i, c in enumerate(CHANNELS)},
+                        "row_weight": pa.array(axis[:height], pa.float64()),
+                        "seconds": pa.array(np.full(height, seconds / height), pa.float64()),
+                    }
+                )
+            )
+        return out
+
+    d = dict(pieces.dtypes)
+    return map_groups(
+        pieces, [PAGE, "top", "left"], ["y"], score,
+        f"{PAGE} {d[PAGE]}, height {d['height']}, width {d['width']}, top {d['top']}, left {d['left']}, y {d['y']}, "
+        f"{lists}, row_weight double, seconds double",
     )
 
 
-def blend_rows(scored: DataFrame, tile: int) -> DataFrame:
+def blend_rows(scored: DataFrame, tile: int, band: int = 64) -> DataFrame:
     """Weighted mean of overlapping tiles per scanline; a group is the few tiles over one band of rows."""
-    axis, band = blend_axis(tile), 64
+    axis = blend_axis(tile)
     lists = ", ".join(f"{c} array<double>" for c in CHANNELS)
 
-    def blend(key: tuple, table: pa.Table) -> pa.Table:
-        width = table.column("width")[0].as_py()
-        y = table.column("y").to_numpy()
-        left = table.column("left").to_numpy()
-        ys, row_of = np.unique(y, return_inverse=True)
-        total = {c: np.zeros((len(ys), width)) for c in CHANNELS}
-        weight = np.zeros((len(ys), width))
-        row_weight = table.column("row_weight").to_numpy()
-        for start in np.unique(left):
-            part = np.flatnonzero(left == start)
-            span = slice(int(start), min(int(start) + tile, width))
-            columns = span.stop - span.start
-            np.add.at(weight[:, span], row_of[part], row_weight[part, None] * axis[None, :columns])
-            chosen = table.take(pa.array(part))
-            for c in CHANNELS:
-                np.add.at(total[c][:, span], row_of[part], plane_of(chosen.column(c)))
+    def blend(table: pa.Table) -> pa.Table:
+        y, left = table.column("y").to_numpy(), table.column("left").to_numpy()
+        top, row_weight = table.column("top").to_numpy(), table.column("row_weight").to_numpy()
+        low, high, width = int(y.min()), int(y.max()) + 1, table.column("width")[0].as_py()
+        total = np.zeros((len(CHANNELS), high - low, width))
+        weight = np.zeros((high - low, width))
+        cuts = [0, *(np.flatnonzero((np.diff(left) != 0) | (np.diff(top) != 0)) + 1).tolist(), len(y)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            rows = slice(int(y[lo]) - low, int(y[hi - 1]) - low + 1)
+            columns = slice(int(left[lo]), min(int(left[lo]) + tile, width))
+            weight[rows, columns] += row_weight[lo:hi, None] * axis[None, : columns.stop - columns.start]
+            for i, c in enumerate(CHANNELS):
+                total[i, rows, columns] += plane_of(table.column(c).slice(lo, hi - lo))
+        page = pa.array([table.column(PAGE)[0].as_py()] * (high - low), table.column(PAGE).type)
         return pa.table(
             {
-                PAGE: pa.array([table.column(PAGE)[0].as_py()] * len(ys), table.column(PAGE).type),
-                "y": pa.array(ys, table.column("y").type),
-                **{c: list_of(total[c] / weight, pa.float64()) for c in CHANNELS},
+                PAGE: page,
+                "y": pa.array(np.arange(low, high), table.column("y").type),
+                **{c: list_of(total[i] / weight, pa.float64()) for i, c in enumerate(CHANNELS)},
             }
         )
 
     dtype = dict(scored.dtypes)
-    return (
-        scored.withColumn("band", F.floor(F.col("y") / band))
-        .groupBy(PAGE, "band")
-        .applyInArrow(blend, f"{PAGE} {dtype[PAGE]}, y {dtype['y']}, {lists}")
+    return map_groups(
+        scored.withColumn("band", F.floor(F.col("y") / band)), [PAGE, "band"], ["top", "left", "y"],
+        lambda tables: [blend(t) for t in tables], f"{PAGE} {dtype[PAGE]}, y {dtype['y']}, {lists}",
     )
 
 
