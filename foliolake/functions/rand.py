@@ -66,5 +66,5 @@ def sample_seed(seed, epoch, index) -> Column:
 
 
 def pick(options: Column, *parts) -> Column:
-    """One element of an array, drawn with replacement."""
-    return F.element_at(options, (F.floor(unit_uniform(*parts) * F.size(options)) + 1).cast("int"))
+    """One element of an array, drawn with replacement; NULL from an empty array."""
+    return F.get(options, F.floor(unit_uniform(*parts) * F.size(options)).cast("int"))

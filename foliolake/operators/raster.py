@@ -36,18 +36,19 @@ def page_shape(scan: DataFrame, values: str = "values", keys: Sequence[str] = (P
 
 
 def attach_page_values(
-    scan: DataFrame, facts: DataFrame, keys: Sequence[str] = (PAGE,), copies: int = 16
+    scan: DataFrame, facts: DataFrame, keys: Sequence[str] = (PAGE,), deal: str = "y", copies: int = 16,
+    how: str = "inner",
 ) -> DataFrame:
     """Join one-row-per-page ``facts`` to scanlines without gathering a page in one task.
 
     The small side is copied ``copies`` times and the scanlines of a page are dealt over the copies
-    by ``y``, so a page with a third of all rows still spreads. When Spark finds the facts small
+    by ``deal``, so a page with a third of all rows still spreads. When Spark finds the facts small
     enough it broadcasts them at run time and the copies cost nothing.
     """
     dealt = facts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return (
-        scan.withColumn("_copy", F.pmod(F.col("y"), F.lit(copies)).cast("int"))
-        .join(dealt, [*keys, "_copy"])
+        scan.withColumn("_copy", F.pmod(F.col(deal), F.lit(copies)).cast("int"))
+        .join(dealt, [*keys, "_copy"], how)
         .drop("_copy")
     )
 
