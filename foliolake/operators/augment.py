@@ -7,6 +7,8 @@ this package.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,15 +69,20 @@ def noise_coefficients(seed: Column, y: Column) -> Column:
     )
 
 
+def _normal(c: np.ndarray, width: int) -> np.ndarray:
+    """Standard normal values of scanlines from their coefficients ``(rows, 8)``."""
+    x = np.arange(1, width + 1, dtype=np.int64)[None, :]
+    c = c.astype(np.int64)[:, :, None]
+    first = (((c[:, 3] * x + c[:, 2]) % PRIME * x + c[:, 1]) % PRIME * x + c[:, 0]) % PRIME
+    second = (((c[:, 7] * x + c[:, 6]) % PRIME * x + c[:, 5]) % PRIME * x + c[:, 4]) % PRIME
+    return np.sqrt(-2 * np.log((first + 1) / PRIME)) * np.cos(2 * np.pi * (second / PRIME))
+
+
 @F.arrow_udf("array<int>")
 def _add_noise(rows: pa.Array, coefficients: pa.Array, sigma: pa.Array) -> pa.Array:
     out = []
     for row, c, s in zip(_rows(rows, np.float64), _rows(coefficients, np.int64), sigma.to_pylist()):
-        x = np.arange(1, len(row) + 1, dtype=np.int64)
-        first = (((c[3] * x + c[2]) % PRIME * x + c[1]) % PRIME * x + c[0]) % PRIME
-        second = (((c[7] * x + c[6]) % PRIME * x + c[5]) % PRIME * x + c[4]) % PRIME
-        normal = np.sqrt(-2 * np.log((first + 1) / PRIME)) * np.cos(2 * np.pi * (second / PRIME))
-        out.append(_clip(row + s * normal))
+        out.append(_clip(row + s * _normal(c[None, :], len(row))[0]))
     return _list_array(out, pa.int32())
 
 
@@ -102,13 +109,17 @@ def cubic_weights(position: np.ndarray, size: int, length: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def _light(y: np.ndarray, height: int, width: int, cells: np.ndarray) -> np.ndarray:
+    """Light field of the rows ``y`` from a flat square grid."""
+    g = int(np.sqrt(len(cells)))
+    return cubic_weights(y, g, height) @ cells.reshape(g, g) @ cubic_weights(np.arange(width), g, width).T
+
+
 @F.arrow_udf("array<int>")
 def _shade(rows: pa.Array, y: pa.Array, height: pa.Array, grid: pa.Array) -> pa.Array:
     out = []
     for row, at, tall, cells in zip(_rows(rows, np.float64), y.to_pylist(), height.to_pylist(), _rows(grid, np.float64)):
-        g = int(np.sqrt(len(cells)))
-        down = cubic_weights(np.array([at]), g, tall)[0] @ cells.reshape(g, g)
-        out.append(_clip(row * (cubic_weights(np.arange(len(row)), g, len(row)) @ down)))
+        out.append(_clip(row * _light(np.array([at]), tall, len(row), cells)[0]))
     return _list_array(out, pa.int32())
 
 
@@ -120,7 +131,7 @@ def uneven_illumination(values: Column, y: Column, height: Column, grid: Column)
 # --- stains -----------------------------------------------------------------------------------------
 
 
-def stain_shapes(pages: DataFrame) -> DataFrame:
+def stain_shapes(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Seeded ellipses in draw order for pages ``page_id, seed, height, width`` and stain parameters.
 
     Blobs come first, then speckles; every shape is one row, so a page with many of them spreads.
@@ -140,31 +151,35 @@ def stain_shapes(pages: DataFrame) -> DataFrame:
     return shapes.select(
         PAGE, "shape", F.floor(u("x") * F.col("width")).cast("int").alias("cx"), F.floor(u("y") * F.col("height")).cast("int").alias("cy"),
         rx.cast("int").alias("rx"), ry.cast("int").alias("ry"), F.greatest(F.lit(1), half_even(ink_limit * strength)).cast("int").alias("ink"),
-        "height",
+        "height", *keep,
     )
 
 
-def stain_spans(shapes: DataFrame) -> DataFrame:
-    """Shapes as spans per row; a group holds the shapes that touch one row of one page."""
-    rows = shapes.withColumn(
+def stain_spans(shapes: DataFrame, step: str | None = None) -> DataFrame:
+    """Shapes as spans per row, flat ``step, x0, x1, ink`` in draw order.
+
+    A group holds the shapes that touch one row of one page.
+    """
+    rows = shapes.withColumn("_step", F.lit(0) if step is None else F.col(step)).withColumn(
         "y", F.explode(F.sequence(F.greatest(F.col("cy") - F.col("ry"), F.lit(0)), F.least(F.col("cy") + F.col("ry"), F.col("height") - 1)))
     )
     slope = F.coalesce(F.try_divide((F.col("y") - F.col("cy")) * 1.0, F.col("ry")), F.lit(0.0))
     half = F.floor(F.col("rx") * F.sqrt(F.greatest(1 - slope * slope, F.lit(0.0))) + 1e-9).cast("int")
-    cell = F.struct("shape", (F.col("cx") - half).alias("x0"), (F.col("cx") + half + 1).alias("x1"), "ink")
-    flat = F.flatten(F.transform(F.array_sort(F.collect_list(cell)), lambda c: F.array(c["x0"], c["x1"], c["ink"])))
-    return rows.groupBy(PAGE, "y").agg(flat.alias("spans"))
+    cell = F.struct("shape", "_step", (F.col("cx") - half).alias("x0"), (F.col("cx") + half + 1).alias("x1"), "ink")
+    spread = F.transform(F.array_sort(F.collect_list(cell)), lambda c: F.array(c["_step"], c["x0"], c["x1"], c["ink"]))
+    return rows.groupBy(PAGE, "y").agg(F.flatten(spread).alias("spans"))
 
 
 @F.arrow_udf("array<int>")
-def _paint(rows: pa.Array, spans: pa.Array) -> pa.Array:
+def _paint(rows: pa.Array, spans: pa.Array, steps: pa.Array) -> pa.Array:
+    """Stain masks of a scanline, one after the other per step; the last shape wins."""
     out = []
-    for row, flat in zip(rows, spans):
-        mask = np.zeros(len(row.values), dtype=np.int32)
+    for row, flat, count in zip(rows, spans, steps.to_pylist()):
+        masks = np.zeros((count, len(row.values)), dtype=np.int32)
         if flat.is_valid:
-            for x0, x1, ink in flat.values.to_numpy(zero_copy_only=False).reshape(-1, 3):
-                mask[max(x0, 0) : max(x1, 0)] = ink
-        out.append(mask)
+            for step, x0, x1, ink in flat.values.to_numpy(zero_copy_only=False).reshape(-1, 4):
+                masks[step, max(x0, 0) : max(x1, 0)] = ink
+        out.append(masks.ravel())
     return _list_array(out, pa.int32())
 
 
@@ -182,7 +197,7 @@ def stains(scan: DataFrame, pages: DataFrame, values: str = "values") -> DataFra
     """
     spans = stain_spans(stain_shapes(pages))
     soft = pages.select(PAGE, stain_sigma(F.col("height"), F.col("width"), F.col("blob_radius_fraction")).alias("_sigma"))
-    painted = attach_page_values(scan, soft).join(spans, [PAGE, "y"], "left").withColumn("_mask", _paint(F.col(values), "spans"))
+    painted = attach_page_values(scan, soft).join(spans, [PAGE, "y"], "left").withColumn("_mask", _paint(F.col(values), "spans", F.lit(1)))
     largest = pages.agg(F.max(F.least("height", "width") * F.col("blob_radius_fraction"))).first()[0] or 1.0
     reach = int(np.ceil(3 * max(0.5, max(1.0, largest) * 0.18))) + 1
 
@@ -197,48 +212,98 @@ def stains(scan: DataFrame, pages: DataFrame, values: str = "values") -> DataFra
 # --- chain ------------------------------------------------------------------------------------------
 
 PARAMETERS = ("radius", "sigma", "strength", "grid_size", "opacity", "blob_count", "blob_radius_fraction", "speckle_density")
+CODES = {"jpeg": 0, "blur": 1, "gaussian_noise": 2, "uneven_illumination": 3, "stains": 4}
+
+
+def _recipe_facts(recipes: DataFrame, shape: DataFrame) -> DataFrame:
+    """Per page: operation codes, one softening number per step, light grids and the halo it needs."""
+    ops = F.col("_ops")
+    each = lambda f: F.transform(ops, f)
+    code = lambda o: F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), o["family"])
+    soft = lambda o: stain_sigma(F.col("height"), F.col("width"), o["parameters"]["blob_radius_fraction"])
+    number = lambda o: (
+        F.when(o["family"] == "blur", o["parameters"]["radius"]).when(o["family"] == "gaussian_noise", o["parameters"]["sigma"])
+        .when(o["family"] == "stains", soft(o)).otherwise(F.lit(0.0))
+    )
+    blank = F.array_repeat(F.lit(0.0), MAX_GRID * MAX_GRID)
+    grid = lambda o: F.when(
+        o["family"] == "uneven_illumination",
+        F.slice(F.concat(light_grid(o["seed"], o["parameters"]["strength"], o["parameters"]["grid_size"]), blank), 1, MAX_GRID * MAX_GRID),
+    ).otherwise(blank)
+    has = lambda family: F.exists(ops, lambda o: o["family"] == family)
+    none = F.array().cast("array<double>")
+    halo = F.aggregate(
+        F.filter(ops, lambda o: o["family"].isin("blur", "stains")), F.lit(0.0), lambda a, o: a + F.greatest(F.lit(1.0), F.ceil(number(o) * 3))
+    )
+    ordered = recipes.select(PAGE, F.array_sort("degradations", lambda a, b: a["order"] - b["order"]).alias("_ops"))
+    return ordered.join(shape, PAGE).select(
+        PAGE, "height", "width", "_ops", each(code).alias("_codes"), each(number).alias("_numbers"),
+        each(lambda o: F.when(o["family"] == "uneven_illumination", o["parameters"]["grid_size"]).otherwise(F.lit(0.0))).alias("_sizes"),
+        F.when(has("uneven_illumination"), F.flatten(each(grid))).otherwise(none).alias("_grids"),
+        has("stains").alias("_stained"), halo.alias("_halo"),
+    )
+
+
+def _recipe_stains(facts: DataFrame) -> DataFrame:
+    """Stain spans of every step of every recipe."""
+    ops = facts.select(PAGE, "height", "width", F.posexplode("_ops").alias("_step", "o")).where(F.col("o.family") == "stains")
+    pages = ops.select(
+        PAGE, "height", "width", "_step", F.col("o.seed").alias("seed"),
+        *[F.col("o.parameters")[p].alias(p) for p in ("opacity", "blob_count", "blob_radius_fraction", "speckle_density")],
+    )
+    return stain_spans(stain_shapes(pages, ("_step",)), "_step")
+
+
+def _apply(planes) -> np.ndarray:
+    """All operations of one page's recipe on one band, in order."""
+    values = planes["values"]
+    height, width = int(planes["_height"][0, 0]), values.shape[1]
+    cells, draws = MAX_GRID * MAX_GRID, 8
+    for step, code in enumerate(planes["_codes"][0]):
+        number = float(planes["_numbers"][0, step])
+        if code == CODES["blur"]:
+            values = _clip(stencil.smooth(values, blur_taps(number), "edge"))
+        elif code == CODES["gaussian_noise"]:
+            values = _clip(values + number * _normal(planes["_noise"][:, draws * step : draws * (step + 1)], width))
+        elif code == CODES["uneven_illumination"]:
+            size = int(planes["_sizes"][0, step])
+            grid = planes["_grids"][0, cells * step : cells * step + size * size]
+            values = _clip(values * _light(planes["_y"][:, 0], height, width, grid))
+        elif code == CODES["stains"]:
+            mask = planes["_masks"][:, width * step : width * (step + 1)]
+            values = np.maximum(values - _clip(stencil.smooth(mask, blur_taps(number), "edge")), 0)
+    return values
 
 
 def apply_recipes(scan: DataFrame, recipes: DataFrame, values: str = "values") -> DataFrame:
     """Apply each page's ordered operations; pages without a recipe come through unchanged.
 
     ``recipes`` has ``page_id, degradations array<struct<order,family,seed,parameters map<string,double>>>``.
-    All pages go step by step together: point operations run inside the scanline stage, and only pages
-    whose step is a blur or a stain are banded.
+    The whole chain runs in one band pass whose halo is the summed reach of the longest chain, so pixels
+    are shuffled once however many operations there are. Noise coefficients, light grids and stain masks
+    are made beside the scanlines before that.
     """
-    longest = recipes.agg(F.max(F.size("degradations"))).first()[0] or 0
     shape = page_shape(scan, values)
-    ordered = F.array_sort("degradations", lambda a, b: a["order"] - b["order"])
-    steps = recipes.select(PAGE, ordered.alias("_ops")).join(shape, PAGE)
-    current = scan.select(PAGE, "y", values)
-    for step in range(longest):
-        op = F.get(F.col("_ops"), F.lit(step))
-        facts = shared(
-            steps.where(op.isNotNull()).select(
-                PAGE, "height", "width", op["family"].alias("family"), op["seed"].alias("seed"),
-                *[op["parameters"][p].alias(p) for p in PARAMETERS],
-            )
-        )
-        current = _one_step(current, facts, values)
-    return current
-
-
-def _one_step(current: DataFrame, facts: DataFrame, values: str) -> DataFrame:
-    light = facts.withColumn(
-        "_grid", F.when(F.col("family") == "uneven_illumination", light_grid(F.col("seed"), F.col("strength"), F.col("grid_size")))
-    ).select(PAGE, "family", "seed", "height", "sigma", "radius", "_grid")
-    rows = shared(attach_page_values(current, light, how="left"))
-    of = lambda family: rows.where(F.col("family") == family)
-    plain = (PAGE, "y", values)
-    noisy = of("gaussian_noise").withColumn(values, gaussian_noise(F.col(values), F.col("seed"), F.col("sigma")))
-    shaded = of("uneven_illumination").withColumn(values, uneven_illumination(F.col(values), F.col("y"), F.col("height"), F.col("_grid")))
-    blurred = blur(of("blur").select(*plain, "radius"), values, "radius")
-    stained = stains(of("stains").select(*plain), facts.where(F.col("family") == "stains"), values)
-    same = rows.where(F.coalesce(F.col("family"), F.lit("none")).isin("jpeg", "none"))
-    out = same.select(*plain)
-    for part in (noisy, shaded, blurred, stained):
-        out = out.unionByName(part.select(*plain))
-    return out
+    facts = shared(_recipe_facts(recipes, shape))
+    halo = int(facts.agg(F.max("_halo")).first()[0] or 0)
+    untouched = scan.select(PAGE, "y", values).join(recipes.select(PAGE).distinct(), PAGE, "left_anti")
+    steps = F.size("_codes")
+    rows = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("values")), facts).join(_recipe_stains(facts), [PAGE, "y"], "left")
+    noise = F.transform(
+        "_ops",
+        lambda o: F.when(o["family"] == "gaussian_noise", noise_coefficients(o["seed"], F.col("y"))).otherwise(
+            F.array_repeat(F.lit(0).cast("bigint"), 8)
+        ),
+    )
+    noisy = F.exists("_ops", lambda o: o["family"] == "gaussian_noise")
+    ready = rows.select(
+        PAGE, "y", "values", F.array("height").alias("_height"), F.array("y").alias("_y"), "_codes", "_numbers", "_sizes", "_grids",
+        F.when(noisy, F.flatten(noise)).otherwise(F.array().cast("array<bigint>")).alias("_noise"),
+        _paint(F.col("values"), "spans", F.when(F.col("_stained"), steps).otherwise(F.lit(0))).alias("_masks"),
+    )
+    inputs = ("values", "_height", "_y", "_codes", "_numbers", "_sizes", "_grids", "_noise", "_masks")
+    done = stencil.map_bands(ready, lambda p: {values: _apply(p)}, halo, inputs, {values: "int"}, rows=max(stencil.BAND_ROWS, 4 * halo))
+    return done.unionByName(untouched)
 
 
 def pixel_hash(scan: DataFrame, values: str = "values", fan: int = 1024) -> DataFrame:
