@@ -158,7 +158,7 @@ for _operation in ("open", "close", "open_close"):
     _morphology_query(_operation)
 
 
-def ssim_sql(first: str, second: str, source: str, name: str = "ssim") -> str:
+def ssim_sql(first: str, second: str, source: str, name: str = "ssim", shape: str = "shape") -> str:
     moments = (
         f"{name}_m AS (SELECT page_id, y, x, CAST({first} AS DOUBLE) AS a, CAST({second} AS DOUBLE) AS b, "
         f"CAST({first} AS DOUBLE) * {first} AS aa, CAST({second} AS DOUBLE) * {second} AS bb, "
@@ -170,7 +170,7 @@ def ssim_sql(first: str, second: str, source: str, name: str = "ssim") -> str:
         f"((a * a + b * b + {c1!r}) * ((aa - a * a) + (bb - b * b) + {c2!r}))"
     )
     return (
-        f"{moments}, {smooth_sql(name + '_s', name + '_m', ['a', 'b', 'aa', 'bb', 'ab'], 11, 1.5, 'reflect')}, "
+        f"{moments}, {smooth_sql(name + '_s', name + '_m', ['a', 'b', 'aa', 'bb', 'ab'], 11, 1.5, 'reflect', shape)}, "
         f"{name} AS (SELECT page_id, greatest(-1, least(1, avg({score}))) AS ssim FROM {name}_s GROUP BY page_id)"
     )
 

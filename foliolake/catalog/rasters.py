@@ -104,7 +104,7 @@ def split_sql(key: str, seed: int = SEED) -> str:
 
 
 def r6_sql(value: str) -> str:
-    return f"(floor(({value}) * 1e6 + 0.5) / 1e6)"
+    return f"(floor(({value}) * 1e6 + 0.50001) / 1e6)"
 
 
 def ratio_sql(numerator: str, denominator: str) -> str:
