@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.catalog.registry import table
+from foliolake.catalog.registry import spread, table
 
 SEED = 20260022
 WEIGHTS = {"train": 0.70, "validation": 0.10, "test": 0.10, "challenge": 0.10}
@@ -16,7 +16,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda f: F.least(
         F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128.5) + F.lit(256.0) * f.cast("double")))
     ).cast("int")
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select(
         F.floor(F.col("vec_id") / 50).alias("page_id"),
         (F.col("vec_id") % 50).cast("int").alias("y"),
         F.transform("embedding", level).alias("values"),
@@ -26,7 +26,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-wide ragged pages of any height from document text; missing pixels are white."""
     level = lambda c: ((F.ascii(c) * 7) % 256).cast("int")
-    lines = table(spark, sf_dir, "documents").select(
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.col("doc_id").alias("page_id"),
         F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,64}"), F.lit(0))).alias("y", "line"),
     )

@@ -24,3 +24,13 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows over the cores when the scan has fewer splits than the cluster has cores.
+
+    A table in many files is left as it is; one small file would keep all the work that follows,
+    which grows rows into pixels, on a single core.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows

@@ -202,5 +202,5 @@ def source_audit(spark, sf):
 def latency_report(spark, sf):
     """Measured rates differ from run to run, so there is no SQL; shapes and tile counts are tested."""
     scan = dense(spark, sf)
-    timings = tiles.score_tiles(tiles.cut_tiles(scan, 32, 8), pointwise, 32)
+    timings = tiles.score_strips(tiles.cut_strips(scan, 32, 8), pointwise, 32, 8)
     return reports.latency_report(timings, tiles.page_metadata(scan, 32, 8))

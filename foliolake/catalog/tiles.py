@@ -99,7 +99,7 @@ POINT = "2 - 4 * (v / 255.0) AS cleaning, (v / 255.0) * 4 - 2 AS background, v /
 )
 def blended_logits(spark, sf):
     """A pointwise scorer leaves no seams: the blend must equal the direct score at every place."""
-    logits = tiles.score_pages(text(spark, sf), pointwise, 32, 8)
+    logits = tiles.score_pages(text(spark, sf), pointwise, 32, 8, logits="double")
     px = logits.select("page_id", "y", *tiles.CHANNELS[1:], F.posexplode("cleaning").alias("x", "c0"))
     at = {c: F.get(F.col(c), F.col("x")) for c in tiles.CHANNELS[1:]}
     at["cleaning"] = F.col("c0")
@@ -151,8 +151,8 @@ def scored_page_metadata(spark, sf):
 
 @query("tile_timings")
 def tile_timings(spark, sf):
-    """Measured scoring seconds and tiles per page (timings differ from run to run, so no SQL)."""
-    scored = tiles.score_tiles(tiles.cut_tiles(dense(spark, sf), 32, 8), pointwise, 32)
+    """Measured scoring seconds and tile rows per page (timings differ from run to run, so no SQL)."""
+    scored = tiles.score_strips(tiles.cut_strips(dense(spark, sf), 32, 8), pointwise, 32, 8)
     return scored.groupBy("page_id").agg(
-        F.sum("seconds").alias("latency_seconds"), F.count_distinct("top", "left").alias("tiles")
+        F.sum("seconds").alias("latency_seconds"), F.count_distinct("top").alias("tile_rows")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolake.catalog.planning import S, docs, key, vsql
 from foliolake.catalog.rasters import SEED, WEIGHTS, split_sql
-from foliolake.catalog.registry import query, table
+from foliolake.catalog.registry import query, spread, table
 from foliolake.constants import ARTIFACT_ROLES, CATALOGUE_FIELDS, CLASSES
 from foliolake.operators import validation
 from foliolake.plans.splits import split_of
@@ -77,7 +77,8 @@ def manifest_lines(spark, sf):
     }
     pieces = F.array_compact(F.array(*[F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]))
     text = F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
-    return docs(spark, sf).select(F.col("source").alias("file"), DOC_ID.alias("line_no"), text.alias("value"))
+    records = spread(docs(spark, sf).select("doc_id", "source"), "doc_id")
+    return records.select(F.col("source").alias("file"), DOC_ID.alias("line_no"), text.alias("value"))
 
 
 EXPECTED = """(VALUES

@@ -1,7 +1,7 @@
 """Overlapping tiles: starts, cutting, padding, scoring with a user's model, blending, results.
 
-Nothing is grouped by page. A scoring task holds one tile, a blending task one band of rows, so the
-memory of a task does not grow with the page.
+Nothing is grouped by page. A scoring group is one row of tiles, a blending group one band of rows, so
+the memory of a task does not grow with the height of a page.
 """
 
 from __future__ import annotations
@@ -43,25 +43,28 @@ def tile_grid(shape: DataFrame, tile: int, overlap: int) -> DataFrame:
     )
 
 
-def cut_tiles(scan: DataFrame, tile: int, overlap: int, values: str = "values") -> DataFrame:
-    """Scanline pieces per tile: each row goes to the tiles that cover it, by arithmetic, without a
-    range join. Only start positions near ``y`` are looked at, so tall pages cost no more per row."""
+def _tops(tile: int, overlap: int) -> Column:
+    """Starts of the tile rows that cover ``y``, by arithmetic: only starts near ``y`` are looked at."""
     stride = tile - overlap
-    shaped = attach_page_values(scan, page_shape(scan, values))
     last = F.greatest(F.col("height") - tile, F.lit(0))
     k0 = F.greatest(F.ceil((F.col("y") - tile + 1) / F.lit(stride)), F.lit(0)).cast("int")
     k1 = F.least(F.floor(F.col("y") / stride), F.floor(last / stride)).cast("int")
-    regular = F.when(k0 <= k1, F.transform(F.sequence(k0, k1), lambda k: k * stride)).otherwise(
-        F.array().cast("array<int>")
-    )
-    flush = F.when(F.col("y") >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
-    tops = F.array_distinct(F.concat(regular, flush))
-    pieces = shaped.withColumn("top", F.explode(tops)).withColumn(
-        "left", F.explode(tile_starts(F.col("width"), tile, overlap))
-    )
+    none = F.array().cast("array<int>")
+    regular = F.when(k0 <= k1, F.transform(F.sequence(k0, k1), lambda k: k * stride)).otherwise(none)
+    return F.array_distinct(F.concat(regular, F.when(F.col("y") >= last, F.array(last)).otherwise(none)))
+
+
+def cut_strips(scan: DataFrame, tile: int, overlap: int, values: str = "values") -> DataFrame:
+    """Scanlines dealt to the rows of tiles that cover them (``top``), without a range join."""
+    shaped = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("line")), page_shape(scan, values))
+    return shaped.withColumn("top", F.explode(_tops(tile, overlap)))
+
+
+def cut_tiles(scan: DataFrame, tile: int, overlap: int, values: str = "values") -> DataFrame:
+    """Scanline pieces per tile."""
+    pieces = cut_strips(scan, tile, overlap, values).withColumn("left", F.explode(tile_starts(F.col("width"), tile, overlap)))
     return pieces.select(
-        PAGE, "height", "width", "top", "left", "y",
-        F.slice(F.col(values), F.col("left") + 1, F.lit(tile)).alias("piece"),
+        PAGE, "height", "width", "top", "left", "y", F.slice("line", F.col("left") + 1, F.lit(tile)).alias("piece")
     )
 
 
@@ -105,86 +108,100 @@ def _pad(tile_values: np.ndarray, size: int) -> np.ndarray:
     return np.pad(tile_values, ((0, size - height), (0, size - width)), mode="reflect")
 
 
-def score_tiles(pieces: DataFrame, scorer: Scorer, tile: int, cells_per_call: int = 1 << 22) -> DataFrame:
+def _starts(length: int, tile: int, overlap: int) -> list[int]:
+    if length <= tile:
+        return [0]
+    return sorted({*range(0, length - tile + 1, tile - overlap), length - tile})
+
+
+def score_strips(
+    strips: DataFrame, scorer: Scorer, tile: int, overlap: int, logits: str = "float", cells_per_call: int = 1 << 22
+) -> DataFrame:
     """Run ``scorer`` on batches of tiles: ``(n, tile, tile)`` intensities to ``(n, 5, tile, tile)`` logits.
 
-    The channels are the cleaning logit and the four class logits. Rows leave already weighted by the
-    blend window. ``scorer`` is serialized to the executors once per task; load weights lazily in it.
+    A group is one row of tiles, at most ``tile`` scanlines. Tiles beside each other are blended here,
+    so what leaves for the vertical blend is one logit per pixel, channel and tile row. The channels
+    are the cleaning logit and the four class logits. ``scorer`` is serialized to the executors once
+    per task; load weights lazily in it.
     """
     axis = blend_axis(tile)
-    lists = ", ".join(f"{c} array<double>" for c in CHANNELS)
+    arrow = {"float": pa.float32(), "double": pa.float64()}[logits]
+    lists = ", ".join(f"{c} array<{logits}>" for c in CHANNELS)
     at_once = max(1, cells_per_call // (tile * tile))
 
     def score(tables: list[pa.Table]) -> list[pa.Table]:
-        return [row for i in range(0, len(tables), at_once) for row in score_batch(tables[i : i + at_once])]
-
-    def score_batch(tables: list[pa.Table]) -> list[pa.Table]:
-        planes = [plane_of(t.column("piece")).astype(np.float64) / 255.0 for t in tables]
-        batch = np.stack([_pad(p, tile) for p in planes])
-        started = time.perf_counter()
-        logits = scorer(batch)
-        seconds = (time.perf_counter() - started) / len(tables)
-        out = []
-        for table, plane, z in zip(tables, planes, logits):
-            height, width = plane.shape
-            window = axis[:height, None] * axis[None, :width]
-            out.append(
-                pa.table(
-                    {
-                        **{c: table.column(c) for c in (PAGE, "height", "width", "top", "left", "y")},
-                        **{c: list_of(z[i, :height, :width] * window, pa.float64()) for i, c in enumerate(CHANNELS)},
-                        "row_weight": pa.array(axis[:height], pa.float64()),
-                        "seconds": pa.array(np.full(height, seconds / height), pa.float64()),
-                    }
-                )
-            )
-        return out
-
-    d = dict(pieces.dtypes)
+        planes = [plane_of(t.column("line")).astype(np.float64) / 255.0 for t in tables]
+        places = [(i, left) for i, plane in enumerate(planes) for left in _starts(plane.shape[1], tile, overlap)]
+        total = [np.zeros((len(CHANNELS), *plane.shape)) for plane in planes]
+        seconds = np.zeros(len(tables))
+        for first in range(0, len(places), at_once):
+            batch = places[first : first + at_once]
+            stack = np.stack([_pad(planes[i][:, left : left + tile], tile) for i, left in batch])
+            started = time.perf_counter()
+            result = scorer(stack)
+            each = (time.perf_counter() - started) / len(batch)
+            for (i, left), z in zip(batch, result):
+                height, width = planes[i].shape[0], min(tile, planes[i].shape[1] - left)
+                total[i][:, :, left : left + width] += z[:, :height, :width] * axis[:width]
+                seconds[i] += each
+        return [blended(t, z, s) for t, z, s in zip(tables, total, seconds)]
+
+    def blended(table: pa.Table, total: np.ndarray, seconds: float) -> pa.Table:
+        _, height, width = total.shape
+        weight = np.zeros(width)
+        for left in _starts(width, tile, overlap):
+            weight[left : left + tile] += axis[: min(tile, width - left)]
+        total /= weight
+        return pa.table(
+            {
+                **{c: table.column(c) for c in (PAGE, "top", "y")},
+                **{c: list_of(total[i], arrow) for i, c in enumerate(CHANNELS)},
+                "row_weight": pa.array(axis[:height], pa.float64()),
+                "seconds": pa.array(np.full(height, seconds / height), pa.float64()),
+            }
+        )
+
+    d = dict(strips.dtypes)
     return map_groups(
-        pieces, [PAGE, "top", "left"], ["y"], score,
-        f"{PAGE} {d[PAGE]}, height {d['height']}, width {d['width']}, top {d['top']}, left {d['left']}, y {d['y']}, "
-        f"{lists}, row_weight double, seconds double",
+        strips, [PAGE, "top"], ["y"], score,
+        f"{PAGE} {d[PAGE]}, top {d['top']}, y {d['y']}, {lists}, row_weight double, seconds double",
     )
 
 
-def blend_rows(scored: DataFrame, tile: int, band: int = 64) -> DataFrame:
-    """Weighted mean of overlapping tiles per scanline; a group is the few tiles over one band of rows."""
-    axis = blend_axis(tile)
-    lists = ", ".join(f"{c} array<double>" for c in CHANNELS)
+def blend_rows(scored: DataFrame, band: int = 64) -> DataFrame:
+    """Weighted mean of the tile rows over each scanline; a group is one band of rows of one page."""
+    dtype = dict(scored.dtypes)
+    arrow = {"array<float>": pa.float32(), "array<double>": pa.float64()}[dtype[CHANNELS[0]]]
+    lists = ", ".join(f"{c} {dtype[c]}" for c in CHANNELS)
 
     def blend(table: pa.Table) -> pa.Table:
-        y, left = table.column("y").to_numpy(), table.column("left").to_numpy()
-        top, row_weight = table.column("top").to_numpy(), table.column("row_weight").to_numpy()
-        low, high, width = int(y.min()), int(y.max()) + 1, table.column("width")[0].as_py()
-        total = np.zeros((len(CHANNELS), high - low, width))
-        weight = np.zeros((high - low, width))
-        cuts = [0, *(np.flatnonzero((np.diff(left) != 0) | (np.diff(top) != 0)) + 1).tolist(), len(y)]
+        y, top, weight = (table.column(c).to_numpy() for c in ("y", "top", "row_weight"))
+        low, high = int(y.min()), int(y.max()) + 1
+        cuts = [0, *(np.flatnonzero(np.diff(top)) + 1).tolist(), len(y)]
+        summed = np.zeros(high - low)
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            rows = slice(int(y[lo]) - low, int(y[hi - 1]) - low + 1)
-            columns = slice(int(left[lo]), min(int(left[lo]) + tile, width))
-            weight[rows, columns] += row_weight[lo:hi, None] * axis[None, : columns.stop - columns.start]
-            for i, c in enumerate(CHANNELS):
-                total[i, rows, columns] += plane_of(table.column(c).slice(lo, hi - lo))
+            summed[y[lo] - low : y[hi - 1] - low + 1] += weight[lo:hi]
+        out = {}
+        for c in CHANNELS:
+            plane = plane_of(table.column(c))
+            total = np.zeros((high - low, plane.shape[1]))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                total[y[lo] - low : y[hi - 1] - low + 1] += plane[lo:hi] * weight[lo:hi, None]
+            out[c] = list_of(total / summed[:, None], arrow)
         page = pa.array([table.column(PAGE)[0].as_py()] * (high - low), table.column(PAGE).type)
-        return pa.table(
-            {
-                PAGE: page,
-                "y": pa.array(np.arange(low, high), table.column("y").type),
-                **{c: list_of(total[i] / weight, pa.float64()) for i, c in enumerate(CHANNELS)},
-            }
-        )
+        return pa.table({PAGE: page, "y": pa.array(np.arange(low, high), table.column("y").type), **out})
 
-    dtype = dict(scored.dtypes)
     return map_groups(
-        scored.withColumn("band", F.floor(F.col("y") / band)), [PAGE, "band"], ["top", "left", "y"],
+        scored.withColumn("band", F.floor(F.col("y") / band)), [PAGE, "band"], ["top", "y"],
         lambda tables: [blend(t) for t in tables], f"{PAGE} {dtype[PAGE]}, y {dtype['y']}, {lists}",
     )
 
 
-def score_pages(scan: DataFrame, scorer: Scorer, tile: int, overlap: int, values: str = "values") -> DataFrame:
+def score_pages(
+    scan: DataFrame, scorer: Scorer, tile: int, overlap: int, values: str = "values", logits: str = "float"
+) -> DataFrame:
     """Blended logits per scanline for whole pages of any size."""
-    return blend_rows(score_tiles(cut_tiles(scan, tile, overlap, values), scorer, tile), tile)
+    return blend_rows(score_strips(cut_strips(scan, tile, overlap, values), scorer, tile, overlap, logits).drop("seconds"))
 
 
 def page_results(
