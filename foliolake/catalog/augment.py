@@ -9,16 +9,15 @@ from foliolake.catalog.rasters import DENSE, SHAPE, dense, level_sql, u_sql
 from foliolake.catalog.registry import query
 from foliolake.operators import augment, raster
 
-PAGE = F.col("page_id")
 PRIME = augment.PRIME
 
 
 def params(spark, sf):
     """Seed and parameters of each page."""
     return raster.page_shape(dense(spark, sf)).select(
-        "page_id", "height", "width", (PAGE * 1000 + 7).alias("seed"), (PAGE % 3 * 0.4 + 0.5).alias("radius"), (PAGE % 5 + 2.0).alias("sigma"),
-        (PAGE % 4 * 0.05 + 0.1).alias("strength"), (PAGE % 3 + 3).cast("int").alias("grid_size"), (PAGE % 3 * 0.1 + 0.1).alias("opacity"),
-        (PAGE % 5 + 1).alias("blob_count"), (PAGE % 3 * 0.02 + 0.05).alias("blob_radius_fraction"), (PAGE % 2 * 0.002 + 0.001).alias("speckle_density"),
+        "page_id", "height", "width", (F.col("page_id") * 1000 + 7).alias("seed"), (F.col("page_id") % 3 * 0.4 + 0.5).alias("radius"), (F.col("page_id") % 5 + 2.0).alias("sigma"),
+        (F.col("page_id") % 4 * 0.05 + 0.1).alias("strength"), (F.col("page_id") % 3 + 3).cast("int").alias("grid_size"), (F.col("page_id") % 3 * 0.1 + 0.1).alias("opacity"),
+        (F.col("page_id") % 5 + 1).alias("blob_count"), (F.col("page_id") % 3 * 0.02 + 0.05).alias("blob_radius_fraction"), (F.col("page_id") % 2 * 0.002 + 0.001).alias("speckle_density"),
     )
 
 
@@ -142,7 +141,7 @@ def recipes(spark, sf):
             F.struct(F.lit(i + 1).alias("order"), F.lit(f).alias("family"), F.col("seed").alias("seed"), parameters.alias("parameters"))
             for i, f in enumerate(families)
         ])
-        lists = F.when(PAGE % 4 == k, ops) if lists is None else lists.when(PAGE % 4 == k, ops)
+        lists = F.when(F.col("page_id") % 4 == k, ops) if lists is None else lists.when(F.col("page_id") % 4 == k, ops)
     return p.select("page_id", lists.alias("degradations")).where("degradations IS NOT NULL")
 
 

@@ -11,8 +11,6 @@ from foliolake.constants import ARTIFACT_ROLES, CATALOGUE_FIELDS, CLASSES
 from foliolake.operators import validation
 from foliolake.plans.splits import split_of
 
-DOC_ID = F.col("doc_id")
-M = DOC_ID % 23
 
 
 def role_path(role: str):
@@ -23,10 +21,10 @@ def manifest_lines(spark, sf):
     """One manifest per document source; every record but each 23rd carries one defect."""
     q = lambda text: F.lit(f'"{text}"')
     raw = lambda text: F.lit(text)
-    bad = lambda m, wrong, right: F.when(M == m, wrong).otherwise(right)
+    bad = lambda m, wrong, right: F.when(F.col("doc_id") % 23 == m, wrong).otherwise(right)
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    host = F.concat(F.lit("host-"), (DOC_ID % 40).cast("string"))
-    split = F.when(DOC_ID % 31 == 0, F.lit("train")).otherwise(split_of(host, WEIGHTS, SEED))
+    host = F.concat(F.lit("host-"), (F.col("doc_id") % 40).cast("string"))
+    split = F.when(F.col("doc_id") % 31 == 0, F.lit("train")).otherwise(split_of(host, WEIGHTS, SEED))
     sha = F.sha2(F.concat(key("doc_id"), F.lit("src")), 256)
     rights = lambda status, basis: F.concat(F.lit('{"status":"'), status, F.lit('","basis":"'), basis, F.lit('"}'))
     ok_rights = rights(F.lit("public_domain"), F.lit("old"))
@@ -56,13 +54,13 @@ def manifest_lines(spark, sf):
     )
     fields = {
         "schema_version": bad(20, raw("2"), raw("1")),
-        "sample_id": F.when(M == 14, q("")).when(M == 15, q("dup")).otherwise(quoted(F.concat(F.lit("s"), key("doc_id")))),
+        "sample_id": F.when(F.col("doc_id") % 23 == 14, q("")).when(F.col("doc_id") % 23 == 15, q("dup")).otherwise(quoted(F.concat(F.lit("s"), key("doc_id")))),
         "dataset_id": bad(16, q("other"), q("demo")),
         "source_id": quoted(host), "source_path": q("a.ly"),
         "source_sha256": quoted(bad(9, F.upper(F.concat(F.lit("a"), F.substring(sha, 2, 63))), sha)),
         "source_license_status": bad(19, q("none"), q("public_domain")),
         "source_provenance": provenance,
-        "page": F.when(M == 1, raw("0")).when(M == 2, raw("true")).otherwise(raw("3")),
+        "page": F.when(F.col("doc_id") % 23 == 1, raw("0")).when(F.col("doc_id") % 23 == 2, raw("true")).otherwise(raw("3")),
         "split": bad(4, q("dev"), quoted(split)),
         "generator_version": q("0.1"), "lilypond_version": q("2.26.0"),
         "seed": bad(8, null, raw("9223372036854775807")),
@@ -72,13 +70,13 @@ def manifest_lines(spark, sf):
         "clean_target_path": quoted(role_path("clean")), "mask_paths": masks,
         "recipe_path": quoted(role_path("recipe")), "hashes": hashes,
         "dimensions": bad(5, raw('{"width":0,"height":50}'), raw('{"width":64,"height":50}')),
-        "dpi": F.when(M == 8, null).when(M == 3, raw("1.0")).otherwise(raw("300")),
-        "created_at": F.when(M == 6, q("2026-08-13T00:00:00")).when(M == 18, raw("5")).otherwise(q("2026-08-13T00:00:00Z")),
+        "dpi": F.when(F.col("doc_id") % 23 == 8, null).when(F.col("doc_id") % 23 == 3, raw("1.0")).otherwise(raw("300")),
+        "created_at": F.when(F.col("doc_id") % 23 == 6, q("2026-08-13T00:00:00")).when(F.col("doc_id") % 23 == 18, raw("5")).otherwise(q("2026-08-13T00:00:00Z")),
     }
     pieces = F.array_compact(F.array(*[F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]))
     text = F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
     records = spread(docs(spark, sf).select("doc_id", "source"), "doc_id")
-    return records.select(F.col("source").alias("file"), DOC_ID.alias("line_no"), text.alias("value"))
+    return records.select(F.col("source").alias("file"), F.col("doc_id").alias("line_no"), text.alias("value"))
 
 
 EXPECTED = """(VALUES
@@ -156,7 +154,7 @@ def structural_problems(spark, sf):
 def manifest_problems(spark, sf):
     """Files with a broken line report only that; sound files report every rule."""
     broken = docs(spark, sf).where("doc_id % 50 = 7").select(
-        F.col("source").alias("file"), (DOC_ID + 1000000000).alias("line_no"), F.lit("{oops").alias("value")
+        F.col("source").alias("file"), (F.col("doc_id") + 1000000000).alias("line_no"), F.lit("{oops").alias("value")
     )
     return validation.manifest_problems(manifest_lines(spark, sf).unionByName(broken))
 
@@ -166,12 +164,12 @@ def stored_listing(spark, sf):
     cells = F.array(*[
         F.struct(
             F.lit(r).alias("role"), role_path(r).alias("path"),
-            F.sha2(F.concat(key("doc_id"), F.lit(r), F.when((DOC_ID % 7 == 0) & (F.lit(r) == "clean"), F.lit("!")).otherwise(F.lit(""))), 256).alias("sha256"),
+            F.sha2(F.concat(key("doc_id"), F.lit(r), F.when((F.col("doc_id") % 7 == 0) & (F.lit(r) == "clean"), F.lit("!")).otherwise(F.lit(""))), 256).alias("sha256"),
         ) for r in ARTIFACT_ROLES
     ])
     rows = docs(spark, sf).select("doc_id", F.inline(cells))
-    return rows.where(~((DOC_ID % 9 == 0) & (F.col("role") == "input"))).select(
-        "path", "sha256", F.when((DOC_ID % 5 == 0) & (F.col("role") == "mask_text"), F.lit(65)).otherwise(F.lit(64)).alias("width"), F.lit(50).alias("height")
+    return rows.where(~((F.col("doc_id") % 9 == 0) & (F.col("role") == "input"))).select(
+        "path", "sha256", F.when((F.col("doc_id") % 5 == 0) & (F.col("role") == "mask_text"), F.lit(65)).otherwise(F.lit(64)).alias("width"), F.lit(50).alias("height")
     )
 
 
@@ -249,11 +247,10 @@ def json_types(spark, sf):
 
 # --- assets ------------------------------------------------------------------------------------------
 
-P = F.col("p_partkey")
 
 
 def asset_rows(spark, sf):
-    k, name = P % 17, F.concat(F.lit("work-"), key("p_partkey"))
+    k, name = F.col("p_partkey") % 17, F.concat(F.lit("work-"), key("p_partkey"))
     bad = lambda m, wrong, right: F.when(k == m, wrong).otherwise(right)
     lit, null = F.lit, F.lit(None).cast("string")
     rights = lambda status, basis, licence, url: F.struct(
@@ -262,8 +259,8 @@ def asset_rows(spark, sf):
     composition = rights(bad(1, lit("unresolved"), bad(2, lit("compatible_license"), lit("public_domain"))), bad(3, lit(" "), lit("old")), null, null)
     file_rights = rights(bad(4, lit("compatible_license"), lit("public_domain")), lit("pinned"), bad(4, lit("CC"), null), bad(4, lit("ftp://x"), null))
     return table(spark, sf, "part").select(
-        F.col("p_brand").alias("file"), P.alias("line_no"),
-        F.when(P % 50 == 20, lit("twin")).otherwise(name).alias("id"), bad(5, lit(""), F.col("p_name")).alias("title"), F.col("p_brand").alias("composer"),
+        F.col("p_brand").alias("file"), F.col("p_partkey").alias("line_no"),
+        F.when(F.col("p_partkey") % 50 == 20, lit("twin")).otherwise(name).alias("id"), bad(5, lit(""), F.col("p_name")).alias("title"), F.col("p_brand").alias("composer"),
         F.col("p_name").alias("work_identifier"), bad(6, lit("file:/x"), F.concat(lit("https://example.org/"), name)).alias("source_url"),
         bad(7, lit("../up.ly"), bad(8, F.concat(name, lit(".txt")), F.concat(name, lit(".ly")))).alias("source_file"),
         bad(9, lit("ABC"), F.sha2(name, 256)).alias("source_sha256"), bad(10, F.lit(None), composition).alias("composition_rights"),
@@ -300,8 +297,8 @@ sound AS (SELECT * FROM p WHERE line_no NOT IN (SELECT line_no FROM own) AND lin
 )
 def asset_problems(spark, sf):
     name = F.concat(F.lit("work-"), key("p_partkey"))
-    stored = table(spark, sf, "part").where(P % 10 != 0).select(
-        F.concat(name, F.lit(".ly")).alias("path"), F.sha2(F.concat(name, F.when(P % 11 == 0, F.lit("!")).otherwise(F.lit(""))), 256).alias("sha256")
+    stored = table(spark, sf, "part").where(F.col("p_partkey") % 10 != 0).select(
+        F.concat(name, F.lit(".ly")).alias("path"), F.sha2(F.concat(name, F.when(F.col("p_partkey") % 11 == 0, F.lit("!")).otherwise(F.lit(""))), 256).alias("sha256")
     )
     return validation.asset_problems(asset_rows(spark, sf), stored)
 
@@ -311,7 +308,7 @@ def asset_problems(spark, sf):
     sql="SELECT p_brand AS file, p_partkey AS line_no, p_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn > 1",
 )
 def asset_duplicates(spark, sf):
-    rows = table(spark, sf, "part").select(F.col("p_brand").alias("file"), P.alias("line_no"), F.col("p_name").alias("name"))
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line_no"), F.col("p_name").alias("name"))
     return validation.repeated_ids(rows, ("file", "name"))
 
 
@@ -322,7 +319,7 @@ def asset_duplicates(spark, sf):
     "UNION ALL SELECT 'duplicate_id', p_name || ' occurs more than once' FROM part GROUP BY p_name HAVING count(*) > 1",
 )
 def catalogue_problems(spark, sf):
-    gone = P % 97 == 5
+    gone = F.col("p_partkey") % 97 == 5
     works = table(spark, sf, "part").select(
         F.col("p_name").alias("id"), F.col("p_brand").alias("composer"), (F.col("p_size") + 1750).alias("death_year"),
         F.when(~gone, F.col("p_type")).alias("work"), F.col("p_name").alias("path"), F.when(~gone, F.col("p_type")).alias("coverage"),

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliolake.functions.rand import keyed_digest, unit_uniform
 from foliolake.operators import stencil
@@ -78,7 +79,7 @@ def _normal(c: np.ndarray, width: int) -> np.ndarray:
     return np.sqrt(-2 * np.log((first + 1) / PRIME)) * np.cos(2 * np.pi * (second / PRIME))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _add_noise(rows: pa.Array, coefficients: pa.Array, sigma: pa.Array) -> pa.Array:
     out = []
     for row, c, s in zip(_rows(rows, np.float64), _rows(coefficients, np.int64), sigma.to_pylist()):
@@ -115,7 +116,7 @@ def _light(y: np.ndarray, height: int, width: int, cells: np.ndarray) -> np.ndar
     return cubic_weights(y, g, height) @ cells.reshape(g, g) @ cubic_weights(np.arange(width), g, width).T
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _shade(rows: pa.Array, y: pa.Array, height: pa.Array, grid: pa.Array) -> pa.Array:
     out = []
     for row, at, tall, cells in zip(_rows(rows, np.float64), y.to_pylist(), height.to_pylist(), _rows(grid, np.float64)):
@@ -170,7 +171,7 @@ def stain_spans(shapes: DataFrame, step: str | None = None) -> DataFrame:
     return rows.groupBy(PAGE, "y").agg(F.flatten(spread).alias("spans"))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _paint(rows: pa.Array, spans: pa.Array, steps: pa.Array) -> pa.Array:
     """Stain masks of a scanline, one after the other per step; the last shape wins."""
     out = []

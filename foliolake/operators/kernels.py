@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliolake.constants import SSIM_C1, SSIM_C2
 from foliolake.operators import stencil
@@ -82,7 +83,7 @@ def otsu_binarize(scan: DataFrame, values: str = "values", out: str = "binary")
 # --- area reduction -------------------------------------------------------------------------------
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _reduce_row(rows: pa.Array, to: pa.Array) -> pa.Array:
     out = []
     for row, size in zip(rows, to.to_pylist()):
@@ -131,7 +132,7 @@ def area_reduce(
 # --- illumination ---------------------------------------------------------------------------------
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _divide_background(rows: pa.Array, above: pa.Array, below: pa.Array, weight: pa.Array) -> pa.Array:
     out = []
     for row, a, b, f in zip(rows, above, below, weight.to_pylist()):

@@ -18,6 +18,7 @@ from foliolake.constants import (
 )
 from foliolake.functions.paths import is_confined, is_http_url
 from foliolake.operators.raster import attach_page_values
+from foliolake.session import shared
 
 Rule = tuple[str, Column, Column]
 LINE = ("file", "line_no")
@@ -118,6 +119,7 @@ def timestamp_ok(value: Column) -> Column:
 
 def sample_rules() -> list[Rule]:
     """All rules that look at one record only."""
+    masks_ok = F.col("masks_ok")
     width, height = integer("dimensions.width"), integer("dimensions.height")
     dimensions_ok = F.coalesce(is_object("dimensions") & (width > 0) & (height > 0), F.lit(False))
     provenance = is_object("source_provenance")
@@ -151,17 +153,17 @@ def sample_rules() -> list[Rule]:
             provenance & (F.size(absent) > 0),
         ),
         *_rights_rules("composition_rights"), *_rights_rules("source_file_rights"),
-        rule("mask_paths", "mask_paths must contain exactly background, notation, staff, text", ~mask_keys_ok()),
-        rule("hashes", "hashes must be a mapping", mask_keys_ok() & ~is_object("hashes")),
+        rule("mask_paths", "mask_paths must contain exactly background, notation, staff, text", ~masks_ok),
+        rule("hashes", "hashes must be a mapping", masks_ok & ~is_object("hashes")),
     ]
     for role in ARTIFACT_ROLES:
         path = text(artifact_field(role))
         given = F.coalesce(F.length(path) > 0, F.lit(False))
-        rules.append(rule("path_text", f"{role} path must be a nonempty string", mask_keys_ok() & ~given))
-        rules.append(rule("path_confined", f"{role} path must stay inside the dataset", mask_keys_ok() & given & ~is_confined(path)))
+        rules.append(rule("path_text", f"{role} path must be a nonempty string", masks_ok & ~given))
+        rules.append(rule("path_confined", f"{role} path must stay inside the dataset", masks_ok & given & ~is_confined(path)))
         hash_ok = F.coalesce(F.length(text(f"hashes.{role}")) == 64, F.lit(False))
         rules.append(
-            rule("hash_text", f"hashes.{role} must be a SHA-256 string", mask_keys_ok() & given & is_confined(path) & ~hash_ok)
+            rule("hash_text", f"hashes.{role} must be a SHA-256 string", masks_ok & given & is_confined(path) & ~hash_ok)
         )
     return rules
 
@@ -181,7 +183,7 @@ def complete_records(lines: DataFrame) -> DataFrame:
     """Object lines with their missing fields; a line that lacks fields skips every other rule."""
     parsed = parse_lines(lines)
     objects = parsed.where(F.col(DOC).isNotNull() & F.schema_of_variant(DOC).startswith("OBJECT"))
-    return objects.withColumn("missing", missing_fields(REQUIRED_SAMPLE_FIELDS))
+    return objects.withColumns({"missing": missing_fields(REQUIRED_SAMPLE_FIELDS), "masks_ok": mask_keys_ok()})
 
 
 def record_problems(lines: DataFrame) -> DataFrame:
@@ -228,7 +230,7 @@ def cross_record_problems(lines: DataFrame) -> DataFrame:
 
 def artifacts(lines: DataFrame) -> DataFrame:
     """Declared artifacts of complete records: ``file, line_no, role, path, sha256, width, height``."""
-    records = complete_records(lines).where((F.size("missing") == 0) & mask_keys_ok())
+    records = complete_records(lines).where((F.size("missing") == 0) & F.col("masks_ok"))
     cells = F.array(
         *[
             F.struct(F.lit(r).alias("role"), text(artifact_field(r)).alias("path"), text(f"hashes.{r}").alias("sha256"))
@@ -306,6 +308,7 @@ def metadata_problems(lines: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def manifest_problems(lines: DataFrame) -> DataFrame:
     """Structural problems, and the record problems of files that have none."""
+    lines = shared(lines)
     structural = structural_problems(lines)
     broken = structural.select("file").distinct()
     sound = record_problems(lines).unionByName(cross_record_problems(lines)).join(broken, "file", "left_anti")
