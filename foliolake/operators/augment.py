@@ -330,3 +330,17 @@ def image_hash(images: DataFrame, page_id: str = PAGE) -> DataFrame:
     """Pixel hash of gray images held in Spark's image struct: mode, size and bytes in one SHA-256."""
     head = F.concat(F.lit("L\0"), F.col("image.width").cast("string"), F.lit("x"), F.col("image.height").cast("string"), F.lit("\0"))
     return images.select(page_id, F.sha2(F.concat(head.cast("binary"), F.col("image.data")), 256).alias("pixel_sha256"))
+
+
+def augment(scan: DataFrame, samples: DataFrame, config: str = "medium", seed: int = 0) -> DataFrame:
+    """Plan and apply a preset's augmentation to pages: ``samples`` gives ``page_id`` and maybe its own ``seed``.
+
+    The one call most users need; use the plan and ``apply_recipes`` apart to keep the recipe.
+    """
+    from foliolake.functions.rand import seed63
+    from foliolake.plans.augment import augmentation_plan, preset_config
+
+    families, ranges = preset_config(F.lit(config))
+    own = F.col("seed") if "seed" in samples.columns else seed63(seed, F.col(PAGE).cast("string"))
+    planned = augmentation_plan(samples.select(PAGE, own.alias("seed")), families, ranges)
+    return apply_recipes(scan, planned.select(PAGE, "degradations"))

@@ -28,7 +28,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def empty_files(listed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Manifest files without a single line, which is an error."""
+    """Manifest files without a single line, which is an error.
+
+    ``listed`` names the expected files; Spark's own scans pass over empty files without a row.
+    """
     return listed.select("file").join(lines.select("file").distinct(), "file", "left_anti").select(
         "file", F.lit("dataset manifest must contain at least one record").alias("message")
     )
