@@ -88,12 +88,9 @@ def classified_names(spark, sf):
     return classified(spark, sf)
 
 
-@query(
-    "unknown_names",
-    sql=f"SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS unknown FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY user_id",
-)
+@query("unknown_names", sql="SELECT DISTINCT user_id, event_type AS name FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')")
 def unknown_names(spark, sf):
-    return lookups.unknown_names(classified(spark, sf), ["user_id"]).select("user_id", F.array_join("unknown", ",").alias("unknown"))
+    return lookups.unknown_names(classified(spark, sf), ["user_id"])
 
 
 # --- includes: a page's links lead to the page numbered by the link text --------------------------------

@@ -491,19 +491,23 @@ def catalogue_assets(spark, sf):
     )
 
 
+FILES = "files AS (SELECT DISTINCT 'supplier-' || l_suppkey AS id, 'part-' || l_partkey || '.ly' AS path FROM lineitem)"
+
+
+def work_files(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    path = F.concat(F.lit("part-"), key("l_partkey"), F.lit(".ly"))
+    return rows.select(F.concat(F.lit("supplier-"), key("l_suppkey")).alias("id"), path.alias("path"), path.cast("binary").alias("content"))
+
+
 @query(
     "curation_report",
-    sql="SELECT 'supplier-' || l_suppkey AS id, count(*) AS files, string_agg(p, ';' ORDER BY p) AS paths, "
-    "sha256(string_agg('https://example.org/abc123/' || p || ' ' || sha256(p), ';' ORDER BY p)) AS digest "
-    "FROM (SELECT DISTINCT l_suppkey, 'part-' || l_partkey || '.ly' AS p FROM lineitem) GROUP BY l_suppkey",
+    sql=f"WITH {FILES} SELECT id, path AS repository_path, 'https://example.org/abc123/' || path AS source_url, sha256(path) AS sha256 FROM files",
 )
 def curation_report(spark, sf):
-    files = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().select(
-        F.concat(F.lit("supplier-"), key("l_suppkey")).alias("id"), F.concat(F.lit("part-"), key("l_partkey"), F.lit(".ly")).alias("path")
-    )
-    report = curation.curation_report(files.withColumn("content", F.col("path").cast("binary")), TEMPLATE, "abc123")
-    lines = F.transform("files", lambda f: F.concat(f["source_url"], F.lit(" "), f["sha256"]))
-    return report.select(
-        "id", F.size("files").alias("files"), F.array_join(F.transform("files", lambda f: f["repository_path"]), ";").alias("paths"),
-        F.sha2(F.array_join(lines, ";"), 256).alias("digest"),
-    )
+    return curation.curation_report(work_files(spark, sf), TEMPLATE, "abc123")
+
+
+@query("curation_totals", sql=f"WITH {FILES} SELECT count(DISTINCT id) AS work_count, count(*) AS file_count FROM files")
+def curation_totals(spark, sf):
+    return curation.curation_totals(work_files(spark, sf))

@@ -33,4 +33,4 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     which grows rows into pixels, on a single core.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows

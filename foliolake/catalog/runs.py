@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.catalog.cleaning_metrics import rounded
@@ -14,13 +13,14 @@ from foliolake.catalog.registry import query, table
 from foliolake.constants import CLASSES
 from foliolake.functions.score import r6
 from foliolake.operators import crops, losses, raster, runs
+from foliolake.operators.ranking import rank_within
 
 
 def log(spark, sf):
     """Events as an epoch log: run = user, epoch = rank in time, loss = value."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("run_id"), F.row_number().over(order).cast("bigint").alias("epoch"), F.col("value").alias("loss"), "event_id"
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    return rank_within(rows, "user_id", ("ts", "event_id"), "epoch", parts=8).select(
+        F.col("user_id").alias("run_id"), "epoch", F.col("value").alias("loss"), "event_id"
     )
 
 

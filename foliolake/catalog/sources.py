@@ -21,23 +21,23 @@ def scratch(spark) -> str:
 
 @query(
     "numbered_lines",
-    sql="SELECT count(*) AS lines, CAST(sum(line_no) AS BIGINT) AS numbers, sum(length(value)) AS characters, count(*) FILTER (WHERE value = '') AS blank "
-    "FROM (SELECT unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)",
+    sql="WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) "
+    "SELECT doc_id, count(*) AS lines, CAST(0 AS BIGINT) AS gaps, CAST(sum(length(value)) AS BIGINT) AS characters FROM l GROUP BY doc_id",
 )
 def numbered_lines(spark, sf):
-    """Document text written as one file per language and read back with line numbers."""
+    """Document lines written as text and read back with line numbers.
+
+    The lines of a document lie one after the other in their file, so line number minus position is
+    the same for all of them; ``gaps`` is how far it strays.
+    """
     path = scratch(spark)
-    docs(spark, sf).select(F.concat(F.lit("#"), key("doc_id"), F.lit("\n"), "text").alias("value"), "lang").write.partitionBy("lang").text(path)
-    lines = manifests.read_lines(spark, path)
-    # a header line tells where a document starts; numbers inside a document count from there
-    from pyspark.sql import Window
-
-    marks = lines.where(F.col("value").rlike("^#[0-9]+$")).select("file", F.col("line_no").alias("start"))
-    ends = marks.withColumn("stop", F.lead("start").over(Window.partitionBy("file").orderBy("start")))
-    inside = lines.join(ends, (lines["file"] == ends["file"]) & (lines["line_no"] > ends["start"]) & (lines["line_no"] < F.coalesce(ends["stop"], F.lit(2**62))))
-    return inside.agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.col("line_no") - F.col("start")).alias("numbers"), F.sum(F.length("value")).alias("characters"),
-        F.count_if(F.col("value") == "").alias("blank"),
+    cells = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    cells.select(F.concat_ws("\t", key("doc_id"), F.col("at").cast("string"), "line").alias("value")).write.text(path)
+    lines = manifests.read_lines(spark, path).select("line_no", F.split("value", "\t", 3).alias("c"))
+    placed = lines.select("line_no", F.col("c")[0].cast("bigint").alias("doc_id"), F.col("c")[1].cast("bigint").alias("at"), F.length(F.col("c")[2]).alias("n"))
+    shift = F.col("line_no") - F.col("at")
+    return placed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), (F.max(shift) - F.min(shift)).alias("gaps"), F.sum("n").alias("characters")
     )
 
 

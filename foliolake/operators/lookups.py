@@ -66,11 +66,8 @@ def classify_names(names: DataFrame, registry: DataFrame, default: str = "notati
 
 
 def unknown_names(classified: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Strict mode: groups that use any unregistered name, with the names."""
-    return (
-        classified.where(~F.col("known")).groupBy(*by)
-        .agg(F.array_sort(F.collect_set("name")).alias("unknown"))
-    )
+    """Strict mode: every unregistered name of every group, one row each; no row means the group passes."""
+    return classified.where(~F.col("known")).select(*by, "name").distinct()
 
 
 # --- include closure -------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolake.operators.raster import attach_page_values
 from foliolake.session import checkpointed
 
 
@@ -43,3 +44,13 @@ def sorted_rank(rows: DataFrame, order: Sequence[str], out: str = "rank", parts:
     """
     ranged = rows.repartitionByRange(parts, *order).withColumn("_bucket", F.spark_partition_id())
     return _with_offsets(checkpointed(ranged), "_bucket", list(order), out)
+
+
+def rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str = "rank", parts: int = 64) -> DataFrame:
+    """1-based rank inside each group without gathering a group: the rank over all rows sorted by group
+    and order, less the group's first rank. A group with a third of all rows spans many partitions."""
+    ranked = sorted_rank(rows, [group, *order], "_global", parts)
+    first = ranked.groupBy(group).agg(F.min("_global").alias("_first"))
+    return attach_page_values(ranked, first, (group,), deal="_global").withColumn(
+        out, F.col("_global") - F.col("_first") + 1
+    ).drop("_global", "_first")

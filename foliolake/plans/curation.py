@@ -32,10 +32,16 @@ def catalogue_assets(catalogue: DataFrame, contents: DataFrame, template: str, c
 
 
 def curation_report(files: DataFrame, template: str, commit: str) -> DataFrame:
-    """Files of each work with URL and hash, sorted by path; a work's include tree is its group."""
-    entry = F.struct(
-        F.col("path").alias("repository_path"),
-        source_url(template, F.lit(commit), F.col("path")).alias("source_url"),
+    """Files of each work with URL and hash, in (work, path) order.
+
+    One row per file rather than one list per work: a work's include tree has no size limit.
+    """
+    return files.select(
+        "id", F.col("path").alias("repository_path"), source_url(template, F.lit(commit), F.col("path")).alias("source_url"),
         F.sha2("content", 256).alias("sha256"),
-    )
-    return files.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("files"))
+    ).orderBy("id", "repository_path")
+
+
+def curation_totals(files: DataFrame) -> DataFrame:
+    """Number of works and of files."""
+    return files.agg(F.count_distinct("id").alias("work_count"), F.count(F.lit(1)).alias("file_count"))

@@ -127,13 +127,13 @@ def unannotated_comparison(scan: DataFrame, panels: Sequence[tuple[str, str, Dat
 
 
 def source_audit(problems: DataFrame) -> DataFrame:
-    """Failing sources with their problems, sorted; one row per source.
+    """Failing sources, sorted, with the number of different problems and the first of them.
 
-    ``problems`` is the union of whatever was checked, as ``source_id, message``; repeated messages
-    collapse before they are collected, so a source's list is bounded by the number of rules.
+    ``problems`` is the union of whatever was checked, as ``source_id, message``; it stays available as
+    the full list, so no source's messages are gathered here.
     """
     return problems.distinct().groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("problems"), F.array_sort(F.collect_list("message")).alias("messages")
+        F.count(F.lit(1)).alias("problems"), F.min("message").alias("first_problem")
     ).orderBy("source_id")
 
 
