@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from foliolake.functions.rand import unit_uniform
 from foliolake.operators import stencil
 from foliolake.operators.raster import PAGE
+from foliolake.session import shared
 
 ATTEMPTS = 20
 
@@ -50,6 +51,7 @@ def crop_plan(
     foreground; a uniform crop takes attempt 1; a page without foreground is uniform. An attempt
     needs two rows of the page's integral image, so its cost does not depend on the crop size.
     """
+    integral = shared(integral)
     tag = (seed, F.col("epoch").cast("string"), F.col("index").cast("string"))
     filled = integral.groupBy(PAGE).agg(F.max(F.element_at("integral", -1)).alias("_foreground"))
     drawn = draws.join(filled, PAGE).withColumn(
