@@ -43,7 +43,8 @@ def attach_page_values(
 
     The small side is copied ``copies`` times and the scanlines of a page are dealt over the copies
     by ``deal``, so a page with a third of all rows still spreads. When Spark finds the facts small
-    enough it broadcasts them at run time and the copies cost nothing.
+    enough it broadcasts them at run time and the copies cost nothing. A copy that is still far larger
+    than the others is split once more by Spark's skew join, since nothing downstream needs its layout.
     """
     dealt = facts.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return (
