@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,24 @@ def bound_once(value: Column, build) -> Column:
     lambda that runs once per element, when it merges projections or pushes filters down.
     """
     return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of the writes made inside go as soon as their output is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back; its shuffle files are freed."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    with freed_shuffles(spark):
+        df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from foliolake.llm import decontamination, quality_rules, warc
+from pyspark.sql import functions as F
+
+from foliolake.llm import (
+    decontamination,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    quality_classifier,
+    quality_rules,
+    simhash_dedup,
+    spm_sampling,
+    substring_dedup,
+    warc,
+)
 from foliolake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +111,86 @@ SELECT page_id, payload_bytes, sha256(payload) AS payload_digest,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM firsts
 """
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
+SQL["op6_substring_dedup"] = r"""
+WITH parts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i,
+    unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS words
+  FROM parts),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS least FROM windows)
+  WHERE least < doc_id),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS places FROM later, range(13) AS o(k) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w
+    ELSE list_filter(w, lambda x, n: NOT list_contains(places, n)) END, ' ')) AS kept_sha256
+FROM parts LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash_dedup.components(table(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op1_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_sampling.sampled(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.report(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k
+  FROM documents),
+told AS (SELECT doc_id, k, line, regexp_matches(line, '[^ \t-\r]') AS full_line FROM lines),
+numbered AS (
+  SELECT doc_id, k, line, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM told WHERE full_line),
+windows AS (
+  SELECT doc_id, i, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS three,
+    lead(i, 2) OVER w AS last FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY three ORDER BY doc_id, i) AS n FROM windows WHERE last IS NOT NULL)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + o.k AS i FROM later, (VALUES (0), (1), (2)) AS o(k)),
+dropped AS (SELECT doc_id, k FROM gone JOIN numbered USING (doc_id, i)),
+marked AS (
+  SELECT told.*, d.k IS NOT NULL AS out FROM told LEFT JOIN dropped d USING (doc_id, k))
+SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (out) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT out), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
