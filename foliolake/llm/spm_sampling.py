@@ -23,6 +23,7 @@ fewer segmentations than draws gives all of them. A null key seeds like -1; repe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +43,8 @@ _MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _FILTER = 20  # bits of the first look-up
+_FINE = 2.0**32
+_LONG = 512  # bytes of a chunk that is worked on alone
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -121,7 +124,7 @@ class Lattice:
         # A character without a piece of its own length is spelled in bytes.
         width = np.ones(n, np.int64)
         starts = np.flatnonzero(lead)
-        if not len(starts) or starts[0] != 0:
+        if n and (not len(starts) or starts[0] != 0):
             starts = np.concatenate(([0], starts)).astype(np.int64)
         width[starts] = np.diff(np.append(starts, n))
         width = np.minimum(width, chunk_end - place)
@@ -144,8 +147,6 @@ class Lattice:
             filled[at] += 1
         self.source = np.repeat(place, degree[:-1])
         self.data, self.end = data, end
-        self.final = np.zeros(n + 1, bool)
-        self.final[end] = True
         self._normalize(begin, end)
 
     def _normalize(self, begin: np.ndarray, end: np.ndarray) -> None:
@@ -154,9 +155,12 @@ class Lattice:
         ends, lengths = end[order], (end - begin)[order]
         # The end of a chunk is the begin of the next, so the sum at an end is kept apart: it is zero.
         beta = np.zeros(len(self.data) + 1)
+        self.closing = np.repeat(end, self._edges_per_chunk(begin, end)) == self.target
+        single = int(np.searchsorted(-lengths, -_LONG, side="left"))
+        for stop, length in zip(ends[:single].tolist(), lengths[:single].tolist()):
+            self._normalize_alone(stop - length, stop)
+        ends, lengths = ends[single:], lengths[single:]
         steps = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")
-        at_end = self.final[self.target] & (np.repeat(end, self._edges_per_chunk(begin, end)) == self.target)
-        self.closing = at_end
         for distance, n in enumerate(steps, 1):
             states = ends[:n] - distance
             degree = self.first[states + 1] - self.first[states]
@@ -165,13 +169,29 @@ class Lattice:
                 continue
             stops = np.cumsum(degree)
             edges = np.arange(int(stops[-1])) + np.repeat(self.first[states] - (stops - degree), degree)
-            values = self.log[edges] + np.where(at_end[edges], 0.0, beta[self.target[edges]])
+            values = self.log[edges] + np.where(self.closing[edges], 0.0, beta[self.target[edges]])
             top = np.maximum.reduceat(values, stops - degree)
             total = np.log(np.add.reduceat(np.exp(values - np.repeat(top, degree)), stops - degree)) + top
             beta[states] = total
             self.log[edges] = values - np.repeat(total, degree)
         self.share = np.exp(self.log)
 
+    def _normalize_alone(self, begin: int, end: int) -> None:
+        """The same for one long chunk, state by state."""
+        low = int(self.first[begin])
+        first = (self.first[begin : end + 1] - low).tolist()
+        target = (self.target[low : low + first[-1]] - begin).tolist()
+        log = self.log[low : low + first[-1]].tolist()
+        beta = [0.0] * (end - begin + 1)
+        for state in range(end - begin - 1, -1, -1):
+            a, b = first[state], first[state + 1]
+            if a < b:
+                values = [log[k] + beta[target[k]] for k in range(a, b)]
+                top = max(values)
+                beta[state] = total = top + math.log(sum([math.exp(v - top) for v in values]))
+                log[a:b] = [v - total for v in values]
+        self.log[low : low + first[-1]] = log
+
     def _edges_per_chunk(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self.first[end] - self.first[begin]
 
@@ -190,22 +210,43 @@ class Lattice:
         """Edges from each state to the end of its chunk, one state after another, and their numbers."""
         going, at, steps = np.arange(len(states)), states, []
         counts = np.zeros(len(states), np.int64)
-        while len(going):
+        while len(going) > 4 or len(steps) < 64 and len(going):
             edge = self.choose(at, uniform(seeds[going], len(steps)))
             steps.append((going, edge))
             counts[going] += 1
             on = ~self.closing[edge]
             going, at = going[on], self.target[edge[on]]
+        rest = [self._walk_alone(int(s), seeds[who], len(steps)) for who, s in zip(going, at)]
+        counts[going] += np.array([len(r) for r in rest], np.int64)
         offset = np.concatenate(([0], np.cumsum(counts)))
         edges = np.empty(int(offset[-1]), np.int64)
         for k, (who, edge) in enumerate(steps):
             edges[offset[who] + k] = edge
+        for who, own in zip(going, rest):
+            edges[offset[who + 1] - len(own) : offset[who + 1]] = own
         return edges, counts
 
-
-def uniform(seeds: np.ndarray, number: int) -> np.ndarray:
-    """Uniform values inside (0, 1) of seeds and a number."""
-    bits = mix(seeds + np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    def _walk_alone(self, state: int, seed: np.uint64, number: int) -> list[int]:
+        """The rest of a long walk, edge by edge, with the same noise."""
+        edges: list[int] = []
+        first, share, closing, target = self.first, self.share, self.closing, self.target
+        while True:
+            for u in uniform(seed, np.arange(number, number + 1024)).tolist():
+                edge, last = int(first[state]), int(first[state + 1]) - 1
+                u -= share[edge]
+                while u >= 0 and edge < last:
+                    edge += 1
+                    u -= share[edge]
+                edges.append(edge)
+                if closing[edge]:
+                    return edges
+                state = int(target[edge])
+            number += 1024
+
+
+def uniform(seeds, number) -> np.ndarray:
+    """Uniform values inside (0, 1) of seeds and numbers, one of which may be an array."""
+    bits = mix(np.atleast_1d(seeds + (np.asarray(number, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -235,10 +276,11 @@ class _Path:
         self.spent = np.array(lattice.share[edges])
         if branch is not None:  # siblings before the branch belong to the parent; at it, several are spent
             self.spent[self.offset[:-1] + branch] = spent
-        along = np.cumsum(logs) - logs
-        along -= np.repeat(along[np.minimum(self.offset[:-1], max(len(along) - 1, 0))] if len(along) else np.zeros(len(rows)), counts)
-        self.before = along
-        self.log = np.add.reduceat(np.append(logs, 0.0), self.offset[:-1]) * (counts > 0)
+        # Whole multiples of 2**-32 add up alike in any slice.
+        whole = np.rint(logs * _FINE).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(whole)))
+        along = (total[:-1] - np.repeat(total[self.offset[:-1]], counts)) / _FINE
+        self.log = (total[self.offset[1:]] - total[self.offset[:-1]]) / _FINE
         with np.errstate(divide="ignore"):
             mass = along + np.log(np.maximum(1.0 - self.spent, 0.0) * (np.abs(1.0 - self.spent) > 1e-12))
         place = (np.arange(len(edges)) - np.repeat(self.offset[:-1], counts)).astype(np.uint64)
@@ -453,7 +495,7 @@ def _sampler(model: str, draws: int, power: float, slice_bytes: int):
                 same = [a == b for a, b in zip(back.to_pylist(), (part[int(r)].as_py().replace(_MARK, " ") for r in row))]
                 yield pa.record_batch(
                     [ids.take(pa.array(row)), pa.array(draw, pa.int32()),
-                     pa.array(np.diff(lists.offsets.to_numpy()), pa.int32()), pa.array(log), pa.array(inclusion), lists,
+                     pa.array(np.diff(lists.offsets.to_numpy()), pa.int32()), pa.array(log + 0.0), pa.array(inclusion), lists,
                      pa.array(same, pa.bool_())],
                     names=["doc_id", "draw", "n_pieces", "log_prob", "inclusion", "ids", "round_trip"],
                 )
