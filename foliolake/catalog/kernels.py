@@ -101,6 +101,17 @@ def gray_histogram(spark, sf):
     return kernels.histogram(text(spark, sf))
 
 
+@query(
+    "otsu_single_level_pages",
+    sql=f"WITH {DENSE} SELECT page_id, y, x, 0 AS threshold, CASE WHEN page_id % 4 = 0 THEN 0 ELSE 255 END AS v FROM dense",
+)
+def otsu_single_level_pages(spark, sf):
+    """Pages of one gray level each: black ones stay black, all others turn white."""
+    level = F.element_at(F.array(F.lit(0), F.lit(90), F.lit(200), F.lit(255)), (F.col("page_id") % 4 + 1).cast("int"))
+    flat = dense(spark, sf).withColumn("values", F.transform("values", lambda v: level))
+    return raster.to_pixels(kernels.otsu_binarize(flat), "binary", keep=("threshold",))
+
+
 @query(
     "otsu_binarized",
     sql=f"WITH {DENSE}, {otsu_sql('dense')} SELECT page_id, y, x, threshold, "

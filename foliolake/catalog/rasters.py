@@ -72,8 +72,8 @@ def otsu_sql(source: str, name: str = "otsu", value: str = "v", keys: str = "pag
          ELSE ((ts * w - tw * s) * (ts * w - tw * s)) / (w * (tw - w)) END AS b FROM {name}_cum
 ),
 {name} AS (
-  SELECT {keys}, CAST(v AS INT) AS threshold FROM (
-    SELECT {keys}, v, row_number() OVER (PARTITION BY {keys} ORDER BY b DESC, v) AS rn FROM {name}_var) WHERE rn = 1
+  SELECT {keys}, CAST(CASE WHEN b > 0 THEN v ELSE 0 END AS INT) AS threshold FROM (
+    SELECT {keys}, v, b, row_number() OVER (PARTITION BY {keys} ORDER BY b DESC, v) AS rn FROM {name}_var) WHERE rn = 1
 )"""
 
 

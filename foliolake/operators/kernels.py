@@ -51,7 +51,10 @@ def histogram(scan: DataFrame, values: str = "values", keys: Sequence[str] = (PA
 
 
 def otsu_threshold(hist: DataFrame, keys: Sequence[str] = (PAGE,)) -> DataFrame:
-    """First maximum of the between-class variance; a window holds one page's 256 levels at most."""
+    """First maximum of the between-class variance; a window holds one page's 256 levels at most.
+
+    A page of one level has no split with a variance; its threshold is 0, so a blank page stays blank.
+    """
     upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     page = Window.partitionBy(*keys)
     n = F.col("n").cast("double")
@@ -61,7 +64,8 @@ def otsu_threshold(hist: DataFrame, keys: Sequence[str] = (PAGE,)) -> DataFrame:
     gap = F.col("ts") * F.col("w") - F.col("tw") * F.col("s")
     between = F.coalesce(F.try_divide(gap * gap, F.col("w") * (F.col("tw") - F.col("w"))), F.lit(0.0))
     return rows.groupBy(*keys).agg(
-        F.max_by("v", F.struct(between, -F.col("v"))).cast("int").alias("threshold")
+        F.when(F.max(between) > 0, F.max_by("v", F.struct(between, -F.col("v")))).otherwise(F.lit(0))
+        .cast("int").alias("threshold")
     )
 
 

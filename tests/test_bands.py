@@ -117,3 +117,12 @@ def test_hot_page_facts_are_dealt_out(spark, scan_of):
     facts = raster.page_shape(scan)
     dealt = raster.attach_page_values(scan, facts)
     assert dealt.count() == 4001 and {r.height for r in dealt.where("page_id = 1").select("height").distinct().collect()} == {4000}
+
+
+def test_single_level_pages_stay_as_they_are(scan_of, plane_of):
+    from foliolake.operators import kernels
+
+    pages = {1: [[255] * 8] * 4, 2: [[0] * 8] * 4, 3: [[90] * 8] * 4, 4: [[10] * 4 + [200] * 4] * 4}
+    out = plane_of(kernels.otsu_binarize(scan_of(pages)), "binary")
+    assert out[1] == [[255] * 8] * 4 and out[2] == [[0] * 8] * 4 and out[3] == [[255] * 8] * 4
+    assert out[4] == [[0] * 4 + [255] * 4] * 4
