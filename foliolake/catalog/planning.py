@@ -341,6 +341,29 @@ def resolved_presets(spark, sf):
     return resolved(spark, sf)
 
 
+@query(
+    "refused_configs",
+    sql="SELECT doc_id AS config_id, 'unknown preset ' || CASE WHEN doc_id % 14 = 0 THEN 'null' ELSE 'typo' END AS problem FROM documents WHERE doc_id % 7 = 0 "
+    "UNION ALL SELECT doc_id, 'blur.radius must be ordered within its limits' FROM documents WHERE doc_id % 5 = 0 AND (doc_id % 9 > 5 OR doc_id % 9 < doc_id % 4) "
+    "UNION ALL SELECT doc_id, 'unknown field blur.colour' FROM documents WHERE doc_id % 5 = 1 "
+    "UNION ALL SELECT doc_id, 'unknown field fog.depth' FROM documents WHERE doc_id % 5 = 2 "
+    "UNION ALL SELECT doc_id, 'operation_count must be ordered within its limits' FROM documents WHERE doc_id % 5 = 3 AND doc_id % 3 = 0",
+)
+def refused_configs(spark, sf):
+    """Unknown presets, families and fields, and ranges outside their limits."""
+    d, doc = docs(spark, sf), F.col("doc_id")
+    name = F.when(doc % 14 == 0, F.lit(None)).when(doc % 7 == 0, F.lit("typo")).otherwise(F.lit("light"))
+    part = lambda *texts: F.element_at(F.array(*map(F.lit, texts)), (doc % 5 + 1).cast("int"))
+    micro = F.when(doc % 5 == 0, F.lit(1_000_000)).otherwise(F.lit(1))
+    overrides = d.select(
+        doc.alias("config_id"), part("blur", "blur", "fog", "", "jpeg").alias("family"),
+        part("radius", "colour", "depth", "operation_count", "quality").alias("field"),
+        F.when(doc % 5 == 0, (doc % 4) * micro).when(doc % 5 == 3, doc % 3).otherwise(F.lit(30)).cast("bigint").alias("low"),
+        F.when(doc % 5 == 0, (doc % 9) * micro).otherwise(F.lit(40)).cast("bigint").alias("high"),
+    )
+    return augment.refused_configs(d.select(doc.alias("config_id"), name.alias("preset")), overrides)
+
+
 @query("configs_without_family", sql=f"WITH {CUSTOM} SELECT config_id FROM resolved WHERE family <> '' GROUP BY config_id HAVING NOT bool_or(enabled)")
 def configs_without_family(spark, sf):
     return augment.configs_without_family(resolved(spark, sf))
@@ -429,8 +452,9 @@ def completed_datasets(spark, sf):
 
 @query(
     "reproduction_audit",
-    sql="SELECT doc_id AS sample_id, array_to_string(list_filter([CASE WHEN doc_id % 4 = 1 THEN 'input' END, CASE WHEN doc_id % 6 = 1 THEN 'clean' END], lambda c: c IS NOT NULL), ',') AS differences, "
-    "CASE WHEN doc_id % 4 <> 1 AND doc_id % 6 <> 1 AND doc_id % 5 <> 0 THEN 'exact' ELSE 'best-effort' END AS status FROM documents",
+    sql="SELECT doc_id AS sample_id, CASE WHEN doc_id % 11 = 3 THEN 'not recomputed' ELSE array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'environment' END, "
+    "CASE WHEN doc_id % 4 = 1 THEN 'input' END, CASE WHEN doc_id % 6 = 1 THEN 'clean' END], lambda c: c IS NOT NULL), ',') END AS differences, "
+    "CASE WHEN doc_id % 11 = 3 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'best-effort' WHEN doc_id % 4 = 1 OR doc_id % 6 = 1 THEN 'failed' ELSE 'exact' END AS status FROM documents",
 )
 def reproduction_audit(spark, sf):
     doc = F.col("doc_id")
@@ -438,7 +462,7 @@ def reproduction_audit(spark, sf):
     stored = docs(spark, sf).select(doc.alias("sample_id"), F.sha2("text", 256).alias("input"), F.sha2("text", 256).alias("clean"), F.lit("1").alias("version"))
     again = docs(spark, sf).select(
         doc.alias("sample_id"), made("x", 4).alias("input"), made("y", 6).alias("clean"), F.when(doc % 5 == 0, F.lit("2")).otherwise(F.lit("1")).alias("version")
-    )
+    ).where(doc % 11 != 3)
     audit = resume.reproduction_audit(stored, again, ("input", "clean"), ("version",))
     return audit.withColumn("differences", F.array_join("differences", ","))
 

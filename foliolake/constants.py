@@ -132,3 +132,14 @@ PRESETS = {
 CUSTOM_BASE_PRESET = "light"
 INTEGER_FIELDS = ("grid_size", "quality", "blob_count", "operation_count")
 MICRO = 1_000_000
+
+# What a config may ask for, per family and field (lowest, highest).
+LIMITS = {
+    "blur": {"radius": (0.0, 5.0)},
+    "gaussian_noise": {"sigma": (0.0, 50.0)},
+    "uneven_illumination": {"strength": (0.0, 0.5), "grid_size": (2, 12)},
+    "jpeg": {"quality": (20, 100)},
+    "stains": {
+        "opacity": (0.0, 0.5), "blob_count": (0, 100), "blob_radius_fraction": (0.001, 0.1), "speckle_density": (0.0, 0.01),
+    },
+}

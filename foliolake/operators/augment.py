@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliolake.constants import LIMITS, PRESETS
 from foliolake.functions.rand import keyed_digest, unit_uniform
 from foliolake.operators import stencil
 from foliolake.operators.raster import PAGE, attach_page_values, page_shape
 from foliolake.session import shared
 
 PRIME = 2**31 - 1
-MAX_RADIUS = 5.0  # largest blur radius a config may ask for
-MAX_GRID = 12
+MAX_RADIUS = LIMITS["blur"]["radius"][1]
+MAX_GRID = LIMITS["uneven_illumination"]["grid_size"][1]
 
 
 def _rows(column: pa.Array, dtype) -> list[np.ndarray]:
@@ -49,7 +50,9 @@ def blur_taps(sigma: float) -> np.ndarray:
 
 
 def blur(scan: DataFrame, values: str = "values", sigma: str = "sigma") -> DataFrame:
-    """Gaussian blur with a page-wide ``sigma`` column; edges are replicated."""
+    """Gaussian blur with a page-wide ``sigma`` column; edges are replicated. A sigma above the limit is refused."""
+    wide = F.col(sigma) > MAX_RADIUS
+    scan = scan.withColumn(sigma, F.when(wide, F.raise_error(F.lit(f"blur radius is above {MAX_RADIUS}"))).otherwise(F.col(sigma)))
 
     def kernel(planes):
         return {values: _clip(stencil.smooth(planes[values], blur_taps(float(planes["_sigma"][0, 0])), "edge"))}
@@ -276,14 +279,48 @@ def _apply(planes) -> np.ndarray:
     return values
 
 
+#: Families whose pixels this package does not make.
+UNAPPLIED = ("jpeg",)
+
+
+def unapplied_steps(recipes: DataFrame) -> DataFrame:
+    """(page_id, order, family) of the recipe steps that ``apply_recipes`` leaves out."""
+    return recipes.select(PAGE, F.explode("degradations").alias("o")).where(F.col("o.family").isin(*UNAPPLIED)).select(
+        PAGE, F.col("o.order").alias("order"), F.col("o.family").alias("family")
+    )
+
+
+def refused_steps(recipes: DataFrame) -> DataFrame:
+    """(page_id, order, family, field, value) of parameters outside their limits, and of unknown families.
+
+    Parameters that a family does not use are not looked at.
+    """
+    bounds = F.create_map(*[
+        item for family, fields in LIMITS.items() for field, (low, high) in fields.items()
+        for item in (F.lit(f"{family}.{field}"), F.array(F.lit(float(low)), F.lit(float(high))))
+    ])
+    steps = recipes.select(PAGE, F.explode("degradations").alias("o"))
+    each = steps.select(
+        PAGE, F.col("o.order").alias("order"), F.col("o.family").alias("family"), F.explode_outer("o.parameters").alias("field", "value")
+    )
+    span = bounds[F.concat_ws(".", "family", "field")]
+    known = F.col("family").isin(*LIMITS)
+    return each.where(~known | (F.col("value") < span[0]) | (F.col("value") > span[1]))
+
+
 def apply_recipes(scan: DataFrame, recipes: DataFrame, values: str = "values") -> DataFrame:
     """Apply each page's ordered operations; pages without a recipe come through unchanged.
 
+    Steps outside the limits of ``refused_steps`` are an error. Steps of a family in ``UNAPPLIED`` are left
+    out; ``unapplied_steps`` lists them.
     ``recipes`` has ``page_id, degradations array<struct<order,family,seed,parameters map<string,double>>>``.
     The whole chain runs in one band pass whose halo is the summed reach of the longest chain, so pixels
     are shuffled once however many operations there are. Noise coefficients, light grids and stain masks
     are made beside the scanlines before that.
     """
+    bad = refused_steps(recipes).count()
+    if bad:
+        raise ValueError(f"{bad} recipe parameters are outside their limits; refused_steps lists them")
     shape = page_shape(scan, values)
     facts = shared(_recipe_facts(recipes, shape))
     halo = int(facts.agg(F.max("_halo")).first()[0] or 0)
@@ -340,6 +377,8 @@ def augment(scan: DataFrame, samples: DataFrame, config: str = "medium", seed: i
     from foliolake.functions.rand import seed63
     from foliolake.plans.augment import augmentation_plan, preset_config
 
+    if config not in PRESETS:
+        raise ValueError(f"unknown preset {config!r}; expected one of: {', '.join(PRESETS)}")
     families, ranges = preset_config(F.lit(config))
     own = F.col("seed") if "seed" in samples.columns else seed63(seed, F.col(PAGE).cast("string"))
     planned = augmentation_plan(samples.select(PAGE, own.alias("seed")), families, ranges)

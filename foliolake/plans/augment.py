@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.constants import CUSTOM_BASE_PRESET, FAMILIES, INTEGER_FIELDS, MICRO, PRESETS
+from foliolake.constants import CUSTOM_BASE_PRESET, FAMILIES, INTEGER_FIELDS, LIMITS, MICRO, PRESETS
 from foliolake.functions.rand import int_between, keyed_digest, pick, seed63
 
 FIELDS = {family: tuple(PRESETS[CUSTOM_BASE_PRESET][family]) for family in FAMILIES}
@@ -53,6 +53,33 @@ def resolve_presets(plan: DataFrame, overrides: DataFrame | None = None) -> Data
     return joined
 
 
+def refused_configs(plan: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(config_id, problem) of plan rows with an unknown preset and of overrides that no config may have.
+
+    An override is refused for an unknown family or field, and for a range that is not ordered inside the
+    field's limits. ``resolve_presets`` is meant for what is left.
+    """
+    presets = [*PRESETS, "custom"]
+    unknown = plan.where(F.col("preset").isNull() | ~F.col("preset").isin(presets)).select(
+        "config_id", F.concat(F.lit("unknown preset "), F.coalesce("preset", F.lit("null"))).alias("problem")
+    )
+    name = F.when(F.col("family") == "", F.col("field")).otherwise(F.concat_ws(".", "family", "field"))
+    top = 2**62
+    limits = [("operation_count", 1, top)] + [
+        (f"{family}.{field}", _units(field, low), _units(field, high))
+        for family, fields in LIMITS.items() for field, (low, high) in fields.items()
+    ]
+    table = F.create_map(*[x for key, low, high in limits for x in (F.lit(key), F.array(F.lit(low).cast("bigint"), F.lit(high).cast("bigint")))])
+    span = table[name]
+    wrong = F.coalesce(F.col("low") < span[0], F.lit(False)) | F.coalesce(F.col("high") > span[1], F.lit(False)) | F.coalesce(
+        F.col("low") > F.col("high"), F.lit(False)
+    )
+    problem = F.when(span.isNull(), F.concat(F.lit("unknown field "), name)).when(
+        wrong, F.concat(name, F.lit(" must be ordered within its limits"))
+    )
+    return unknown.unionByName(overrides.select("config_id", problem.alias("problem")).where("problem IS NOT NULL"))
+
+
 def configs_without_family(resolved: DataFrame) -> DataFrame:
     """Configs that end up with every family switched off, which is an error."""
     on = F.max(F.when(F.col("family") != "", F.col("enabled")))

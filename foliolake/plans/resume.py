@@ -52,16 +52,22 @@ def completed_datasets(records: DataFrame, problems: DataFrame, metadata: DataFr
 
 
 def reproduction_audit(stored: DataFrame, recomputed: DataFrame, roles: Sequence[str], environment: Sequence[str]) -> DataFrame:
-    """Stored against recomputed hashes per sample; exact only if the environment is equal as well."""
-    joined = stored.alias("s").join(recomputed.alias("r"), "sample_id")
+    """Stored against recomputed hashes per sample.
+
+    ``exact``: all equal. ``best-effort``: the environment differs, which is listed as a difference.
+    ``failed``: the environment is equal and a hash differs, or the sample was not recomputed.
+    """
+    joined = stored.alias("s").join(recomputed.withColumn("_made", F.lit(True)).alias("r"), "sample_id", "left")
+    made = F.coalesce("_made", F.lit(False))
     differs = lambda c: ~F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
-    differences = F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in roles]))
     same_environment = F.lit(True)
     for column in environment:
         same_environment = same_environment & ~differs(column)
+    found = [F.when(~same_environment, F.lit("environment")), *[F.when(differs(c), F.lit(c)) for c in roles]]
+    differences = F.when(made, F.array_compact(F.array(*found))).otherwise(F.array(F.lit("not recomputed")))
+    status = F.when(made & (F.size(differences) == 0), F.lit("exact")).when(made & ~same_environment, F.lit("best-effort"))
     return joined.select(
-        "sample_id", differences.alias("differences"),
-        F.when(same_environment & (F.size(differences) == 0), F.lit("exact")).otherwise(F.lit("best-effort")).alias("status"),
+        "sample_id", differences.alias("differences"), status.otherwise(F.lit("failed")).alias("status")
     )
 
 

@@ -79,3 +79,40 @@ def test_hash_sees_size_and_pixels(scan_of):
     h = {r.page_id: r.pixel_sha256 for r in augment.pixel_hash(scan_of({1: [[1, 2], [3, 4]], 2: [[1, 2], [3, 4]], 3: [[1, 2, 3, 4]], 4: [[1, 2], [3, 5]]})).collect()}
     assert h[1] == h[2] and len(set(h.values())) == 3
     assert augment.pixel_hash(scan_of({1: [[1]]})).select(F.length("pixel_sha256")).first()[0] == 64
+
+
+@pytest.mark.parametrize(
+    "family, parameters",
+    [("blur", dict(radius=12.0)), ("uneven_illumination", dict(strength=0.2, grid_size=14)), ("gaussian_noise", dict(sigma=-1.0)), ("fog", dict(depth=1.0))],
+)
+def test_out_of_range_steps_are_refused(spark, scan_of, page, family, parameters):
+    steps = recipe(spark, family, **parameters)
+    assert augment.refused_steps(steps).count() == 1
+    with pytest.raises(ValueError, match="outside their limits"):
+        augment.apply_recipes(scan_of({1: page}), steps)
+
+
+def test_limits_themselves_are_exact_over_bands(spark, scan_of, plane_of):
+    tall = np.random.default_rng(3).integers(0, 256, (300, 40))
+    out = np.array(plane_of(augment.apply_recipes(scan_of({1: tall}), recipe(spark, "blur", radius=5.0)))[1])
+    from foliolake.operators import stencil
+
+    want = stencil.smooth(tall.astype(float), augment.blur_taps(5.0), "edge")
+    np.testing.assert_array_equal(out, np.clip(stencil.to_level(want), 0, 255))
+
+
+def test_wide_blur_column_is_refused(spark, scan_of, page):
+    with pytest.raises(Exception, match="blur radius"):
+        augment.blur(scan_of({1: page}).withColumn("sigma", F.lit(6.0))).collect()
+
+
+def test_unapplied_steps_are_listed(spark):
+    rows = augment.unapplied_steps(recipe(spark, "jpeg", quality=80)).collect()
+    assert [(r.page_id, r.order, r.family) for r in rows] == [(1, 1, "jpeg")]
+
+
+@pytest.mark.parametrize("config", ["typo", "custom"])
+def test_unknown_preset_is_refused(spark, scan_of, page, config):
+    scan = scan_of({1: page})
+    with pytest.raises(ValueError, match="unknown preset"):
+        augment.augment(scan, scan.select("page_id").distinct(), config)
