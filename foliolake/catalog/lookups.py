@@ -256,4 +256,4 @@ def page_order_by_suffix(spark, sf):
     from foliolake.operators.ranking import sorted_rank
 
     names = table(spark, sf, "nation").select(F.concat(F.lit("score-page"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("name"))
-    return sorted_rank(names.withColumn("page", page_number_of(F.col("name"))), ["page"], "position", parts=4)
+    return sorted_rank(names.withColumn("page", page_number_of(F.col("name"))), ["page"], "position")

@@ -19,7 +19,7 @@ from foliolake.operators.ranking import rank_within
 def log(spark, sf):
     """Events as an epoch log: run = user, epoch = rank in time, loss = value."""
     rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    return rank_within(rows, "user_id", ("ts", "event_id"), "epoch", parts=8).select(
+    return rank_within(rows, "user_id", ("ts", "event_id"), "epoch").select(
         F.col("user_id").alias("run_id"), "epoch", F.col("value").alias("loss"), "event_id"
     )
 

@@ -36,17 +36,22 @@ def hash_rank(rows: DataFrame, digest: Column, ties: Sequence[str], out: str = "
     return _with_offsets(keyed, "_bucket", ["_digest", *ties], out).drop("_digest")
 
 
-def sorted_rank(rows: DataFrame, order: Sequence[str], out: str = "rank", parts: int = 64) -> DataFrame:
-    """1-based rank by sort order over range partitions.
+ROWS_PER_PART = 250_000
+
+
+def sorted_rank(rows: DataFrame, order: Sequence[str], out: str = "rank", parts: int | None = None) -> DataFrame:
+    """1-based rank by sort order over range partitions, as many as the counted rows need.
 
     Range bounds are sampled, so the partition numbers are frozen by a reliable checkpoint before
     they are counted.
     """
+    if parts is None:
+        parts = 1 + rows.count() // ROWS_PER_PART
     ranged = rows.repartitionByRange(parts, *order).withColumn("_bucket", F.spark_partition_id())
     return _with_offsets(checkpointed(ranged), "_bucket", list(order), out)
 
 
-def rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str = "rank", parts: int = 64) -> DataFrame:
+def rank_within(rows: DataFrame, group: str, order: Sequence[str], out: str = "rank", parts: int | None = None) -> DataFrame:
     """1-based rank inside each group without gathering a group: the rank over all rows sorted by group
     and order, less the group's first rank. A group with a third of all rows spans many partitions."""
     ranked = sorted_rank(rows, [group, *order], "_global", parts)

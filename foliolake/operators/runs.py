@@ -30,12 +30,15 @@ def early_stopping(log: DataFrame, patience: int, loss: str = "loss") -> DataFra
     ``log`` has ``run_id, epoch, loss``. The run stops at the first epoch whose streak exceeds
     ``patience``; rows after it are marked ``after_stop``.
     """
+    # As if every run began at infinity: a NaN or null loss never improves and never is the best.
+    given = F.col(loss)
+    log = log.withColumn("_given", given).withColumn(loss, F.coalesce(F.nanvl(given.cast("double"), F.lit(float("inf"))), F.lit(float("inf"))))
     inside = Window.partitionBy("run_id", "_block").orderBy("epoch")
     earlier, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = log.withColumn("_block", F.floor(F.col("epoch") / BLOCK))
     rows = _best_before_block(rows, loss)
     best = F.least(F.min(loss).over(earlier), F.col("_before_min"))
-    rows = rows.withColumn("_best", best).withColumn("improved", F.coalesce(F.col(loss) < F.col("_best"), F.lit(True)))
+    rows = rows.withColumn("_best", best).withColumn("improved", F.col(loss) < F.coalesce("_best", F.lit(float("inf"))))
     rows = rows.withColumn("_pos", F.row_number().over(inside)).drop("_before_min")
     hit = F.when(F.col("improved"), F.col("_pos"))
     rows = _with_stale(rows, hit, upto)
@@ -43,7 +46,7 @@ def early_stopping(log: DataFrame, patience: int, loss: str = "loss") -> DataFra
     stop = rows.where(F.col("stale_epochs") > patience).groupBy("run_id").agg(F.min("epoch").alias("stop_epoch"))
     marked = attach_page_values(rows, stop, ("run_id",), deal="epoch", how="left")
     return marked.select(
-        "run_id", "epoch", loss, "best_loss", "improved", "stale_epochs", "stop_epoch",
+        "run_id", "epoch", F.col("_given").alias(loss), "best_loss", "improved", "stale_epochs", "stop_epoch",
         F.coalesce(F.col("epoch") > F.col("stop_epoch"), F.lit(False)).alias("after_stop"),
     )
 

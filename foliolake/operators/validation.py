@@ -81,7 +81,7 @@ def nonempty(path: str) -> Column:
 
 def structural_problems(lines: DataFrame) -> DataFrame:
     """Blank lines, broken JSON and lines that are not objects."""
-    blank = F.trim("value") == ""
+    blank = F.col("value").rlike(r"^\s*$")
     broken = ~blank & F.col(DOC).isNull()
     other = F.col(DOC).isNotNull() & ~F.schema_of_variant(DOC).startswith("OBJECT")
     return rule_rows(

@@ -55,12 +55,14 @@ def commit_output(
 
     The marker row appears only after the checks pass, and readers ask for it with ``is_complete``;
     a failed or half-written output is never taken for a finished one. An existing target is refused.
+    Problems are written beside the data, all of them, and the error names their number and place.
     """
     rows.write.mode("errorifexists").parquet(f"{path}/data")
     if check is not None:
-        problems = check(spark.read.parquet(f"{path}/data")).limit(5).collect()
-        if problems:
-            raise ValueError(f"output check failed: {problems}")
+        check(spark.read.parquet(f"{path}/data")).write.mode("errorifexists").parquet(f"{path}/problems")
+        count = spark.read.parquet(f"{path}/problems").count()
+        if count:
+            raise ValueError(f"output check failed: {count} problems in {path}/problems")
     spark.range(1).select(F.lit("complete").alias("status")).write.mode("errorifexists").json(f"{path}/committed")
 
 

@@ -107,3 +107,10 @@ def test_record_rules_work_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert sorted(r.rule for r in spark.table("structural").collect()) == ["blank_line", "invalid_json", "not_object"]
+
+
+def test_nan_loss_never_improves(spark):
+    log = spark.createDataFrame([(1, 1, float("nan")), (1, 2, 5.0), (1, 3, float("nan")), (1, 4, 4.0)], "run_id bigint, epoch bigint, loss double")
+    rows = {r.epoch: r for r in runs.early_stopping(log, 1).collect()}
+    assert [rows[e].improved for e in (1, 2, 3, 4)] == [False, True, False, True]
+    assert [rows[e].best_loss for e in (2, 3, 4)] == [5.0, 5.0, 4.0]
