@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import checked_side, materialized
+from foliolake.llm.common import checked_side, materialized, written
 from foliolake.session import checkpointed
 
 SHINGLE = 3
@@ -161,7 +161,7 @@ def sharded(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE, round
         share = sample / sum(large.values())
         picked = rows.filter(F.col("shard").isin(list(large))) if len(large) < 200 else rows
         # Every large shard gives its fingerprints with the smallest hashes, in proportion to its size.
-        bound = int(min(share, 1.0) * (2**63 - 1))
+        bound = 2**63 - 1 if share >= 1 else int(share * 2.0**63)
         picked = picked.filter(F.xxhash64("fp", "shard").bitwiseAND((1 << 63) - 1) <= bound).limit(2 * sample).toPandas()
         trees = {}
         for number, prints in picked.groupby("shard")["fp"]:
@@ -227,26 +227,30 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def rooted(edges: DataFrame) -> DataFrame:
-    """(fp, root) with one root per fingerprint of a component: iterated minima with pointer jumping."""
-    edges = checkpointed(edges)
+    """(fp, root) with one root per fingerprint of a component: iterated minima with pointer jumping.
+
+    Every round is written to the shared folder and read back, so plans and lineage stay short.
+    """
+    edges = written(edges, "links")
     while True:
-        least = checkpointed(edges.groupBy("fp").agg(F.min("root").alias("least"), F.count("*").alias("n")))
-        # Other roots of a fingerprint are linked to its least one.
-        several = least.filter("n > 1").select("fp", "least")
-        relinked = (
-            edges.join(several, "fp").filter("root > least").select(F.col("root").alias("fp"), F.col("least").alias("root"))
+        # A fingerprint keeps its least root; its other roots are linked to that one.
+        least = edges.groupBy("fp").agg(F.min("root").alias("least"))
+        relinked = edges.join(written(least, "least"), "fp")
+        joined = written(
+            relinked.select(
+                F.when(F.col("root") == F.col("least"), F.col("fp")).otherwise(F.col("root")).alias("fp"),
+                F.col("least").alias("root"),
+                (F.col("root") > F.col("least")).alias("moved"),
+            ).groupBy("fp", "root").agg(F.max("moved").alias("moved")).filter("fp <> root"),
+            "joined",
+        )
+        parents = written(joined.groupBy(F.col("fp").alias("root")).agg(F.min("root").alias("parent")), "parents")
+        jumped = joined.join(parents, "root", "left").select(
+            "fp", F.coalesce("parent", "root").alias("root"), (F.col("moved") | F.col("parent").isNotNull()).alias("moved")
         )
-        joined = least.select("fp", F.col("least").alias("root")).unionByName(relinked.distinct())
-        parents = checkpointed(joined.groupBy("fp").agg(F.min("root").alias("parent")))
-        jumped = joined.alias("e").join(
-            parents.select(F.col("fp").alias("root"), "parent"), "root", "left"
-        ).select("fp", F.coalesce("parent", "root").alias("root"), F.col("parent").isNotNull().alias("moved"))
-        jumped = checkpointed(jumped.groupBy("fp", "root").agg(F.max("moved").alias("moved")))
+        jumped = written(jumped.groupBy("fp", "root").agg(F.max("moved").alias("moved")), "jumped")
         edges = jumped.select("fp", "root")
-        rows, distinct, moved = jumped.agg(
-            F.count("*"), F.count_distinct("fp"), F.coalesce(F.max("moved"), F.lit(False))
-        ).first()
-        if rows == distinct and not moved:
+        if not jumped.filter("moved").limit(1).count():
             return edges
 
 
