@@ -45,7 +45,7 @@ def source_hash_problems(spark, sf):
 @query(
     "located_samples",
     sql="WITH r AS (SELECT event_type AS file, CAST(user_id * 100 + event_id % 7 AS VARCHAR) AS sample_id FROM events), "
-    "w AS (SELECT CAST(user_id * 100 + 3 AS VARCHAR) AS sample_id FROM events UNION SELECT CAST(event_id + 1000000 AS VARCHAR) FROM events WHERE event_id < 50) "
+    "w AS (SELECT CAST(user_id * 100 + 3 AS VARCHAR) AS sample_id FROM events UNION SELECT 'x' || event_id FROM events) "
     "SELECT w.sample_id, count(r.file) AS matches, CASE WHEN count(r.file) = 1 THEN min(r.file) END AS file, "
     "CASE count(r.file) WHEN 0 THEN 'not found' WHEN 1 THEN 'ok' ELSE 'occurs in multiple datasets' END AS status FROM w LEFT JOIN r USING (sample_id) GROUP BY w.sample_id",
 )
@@ -53,7 +53,7 @@ def located_samples(spark, sf):
     events = table(spark, sf, "events")
     records = events.select(F.col("event_type").alias("file"), (F.col("user_id") * 100 + F.col("event_id") % 7).cast("string").alias("sample_id"))
     wanted = events.select((F.col("user_id") * 100 + 3).cast("string").alias("sample_id")).union(
-        events.where("event_id < 50").select((F.col("event_id") + 1000000).cast("string"))
+        events.select(F.concat(F.lit("x"), F.col("event_id").cast("string")))
     ).distinct()
     return lookups.locate_samples(records, wanted)
 

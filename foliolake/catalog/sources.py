@@ -45,11 +45,80 @@ def numbered_lines(spark, sf):
 def metadata_scan(spark, sf):
     path = scratch(spark)
     rows = table(spark, sf, "events").groupBy(F.col("event_type").alias("dataset_id")).agg(F.count(F.lit(1)).alias("sample_count"))
-    sinks.canonical_lines(rows.withColumn("schema_version", F.lit(1))).write.text(path)
-    # one object per file is the stored form; here each line is its own object
-    from foliolake import schemas
+    sinks.canonical_lines(rows.withColumn("schema_version", F.lit(1))).write.option("maxRecordsPerFile", 1).text(path)
+    return manifests.read_dataset_metadata(spark, path).select("schema_version", "dataset_id", "sample_count")
 
-    return spark.read.schema(schemas.DATASET_METADATA).json(path).select("schema_version", "dataset_id", "sample_count")
+
+@query(
+    "asset_manifest_scan",
+    sql="SELECT 1 AS schema_version, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS line_no, "
+    "'w' || p_partkey AS id, p_name AS title, 'old' AS basis FROM part",
+)
+def asset_manifest_scan(spark, sf):
+    """One source manifest per brand, a bounded catalogue each, read back with list positions."""
+    path = scratch(spark)
+    rights = F.struct(F.lit("public_domain").alias("status"), F.lit("old").alias("basis"))
+    work = F.struct("p_partkey", F.struct(
+        F.concat(F.lit("w"), key("p_partkey")).alias("id"), F.col("p_name").alias("title"), rights.alias("composition_rights")
+    ).alias("s"))
+    listed = table(spark, sf, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(work)), lambda w: w["s"]).alias("scores"))
+    listed.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "scores"))).write.option("maxRecordsPerFile", 1).text(path)
+    return manifests.read_asset_manifest(spark, path).select("schema_version", "line_no", "id", "title", F.col("composition_rights.basis").alias("basis"))
+
+
+@query(
+    "catalogue_scan",
+    sql="SELECT 'r' || p_brand AS repository, 'abc' AS commit, 'w' || p_partkey AS id, CAST(1750 + p_size AS INT) AS death_year FROM part",
+)
+def catalogue_scan(spark, sf):
+    """One catalogue per brand, read back as works with their upstream columns."""
+    path = scratch(spark)
+    work = F.struct(F.concat(F.lit("w"), key("p_partkey")).alias("id"), (F.lit(1750) + F.col("p_size")).cast("int").alias("death_year"))
+    upstream = F.struct(F.concat(F.lit("r"), "p_brand").alias("repository"), F.lit("abc").alias("commit"))
+    listed = table(spark, sf, "part").groupBy("p_brand").agg(F.collect_list(work).alias("scores"))
+    listed.select(F.to_json(F.struct(upstream.alias("upstream"), "scores"))).write.option("maxRecordsPerFile", 1).text(path)
+    return manifests.read_catalogue(spark, path).select("repository", "commit", "id", "death_year")
+
+
+@query("artifact_hashes", sql="SELECT sha256(text || chr(10)) AS sha256, CAST(NULL AS INT) AS width FROM benchmark")
+def artifact_hashes(spark, sf):
+    """Every benchmark item in a file of its own; bytes hashed by the artifact scan, sizes only for images."""
+    path = scratch(spark)
+    table(spark, sf, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return rasters.stored_artifacts(spark, path, "*.txt").select("sha256", "width")
+
+
+@query(
+    "sample_bundles_with_masks",
+    sql="WITH d AS (SELECT vec_id // 50 AS page_id, CAST(vec_id % 50 AS INT) AS y, CAST(list_sum(list_transform(embedding, lambda f: least(255, greatest(0, floor(128.5 + 256 * CAST(f AS DOUBLE)))))) AS BIGINT) AS s FROM embeddings) "
+    "SELECT 's' || page_id AS sample_id, y, s AS input_mass, s AS mask_staff_mass, CAST(64 * 255 - s AS BIGINT) AS mask_text_mass FROM d",
+)
+def sample_bundles_with_masks(spark, sf):
+    """Full bundles: one column per role, masks included."""
+    page = dense(spark, sf)
+    path = lambda r: F.concat(F.lit(f"{r}/"), key("page_id"))
+    turned = F.transform("values", lambda v: 255 - v)
+    roles = {"input": F.col("values"), "clean": turned, "background": turned, "staff": F.col("values"), "notation": turned, "text": turned}
+    stored = None
+    for role, values in roles.items():
+        rows = page.select(path(role).alias("page_id"), "y", values.alias("values"))
+        stored = rows if stored is None else stored.unionByName(rows)
+    samples = page.select("page_id").distinct().select(
+        F.concat(F.lit("s"), key("page_id")).alias("sample_id"), path("input").alias("input_path"), path("clean").alias("clean_target_path"),
+        F.create_map(*[x for r in ("background", "staff", "notation", "text") for x in (F.lit(r), path(r))]).alias("mask_paths"),
+    )
+    mass = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v).alias(f"{c}_mass")
+    return rasters.load_samples(samples, stored).select("sample_id", "y", mass("input"), mass("mask_staff"), mass("mask_text"))
+
+
+@query(
+    "sample_table_slice",
+    sql="SELECT 's' || doc_id AS sample_id, doc_id + 1 AS line_no FROM documents WHERE doc_id >= 10 AND (doc_id - 10) % 3 = 0",
+)
+def sample_table_slice(spark, sf):
+    """Every third sample of the table handle from the eleventh on."""
+    rows = docs(spark, sf).select(F.concat(F.lit("s"), key("doc_id")).alias("sample_id"), (F.col("doc_id") + 1).alias("line_no"))
+    return rasters.SampleTable(rows)[10::3]
 
 
 @query("canonical_lines", sql="SELECT '{\"a\":' || event_id || ',\"m\":\"' || event_type || '\",\"z\":' || user_id || '}' AS value FROM events")

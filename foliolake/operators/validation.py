@@ -117,13 +117,16 @@ def timestamp_ok(value: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(value).isNotNull() & zoned, F.lit(False))
 
 
+PROVENANCE_FIELDS = ("source_url", "composition_rights", "source_file_rights", "verified_date")
+
+
 def sample_rules() -> list[Rule]:
     """All rules that look at one record only."""
     masks_ok = F.col("masks_ok")
     width, height = integer("dimensions.width"), integer("dimensions.height")
     dimensions_ok = F.coalesce(is_object("dimensions") & (width > 0) & (height > 0), F.lit(False))
     provenance = is_object("source_provenance")
-    absent = missing_fields(("source_url", "composition_rights", "source_file_rights", "verified_date"), "source_provenance")
+    absent = missing_fields(PROVENANCE_FIELDS, "source_provenance")
     rules = [
         *[rule(f"{f}_text", f"{f} must be a nonempty string", ~nonempty(f)) for f in ("sample_id", "dataset_id", "source_id")],
         rule("split", f"split must be one of {', '.join(SPLITS)}", ~text("split").isin(*SPLITS)),
@@ -148,10 +151,10 @@ def sample_rules() -> list[Rule]:
             text("created_at").isNotNull() & ~timestamp_ok(text("created_at")),
         ),
         rule("provenance", "source_provenance must be a mapping", ~provenance),
-        rule(
-            "provenance_fields", F.concat(F.lit("source_provenance requires "), F.array_join(absent, ", ")),
-            provenance & (F.size(absent) > 0),
-        ),
+        *[
+            rule("provenance_fields", f"source_provenance requires {f}", provenance & F.array_contains(absent, f))
+            for f in PROVENANCE_FIELDS
+        ],
         *_rights_rules("composition_rights"), *_rights_rules("source_file_rights"),
         rule("mask_paths", "mask_paths must contain exactly background, notation, staff, text", ~masks_ok),
         rule("hashes", "hashes must be a mapping", masks_ok & ~is_object("hashes")),
@@ -277,7 +280,7 @@ def reusable_records(declared: DataFrame, stored: DataFrame, expected: int = len
 def metadata_problems(lines: DataFrame, metadata: DataFrame) -> DataFrame:
     """Dataset metadata against the records of its manifest: version, count, id and source splits.
 
-    ``metadata`` has ``file`` and the metadata columns. The source map is compared entry by entry.
+    ``metadata`` has ``file`` and the metadata columns. A manifest without metadata is a problem too. The source map is compared entry by entry.
     """
     records = complete_records(lines)
     counted = records.groupBy("file").agg(F.count(F.lit(1)).alias("records"))
@@ -294,14 +297,16 @@ def metadata_problems(lines: DataFrame, metadata: DataFrame) -> DataFrame:
         .where(~F.col("split").eqNullSafe(F.col("told_split")))
         .groupBy("file").agg(F.count(F.lit(1)).alias("odd"))
     )
-    joined = metadata.join(counted, "file", "left").join(named, "file", "left").join(odd, "file", "left")
+    joined = metadata.withColumn("_told", F.lit(True)).join(counted, "file", "full").join(named, "file", "left").join(odd, "file", "left")
+    told = F.col("_told").isNotNull()
     return rule_rows(
         joined, ("file",),
         [
-            rule("metadata_version", f"dataset metadata schema_version must be {MANIFEST_SCHEMA_VERSION}", ~F.col("schema_version").eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION))),
-            rule("metadata_count", "dataset metadata sample_count does not match the records", ~F.col("sample_count").eqNullSafe(F.coalesce("records", F.lit(0)))),
-            rule("metadata_id", "dataset metadata dataset_id does not match the records", F.col("first_id").isNotNull() & ~F.col("dataset_id").eqNullSafe(F.col("first_id"))),
-            rule("metadata_splits", "dataset metadata source_splits does not match the records", F.coalesce("odd", F.lit(0)) > 0),
+            rule("metadata_missing", "dataset metadata is missing or is not an object", ~told),
+            rule("metadata_version", f"dataset metadata schema_version must be {MANIFEST_SCHEMA_VERSION}", told & ~F.col("schema_version").eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION))),
+            rule("metadata_count", "dataset metadata sample_count does not match the records", told & ~F.col("sample_count").eqNullSafe(F.coalesce("records", F.lit(0)))),
+            rule("metadata_id", "dataset metadata dataset_id does not match the records", told & F.col("first_id").isNotNull() & ~F.col("dataset_id").eqNullSafe(F.col("first_id"))),
+            rule("metadata_splits", "dataset metadata source_splits does not match the records", told & (F.coalesce("odd", F.lit(0)) > 0)),
         ],
     )
 

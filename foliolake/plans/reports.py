@@ -137,8 +137,17 @@ def source_audit(problems: DataFrame) -> DataFrame:
     ).orderBy("source_id")
 
 
-def latency_report(timings: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Measured latency and rate per page from the seconds the scoring tasks report."""
+def latency_report(timings: DataFrame, metadata: DataFrame, wall_seconds: float | None = None) -> DataFrame:
+    """Measured latency and rate per page from the seconds the scoring tasks report, and one total row.
+
+    The total has a NULL page. Its time is the run's wall clock where that is given, else the summed
+    latencies, which are longer than the run when pages are scored side by side.
+    """
     spent = timings.groupBy(PAGE).agg(F.sum("seconds").alias("latency_seconds"))
-    pixels: Column = F.col("width") * F.col("height") / 1e6
-    return metadata.join(spent, PAGE).withColumn("megapixels_per_second", F.try_divide(pixels, F.col("latency_seconds")))
+    pages = metadata.join(spent, PAGE).withColumn("_pixels", F.col("width") * F.col("height"))
+    summed = F.sum("latency_seconds") if wall_seconds is None else F.lit(float(wall_seconds))
+    total = pages.groupBy("tile_size", "overlap").agg(
+        F.sum("tile_count").alias("tile_count"), summed.alias("latency_seconds"), F.sum("_pixels").alias("_pixels")
+    )
+    rows = pages.unionByName(total, allowMissingColumns=True)
+    return rows.withColumn("megapixels_per_second", F.try_divide(F.col("_pixels") / 1e6, F.col("latency_seconds"))).drop("_pixels")

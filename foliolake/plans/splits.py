@@ -27,9 +27,11 @@ def split_of(source_id: Column, weights: Mapping[str, float], seed: int) -> Colu
 
 
 def selected_splits(asked: Sequence[str] | None) -> tuple[str, ...]:
-    """Requested splits in canonical order; unknown names are refused."""
+    """Requested splits in canonical order; unknown names and an empty selection are refused."""
     if asked is None:
         return SPLITS
+    if not asked:
+        raise ValueError("no split is selected")
     unknown = sorted(set(asked) - set(SPLITS))
     if unknown:
         raise ValueError(f"unknown split(s): {', '.join(unknown)}")
