@@ -31,6 +31,11 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, because it is longer than all of them."""
+    return "_" * (1 + max(map(len, df.columns)))
+
+
 def materialized(df: DataFrame) -> tuple[DataFrame, int]:
     """A reliable checkpoint and its row count."""
     kept = checkpointed(df)

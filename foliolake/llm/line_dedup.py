@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import checked_side, materialized, whole_text
+from foliolake.llm.common import checked_side, free_prefix, materialized, whole_text
 from foliolake.llm.words import window_hashes
 from foliolake.session import checkpointed
 
@@ -122,34 +122,41 @@ def _cut(text: str | None, starts: list[int] | None, run: int) -> tuple[str | No
     return left.decode("utf-8", "surrogatepass"), len(places), int(gone.sum()), runs
 
 
-ADDED = "_n_lines bigint, _n_removed bigint, _removed array<struct<line:int,lines:int>>"
+_ADDED = (("n_lines", "bigint"), ("n_removed", "bigint"), ("removed", "array<struct<line:int,lines:int>>"))
 _RUNS = pa.list_(pa.struct([("line", pa.int32()), ("lines", pa.int32())]))
 
 
-def _cutter(run: int):
+def _cutter(run: int, prefix: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                _cut(t.as_py(), s.as_py(), run) for t, s in zip(batch.column("text"), batch.column("_starts"))
+                _cut(t.as_py(), s.as_py(), run) for t, s in zip(batch.column("text"), batch.column(f"{prefix}starts"))
             ]
             texts, lines, removed, runs = zip(*rows) if rows else ((), (), (), ())
             place = batch.schema.get_field_index("text")
             batch = batch.set_column(place, "text", pa.array(texts, pa.string()))
-            batch = batch.drop_columns(["_starts"])
+            batch = batch.drop_columns([f"{prefix}starts"])
             columns = [*batch.columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, _RUNS)]
-            yield pa.record_batch(columns, names=[*batch.schema.names, "_n_lines", "_n_removed", "_removed"])
+            yield pa.record_batch(columns, names=[*batch.schema.names, *(prefix + name for name, _ in _ADDED)])
 
     return cut
 
 
-def cut_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with ``text`` cut, and _n_lines, _n_removed, _removed (first line and number of lines)."""
-    spans, n = materialized(repeated_windows(docs, run))
-    spans = spans.select(F.col("doc_id").alias("_key"), F.col("starts").alias("_starts"))
+def cut_lines(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, str]:
+    """``docs`` with ``text`` cut and three columns more: n_lines, n_removed, removed (first line, lines).
+
+    The names of the three begin with the prefix that is returned, which no column of ``docs`` has.
+    """
+    prefix = free_prefix(docs)
+    # The join is never a broadcast of ours: a third of all documents may have a repeated run.
+    spans = checkpointed(repeated_windows(docs, run)).select(
+        F.col("doc_id").alias(f"{prefix}key"), F.col("starts").alias(f"{prefix}starts")
+    )
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.join(checked_side(spans, n, 20_000), key == F.col("_key"), "left").drop("_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_cutter(run), f"{schema}, {ADDED}")
+    joined = docs.join(spans, key == F.col(f"{prefix}key"), "left").drop(f"{prefix}key")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    schema += [f"`{prefix}{name}` {kind}" for name, kind in _ADDED]
+    return joined.mapInArrow(_cutter(run, prefix), ", ".join(schema)), prefix
 
 
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -157,16 +164,18 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     ``n_chars``, where the table has it, follows the text.
     """
-    cut = cut_lines(docs, run).filter("_n_removed = 0 OR _n_removed < _n_lines")
+    cut, prefix = cut_lines(docs, run)
+    removed, lines = F.col(f"{prefix}n_removed"), F.col(f"{prefix}n_lines")
+    cut = cut.filter((removed == 0) | (removed < lines))
     if "n_chars" in docs.columns:
-        length = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    return cut.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, n_lines, n_removed, removed, kept_text of every document."""
-    return cut_lines(docs.select("doc_id", "text"), run).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-        F.col("_removed").alias("removed"), whole_text().alias("kept_text"),
+    cut, prefix = cut_lines(docs.select("doc_id", "text"), run)
+    return cut.select(
+        "doc_id", *(F.col(prefix + name).alias(name) for name, _ in _ADDED), whole_text().alias("kept_text")
     )

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.llm.common import SPACE, split_words, whole_text
+from foliolake.llm.common import bound_once, free_prefix, split_words, whole_text
 
 #: Frequent function words of the corpus languages.
 STOP_WORDS = (
@@ -61,98 +61,93 @@ STATISTICS = (
 
 def _only(text: Column, others: str) -> Column:
     """Number of characters left when the runs matching ``others`` are taken out."""
-    return F.length(F.regexp_replace(text, others, "")).cast("long")
+    return F.length(F.regexp_replace(text, others, ""))
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words covered by windows found twice; ``windows`` are (hash, place) sorted, null if all differ."""
-    places = F.transform(
-        windows,
-        lambda e, k: F.when(
-            (F.get(windows, k - 1)["h"] == e["h"]) | (F.get(windows, k + 1)["h"] == e["h"]), e["i"]
-        ),
+def _repeat_words(words: Column) -> Column:
+    """Words covered by windows of five words that are found twice or more.
+
+    Windows are compared by a 64-bit hash within one text; only texts in which some hash repeats are sorted.
+    """
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size(words) - WINDOW),
+        lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))),
     )
-    return F.array_sort(F.array_compact(places))
 
+    def places(windows: Column) -> Column:
+        """Where windows start whose hash a neighbour in hash order shares."""
+        twice = lambda e, k: (F.get(windows, k - 1)["h"] == e["h"]) | (F.get(windows, k + 1)["h"] == e["h"])
+        return F.array_sort(F.array_compact(F.transform(windows, lambda e, k: F.when(twice(e, k), e["i"]))))
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """Add every column of ``STATISTICS``.
+    def covered(starts: Column) -> Column:
+        gaps = F.transform(starts, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, k + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(gaps, F.lit(0), lambda total, n: total + n)
 
-    Windows of five words are compared by a 64-bit hash within one text; only texts in which some
-    window repeats are sorted.
-    """
-    text = whole_text()
-    own = [c for c in docs.columns if c not in STATISTICS]
-    staged = docs.select(
-        *own,
-        split_words(text).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]")).alias("_lines"),
-    )
-    word = F.col("_words")
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.size(word) - WINDOW),
-        lambda i: F.xxhash64(*(F.get(word, i + k) for k in range(WINDOW))),
-    )
-    staged = staged.withColumn("_hashes", F.when(F.size(word) >= WINDOW, hashed))
-    staged = staged.withColumn(
-        "_sorted",
-        F.when(
-            F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
-            F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ),
-    )
-    staged = staged.withColumn("_places", _repeat_words(F.col("_sorted")))
-    places = F.col("_places")
-    covered = F.aggregate(
-        F.transform(places, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(places, k + 1) - p, F.lit(WINDOW)))),
-        F.lit(0),
-        lambda total, n: total + n,
-    )
-    lines, n = F.col("_lines"), F.size(word).cast("long")
-    return staged.select(
-        *own,
-        n.alias("n_words"),
-        F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
-        _only(text, SYMBOLS).alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        _only(text, "[^!]+").alias("n_exclamations"),
-        _only(text, r"[^\p{Lu}]+").alias("n_capitals"),
-        _only(text, r"[^\p{L}]+").alias("n_letters"),
-        F.size(F.filter(word, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-    )
+    def repeated(h: Column) -> Column:
+        windows = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        counted = bound_once(windows, lambda w: bound_once(places(w), covered))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), counted).otherwise(0)
+
+    return F.when(F.size(words) >= WINDOW, bound_once(hashes, repeated)).otherwise(0)
+
+
+def statistics(text: Column) -> Column:
+    """A struct of every name in ``STATISTICS``; words and lines are taken once per row."""
 
+    def counted(words: Column, lines: Column) -> Column:
+        counts = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": _only(text, SYMBOLS),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": _repeat_words(words),
+            "n_exclamations": _only(text, "[^!]+"),
+            "n_capitals": _only(text, r"[^\p{Lu}]+"),
+            "n_letters": _only(text, r"[^\p{L}]+"),
+            "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))),
+        }
+        return F.struct(*(counts[name].cast("long").alias(name) for name in STATISTICS))
 
-def _passes(rule: Rule) -> Column:
-    value = F.col(rule.numerator).cast("double")
+    full_lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
+    return bound_once(split_words(text), lambda words: bound_once(full_lines, lambda lines: counted(words, lines)))
+
+
+def _passes(rule: Rule, row: Column) -> Column:
+    value = row[rule.numerator].cast("double")
     if rule.denominator:
-        value = F.coalesce(F.try_divide(value, F.col(rule.denominator).cast("double")), F.lit(0.0))
-    checks = [value >= rule.least] if rule.least is not None else []
-    checks += [value <= rule.most] if rule.most is not None else []
-    passed = checks[0]
-    for check in checks[1:]:
-        passed = passed & check
+        value = F.coalesce(F.try_divide(value, row[rule.denominator].cast("double")), F.lit(0.0))
+    passed = F.lit(True)
+    if rule.least is not None:
+        passed = passed & (value >= rule.least)
+    if rule.most is not None:
+        passed = passed & (value <= rule.most)
     return passed
 
 
-def _all(rules) -> Column:
+def _all(rules, row: Column) -> Column:
     passed = F.lit(True)
     for rule in rules:
-        passed = passed & _passes(rule)
+        passed = passed & _passes(rule, row)
     return passed
 
 
 def judged(docs: DataFrame, base=BASE_RULES, rules=RULES) -> DataFrame:
     """Add the statistics, ``base_failed``, ``kept`` and ``failed_rules`` (names, in table order)."""
-    columns = with_statistics(docs.drop("base_failed", "kept", "failed_rules"))
-    broken = F.array_compact(F.array(*(F.when(~_passes(r), F.lit(r.name)) for r in (*base, *rules))))
-    return columns.withColumns(
-        {"base_failed": ~_all(base), "kept": _all((*base, *rules)), "failed_rules": broken}
+    added = (*STATISTICS, "base_failed", "kept", "failed_rules")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    name = free_prefix(docs)
+    rows, row = docs.select(*own, statistics(whole_text()).alias(name)), F.col(name)
+    broken = F.array_compact(F.array(*(F.when(~_passes(r, row), F.lit(r.name)) for r in (*base, *rules))))
+    return rows.select(
+        *own,
+        *(row[c].alias(c) for c in STATISTICS),
+        (~_all(base, row)).alias("base_failed"),
+        _all((*base, *rules), row).alias("kept"),
+        broken.alias("failed_rules"),
     )
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass every rule, with their own columns."""
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), whole_text().alias("text"))
-    return judged(marked).filter("kept").select("_row.*")
+def kept_documents(docs: DataFrame, base=BASE_RULES, rules=RULES) -> DataFrame:
+    """The documents that pass every rule, as they are."""
+    return docs.filter(bound_once(statistics(whole_text()), lambda row: _all((*base, *rules), row)))
