@@ -240,6 +240,8 @@ def scored(docs: DataFrame) -> DataFrame:
     )
     rows = cells.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(rows.to_numpy(dtype=np.int64).reshape(-1, 4), types)
+    if not tokens:
+        weights[:] = (0.0, 0.0, 1.0)
     return parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _score(chunks, weights, types, tokens), SCHEMA
     )
