@@ -30,13 +30,17 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """A row of the threshold table: ``least <= numerator / denominator <= most``."""
+    """A row of the threshold table: ``least <= numerator / denominator <= most``.
+
+    Texts of fewer than ``from_words`` words pass, because a ratio of so few says little.
+    """
 
     name: str
     numerator: str
     denominator: str | None
     least: float | None = None
     most: float | None = None
+    from_words: int = 0
 
 
 #: Base rules decide ``base_failed``; the others are added to reach ``kept``.
@@ -50,7 +54,7 @@ RULES = (
     Rule("exclamations", "n_exclamations", "n_words", most=0.50),
     Rule("capitals", "n_capitals", "word_chars", most=0.50),
     Rule("letters", "n_letters", "word_chars", least=0.50),
-    Rule("stop_words", "n_stop_words", "n_words", least=0.01),
+    Rule("stop_words", "n_stop_words", "n_words", least=0.01, from_words=40),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.50),
 )
 STATISTICS = (
@@ -122,7 +126,7 @@ def _passes(rule: Rule, row: Column) -> Column:
         passed = passed & (value >= rule.least)
     if rule.most is not None:
         passed = passed & (value <= rule.most)
-    return passed
+    return passed if not rule.from_words else passed | (row["n_words"] < rule.from_words)
 
 
 def _all(rules, row: Column) -> Column:

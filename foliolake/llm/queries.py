@@ -90,7 +90,7 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 25 AND n_symbols / n_words <= 0.25
     AND n_exclamations / n_words <= 0.5 AND n_capitals / word_chars <= 0.5 AND n_letters / word_chars >= 0.5
-    AND n_stop_words / n_words >= 0.01 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
+    AND (n_words < 40 OR n_stop_words / n_words >= 0.01) AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept
 FROM judged
 """
 
