@@ -233,6 +233,44 @@ def sample_records(spark, sf):
     )
 
 
+@query(
+    "records_validate",
+    sql=f"WITH {PLAN} SELECT sample_id, 'dimensions' AS rule, 'dimensions must contain positive integer width and height' AS message FROM plan WHERE page % 7 = 3 "
+    "UNION ALL SELECT sample_id, 'provenance_fields', 'source_provenance requires verified_date' FROM plan WHERE source_id IN (SELECT max(source_id) FROM plan)",
+)
+def records_validate(spark, sf):
+    """Complete records of the plan pass our own rules; broken page sizes and one unverified source do not."""
+    from foliolake.operators import validation
+
+    planned = augment.augmentation_plan(plan(spark, sf), *augment.preset_config(F.col("preset")))
+    last = planned.agg(F.max("source_id")).first()[0]
+    rights = F.struct(F.lit("public_domain").alias("status"), F.lit("old").alias("basis"))
+    assets = planned.select("source_id").distinct().select(
+        "source_id", F.concat("source_id", F.lit(".ly")).alias("source_path"), F.sha2("source_id", 256).alias("source_sha256"),
+        F.lit("public_domain").alias("source_license_status"), F.concat(F.lit("https://example.org/"), "source_id").alias("source_url"),
+        rights.alias("composition_rights"), rights.alias("source_file_rights"),
+        F.when(F.col("source_id") != last, F.lit("2026-08-13")).alias("verified_date"),
+    )
+    roles = ("input", "clean", "recipe", "mask_background", "mask_staff", "mask_notation", "mask_text")
+    hashes = planned.select("sample_id", *[F.sha2(F.concat("sample_id", F.lit(r)), 256).alias(r) for r in roles])
+    seed = rand.hash_u64(SEED, F.col("render_id"))
+    parameters = F.struct(
+        F.lit(16.0).alias("staff_size"), F.lit("a4").alias("paper_format"), F.lit("portrait").alias("orientation"),
+        F.struct(*[F.lit(10.0).alias(side) for side in ("top", "right", "bottom", "left")]).alias("margins_mm"),
+        seed.alias("layout_seed"), F.lit(300).alias("dpi"), F.lit(0.5).alias("mask_threshold"), F.lit(True).alias("strict_unknown_grobs"),
+    )
+    renders = planned.select("render_id", "page").distinct().select(
+        "render_id", "page", F.when(F.col("page") % 7 == 3, 0).otherwise(2480).alias("width"), F.lit(3508).alias("height"),
+        F.lit(300).alias("dpi"), parameters.alias("render_parameters"),
+    )
+    rows = samples.full_sample_records(planned, assets, hashes, renders, "demo", "0.1.0", "2.26.0", "2026-08-13T00:00:00Z")
+    lines = rows.select(
+        F.col("sample_id").alias("file"), F.lit(1).cast("bigint").alias("line_no"),
+        F.to_json(F.struct(*[c for c in rows.columns]), {"ignoreNullFields": "true"}).alias("value"),
+    )
+    return validation.record_problems(lines).select(F.col("file").alias("sample_id"), "rule", "message")
+
+
 @query(
     "seeded_sample",
     sql=f"SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY sha256(concat_ws(':', {S}, CAST(user_id AS VARCHAR))), user_id LIMIT 25",

@@ -88,6 +88,26 @@ def sample_records(
     )
 
 
+def full_sample_records(
+    plan: DataFrame, assets: DataFrame, hashes: DataFrame, renders: DataFrame, dataset_id: str,
+    generator_version: str, lilypond_version: str, created_at: str,
+) -> DataFrame:
+    """Records with every required field, ready for ``sinks.write_manifest``.
+
+    Beside what ``sample_records`` needs, ``plan`` has ``degradations``, ``assets`` the two rights structs and
+    ``verified_date``, and ``renders`` gives ``render_id, page, width, height, dpi, render_parameters``.
+    """
+    rows = sample_records(plan, assets, hashes, dataset_id, generator_version).drop("source_provenance")
+    provenance = F.struct("source_url", "composition_rights", "source_file_rights", "verified_date")
+    facts = renders.select("render_id", "page", F.struct("width", "height").alias("dimensions"), "dpi", "render_parameters")
+    return (
+        rows.join(plan.select("sample_id", "degradations"), "sample_id", "left")
+        .join(facts, ["render_id", "page"], "left")
+        .join(assets.select("source_id", provenance.alias("source_provenance")), "source_id", "left")
+        .withColumns({"lilypond_version": F.lit(lilypond_version), "created_at": F.lit(created_at)})
+    )
+
+
 def id_collisions(plan: DataFrame) -> DataFrame:
     """Stable ids that were produced more than once."""
     return plan.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
