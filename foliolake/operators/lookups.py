@@ -14,9 +14,9 @@ from foliolake.session import checkpointed
 
 
 def select_sources(spark: SparkSession, assets: DataFrame, ids: Sequence[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(assets in list order, ids that do not exist). The id list is an argument, so its size is known."""
+    """(assets in list order, ids that do not exist). Spark broadcasts the list if it is small."""
     asked = spark.createDataFrame([(i, s) for i, s in enumerate(ids)], f"pos int, {key} string")
-    found = assets.join(F.broadcast(asked), key).orderBy("pos")
+    found = assets.join(asked, key).orderBy("pos")
     missing = asked.join(assets.select(key).distinct(), key, "left_anti")
     return found, missing
 
@@ -91,7 +91,8 @@ def include_closure(roots: DataFrame, edges: DataFrame, checkpoint_every: int =
     A round joins only the newest pairs with the edges. Lineage is cut by reliable checkpoints; the
     number of rounds is the depth of the include tree, not its size.
     """
-    links = edges.where(~F.col("unsafe")).select("path", "target").distinct()
+    # Kept once: reading the edges again each round would scan the text they come from.
+    links = checkpointed(edges.where(~F.col("unsafe")).select("path", "target").distinct())
     seen = roots.select(F.col("path").alias("root"), "path").distinct()
     newest, depth = seen, 0
     while True:

@@ -55,7 +55,9 @@ def group_tables(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
         changed = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
         for k in keys:
             column = table.column(k)
-            changed |= pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), False).to_numpy()
+            after, before = column.slice(1), column.slice(0, len(column) - 1)
+            one_null = pc.xor(after.is_null(), before.is_null())  # two nulls are the same group
+            changed |= pc.fill_null(pc.not_equal(after, before), False).to_numpy() | one_null.to_numpy()
         cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), table.num_rows]
         yield [table.slice(lo, hi - lo) for lo, hi in zip(cuts[:-2], cuts[1:-1])]
         held = [table.slice(cuts[-2])] if len(cuts) > 1 else []

@@ -126,3 +126,13 @@ def test_single_level_pages_stay_as_they_are(scan_of, plane_of):
     out = plane_of(kernels.otsu_binarize(scan_of(pages)), "binary")
     assert out[1] == [[255] * 8] * 4 and out[2] == [[0] * 8] * 4 and out[3] == [[255] * 8] * 4
     assert out[4] == [[0] * 4 + [255] * 4] * 4
+
+
+def test_a_null_key_is_a_group_of_its_own():
+    import pyarrow as pa
+
+    from foliolake.operators import stencil
+
+    batch = pa.record_batch([pa.array([None, None, 1, 1, None], pa.int64()), pa.array(range(5))], names=["k", "v"])
+    groups = [t.column("v").to_pylist() for part in stencil.group_tables(iter([batch]), ["k"]) for t in part]
+    assert groups == [[0, 1], [2, 3], [4]]
