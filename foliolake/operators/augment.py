@@ -324,7 +324,8 @@ def apply_recipes(scan: DataFrame, recipes: DataFrame, values: str = "values") -
     shape = page_shape(scan, values)
     facts = shared(_recipe_facts(recipes, shape))
     halo = int(facts.agg(F.max("_halo")).first()[0] or 0)
-    untouched = scan.select(PAGE, "y", values).join(recipes.select(PAGE).distinct(), PAGE, "left_anti")
+    planned = recipes.select(PAGE).distinct().withColumn("_planned", F.lit(True))
+    untouched = attach_page_values(scan.select(PAGE, "y", values), planned, how="left").where("_planned IS NULL").drop("_planned")
     steps = F.size("_codes")
     rows = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("values")), facts).join(_recipe_stains(facts), [PAGE, "y"], "left")
     noise = F.transform(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliolake.constants import CLASSES
 from foliolake.functions.pixel import predicted_ink, target_ink
 from foliolake.operators import kernels, metrics, quality, tiles
-from foliolake.operators.raster import PAGE
+from foliolake.operators.raster import PAGE, attach_page_values
 from foliolake.plans.splits import filter_splits
 from foliolake.session import shared
 
@@ -50,7 +50,7 @@ def classical_suite(
     Pages of other splits are dropped before any pixel work.
     """
     chosen = filter_splits(samples, splits)
-    rows = classical_rows(scan.join(chosen.select(PAGE), PAGE, "left_semi"), config).join(
+    rows = classical_rows(attach_page_values(scan, chosen.select(PAGE).distinct()), config).join(
         chosen.select(PAGE, "split"), PAGE
     )
     rows = shared(rows)
