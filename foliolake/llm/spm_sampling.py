@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DRAWS = 2
 POWER = 1.0
 #: Bytes of text that are segmented at once.
-SLICE = 3 << 20
+SLICE = 3 << 18
 _MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -138,14 +139,15 @@ class Lattice:
             degree[at] += 1
         self.first = np.concatenate(([0], np.cumsum(degree[:-1])))
         total = int(self.first[-1])
-        self.piece, self.target = np.empty(total, np.int64), np.empty(total, np.int64)
+        self.piece, self.target = np.empty(total, np.int32), np.empty(total, np.int32)
         self.log = np.empty(total)
         filled = self.first[:-1].copy()
         for at, length, ids, logs in found:
             slot = filled[at]
             self.piece[slot], self.target[slot], self.log[slot] = ids, at + length, logs
             filled[at] += 1
-        self.source = np.repeat(place, degree[:-1])
+        del found, prefix, back, filled
+        self.source = np.repeat(place.astype(np.int32), degree[:-1])
         self.data, self.end = data, end
         self._normalize(begin, end)
 
@@ -481,18 +483,18 @@ def _sampler(model: str, draws: int, power: float, slice_bytes: int):
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, power)
         for batch in batches:
-            texts = batch.column("text").fill_null("").cast(pa.large_string())
-            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + 1 : texts.offset + len(texts) + 1]
+            texts = batch.column("text")
+            bounds = np.cumsum(np.concatenate(([0], pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))))
+            ends = bounds[1:]
             low = 0
             while low < batch.num_rows:
-                start = ends[low - 1] if low else (texts.buffers() and np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
-                high = max(low + 1, int(np.searchsorted(ends, start + slice_bytes, side="right")))
+                high = max(low + 1, int(np.searchsorted(ends, bounds[low] + slice_bytes, side="right")))
                 part = texts.slice(low, high - low)
                 ids = batch.column("doc_id").slice(low, high - low).cast(pa.int64())
                 keys = ids.fill_null(-1).to_numpy(zero_copy_only=False)
                 row, draw, log, inclusion, lists = sample(words, part, keys, draws)
                 back = decode(words, lists)
-                same = [a == b for a, b in zip(back.to_pylist(), (part[int(r)].as_py().replace(_MARK, " ") for r in row))]
+                same = [a == b for a, b in zip(back.to_pylist(), ((part[int(r)].as_py() or "").replace(_MARK, " ") for r in row))]
                 yield pa.record_batch(
                     [ids.take(pa.array(row)), pa.array(draw, pa.int32()),
                      pa.array(np.diff(lists.offsets.to_numpy()), pa.int32()), pa.array(log + 0.0), pa.array(inclusion), lists,
