@@ -15,7 +15,8 @@ broadcast or a join whose partitions Spark can split; places are compared with t
 each other. Lines are compared by 64-bit hashes.
 
 Defined results: null and empty texts, and lines without a word, have nothing to repeat; such lines stay. A
-null doc_id comes after all numbers. Rows that share a doc_id do not repeat each other at the same place.
+null doc_id comes after all numbers. Rows that share a doc_id, or have none, are judged each by its own text
+and follow each other by a hash of it; equal rows do not repeat each other.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from foliolake.llm.words import window_hashes
 from foliolake.session import checkpointed
 
 RUN = 3
-LAST = np.iinfo(np.int64).max
+#: What tells rows apart, in the order of documents: null ids come last.
+KEY = ("missing", "id", "version")
 
 
 def sequence(text: str | None) -> tuple[list[bytes], list[int]]:
@@ -60,13 +62,13 @@ def winnow(hashes: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
 def _select(run: int):
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints, windows, offsets, n = [], [], [], [0], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            rows, prints, windows, offsets, n = [], [], [], [0], 0
+            for row, text in enumerate(batch.column("text")):
                 hashes = _line_hashes(text.as_py())
                 selected, own = winnow(hashes, run)
                 # Selected places never fall, so the windows of one place are neighbours.
                 places, begin = np.unique(selected, return_index=True)
-                ids += [LAST if doc_id is None else doc_id] * len(places)
+                rows += [row] * len(places)
                 prints.append(hashes[places])
                 windows.append(own)
                 offsets += [n + int(e) for e in (*begin[1:], len(own))] if len(own) else []
@@ -75,36 +77,40 @@ def _select(run: int):
             starts = np.concatenate([*(np.arange(len(w)) for w in windows), np.zeros(0, int)]).astype(np.int32)
             bounds = pa.array(offsets, pa.int32())
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()),
+                [*(batch.column(name).take(pa.array(rows, pa.int32())) for name in KEY),
                  pa.array(np.concatenate([*prints, np.zeros(0, np.uint64)]).view(np.int64)),
                  pa.ListArray.from_arrays(bounds, pa.array(starts)), pa.ListArray.from_arrays(bounds, pa.array(flat))],
-                names=["doc_id", "fingerprint", "starts", "windows"],
+                names=[*KEY, "fingerprint", "starts", "windows"],
             )
 
     return select
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id and the starts, counted in lines with a word, of windows that stand earlier elsewhere.
+def _row_key() -> list:
+    """The columns of ``KEY``."""
+    doc_id = F.col("doc_id").cast("long")
+    values = doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64("text")
+    return [value.alias(name) for value, name in zip(values, KEY)]
 
-    Null ids are given as the largest number.
-    """
+
+def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """``KEY`` and the starts, counted in lines with a word, of windows that stand earlier elsewhere."""
     selected = checkpointed(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _select(run), "doc_id bigint, fingerprint bigint, starts array<int>, windows array<bigint>"
+        docs.select(*_row_key(), "text").mapInArrow(
+            _select(run), "missing boolean, id bigint, version bigint, fingerprint bigint, starts array<int>, windows array<bigint>"
         )
     )
     shared, n = materialized(selected.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"))
     matched = selected.join(checked_side(shared, n), "fingerprint", "leftsemi")
     places = checkpointed(
-        matched.select("doc_id", F.explode(F.arrays_zip("starts", "windows")).alias("w"))
-        .select("doc_id", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
+        matched.select(*KEY, F.explode(F.arrays_zip("starts", "windows")).alias("w"))
+        .select(*KEY, F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
     )
-    place = F.struct("doc_id", "start")
+    place = F.struct(*KEY, "start")
     earliest = places.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     earliest, n = materialized(earliest.select("window", "first"))
     later = places.join(checked_side(earliest, n), "window").filter(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy(*KEY).agg(F.collect_set("start").alias("starts"))
 
 
 def _cut(text: str | None, starts: list[int] | None, run: int) -> tuple[str | None, int, int, list[dict]]:
@@ -150,10 +156,11 @@ def cut_lines(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, str]:
     prefix = free_prefix(docs)
     # The join is never a broadcast of ours: a third of all documents may have a repeated run.
     spans = checkpointed(repeated_windows(docs, run)).select(
-        F.col("doc_id").alias(f"{prefix}key"), F.col("starts").alias(f"{prefix}starts")
+        *(F.col(name).alias(prefix + name) for name in KEY), F.col("starts").alias(f"{prefix}starts")
     )
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    joined = docs.join(spans, key == F.col(f"{prefix}key"), "left").drop(f"{prefix}key")
+    keys = [F.col(prefix + name) for name in KEY]
+    same = [own == key for own, key in zip(_row_key(), keys)]
+    joined = docs.join(spans, same, "left").drop(*(prefix + name for name in KEY))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     schema += [f"`{prefix}{name}` {kind}" for name, kind in _ADDED]
     return joined.mapInArrow(_cutter(run, prefix), ", ".join(schema)), prefix
