@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliolake.llm import (
     decontamination,
+    dense_ranking,
     license_scan,
     line_dedup,
     lm_scoring,
@@ -194,3 +195,36 @@ SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (out) AS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT out), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_lexical_search"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+terms AS (
+  SELECT kind, row, id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM texts),
+counted AS (SELECT kind, row, id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counted WHERE kind = 'd' GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals WHERE kind = 'd' GROUP BY term),
+lengthened AS (SELECT row, 100 - 90 + (90 * n * docs) // total AS m FROM lengths, totals),
+scored AS (
+  SELECT i.row, i.id AS item_id, d.row AS doc_row, d.id AS doc_id,
+    sum(w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m)))::BIGINT AS score
+  FROM counted i JOIN counted d ON d.term = i.term AND d.kind = 'd' JOIN weights w ON w.term = i.term
+  JOIN lengthened l ON l.row = d.row WHERE i.kind = 'i' GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 10
+"""
