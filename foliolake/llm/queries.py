@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import (
+    conversation_repair,
     decontamination,
     dense_ranking,
     license_scan,
@@ -228,3 +229,9 @@ SELECT item_id, rank, doc_id, score FROM (
     row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
   FROM scored WHERE score > 0) WHERE rank <= 10
 """
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repaired_conversations(rows)
