@@ -14,6 +14,7 @@ from foliolake.llm import (
     license_scan,
     line_dedup,
     lm_scoring,
+    minhash_dedup,
     quality_classifier,
     quality_rules,
     simhash_dedup,
@@ -235,3 +236,8 @@ SELECT item_id, rank, doc_id, score FROM (
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
     return conversation_repair.repaired_conversations(rows)
+
+
+@query
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.components(table(spark, sf_dir, "documents"))
