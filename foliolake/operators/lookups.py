@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliolake.constants import BUILTIN_INCLUDES, CLASSES, COMPARABLE_IGNORES, INCLUDE_PATTERN
 from foliolake.functions.paths import is_confined, page_dir, stem
 from foliolake.operators.ranking import hash_rank, sorted_rank
+from foliolake.operators.skew import dealt_join
 from foliolake.session import checkpointed
 
 
@@ -22,9 +23,9 @@ def select_sources(spark: SparkSession, assets: DataFrame, ids: Sequence[str], k
 
 
 def source_hash_problems(samples: DataFrame, assets: DataFrame) -> DataFrame:
-    """Samples whose source is unknown or has another hash."""
+    """Samples whose source is unknown or has another hash. A source of many samples is dealt over tasks."""
     own = assets.select("source_id", F.col("source_sha256").alias("asset_sha256"))
-    joined = samples.join(own, "source_id", "left")
+    joined = dealt_join(samples, own, ["source_id"], "left")
     problem = F.when(F.col("asset_sha256").isNull(), F.lit("source is absent")).when(
         F.col("asset_sha256") != F.col("source_sha256"), F.lit("source SHA-256 differs")
     )
@@ -60,10 +61,11 @@ def invalid_existing_ids(records: DataFrame) -> DataFrame:
 def classify_names(names: DataFrame, registry: DataFrame, default: str = "notation") -> DataFrame:
     """Semantic class of each name; names outside the registry take the default and are flagged.
 
-    The registry is a lookup table of names; Spark broadcasts it when its size allows.
+    The registry is a lookup table of names. Where it is too large to be broadcast, a name that fills the table
+    is dealt over tasks.
     """
     known = registry.select("name", F.col("class").alias("_class"))
-    return names.join(known, "name", "left").withColumns(
+    return dealt_join(names, known, ["name"], "left").withColumns(
         {"class": F.coalesce("_class", F.lit(default)), "known": F.col("_class").isNotNull()}
     ).drop("_class")
 
@@ -88,15 +90,16 @@ def include_edges(files: DataFrame, pattern: str = INCLUDE_PATTERN, builtin: Seq
 def include_closure(roots: DataFrame, edges: DataFrame, checkpoint_every: int = 3) -> DataFrame:
     """Every file reachable from each root: ``root, path``. Rounds go on until nothing is new.
 
-    A round joins only the newest pairs with the edges. Lineage is cut by reliable checkpoints; the
-    number of rounds is the depth of the include tree, not its size.
+    A round joins only the newest pairs with the edges; a file that many roots reach is dealt over tasks.
+    Lineage is cut by reliable checkpoints; the number of rounds is the depth of the include tree, not its
+    size. The result has every pair of a root and a file it needs, which is what the closure is.
     """
     # Kept once: reading the edges again each round would scan the text they come from.
     links = checkpointed(edges.where(~F.col("unsafe")).select("path", "target").distinct())
     seen = roots.select(F.col("path").alias("root"), "path").distinct()
     newest, depth = seen, 0
     while True:
-        reached = newest.join(links, "path").select("root", F.col("target").alias("path")).distinct()
+        reached = dealt_join(newest, links, ["path"]).select("root", F.col("target").alias("path")).distinct()
         newest = checkpointed(reached.join(seen, ["root", "path"], "left_anti"))
         if newest.isEmpty():
             return seen
@@ -200,7 +203,7 @@ def source_keys(sources: DataFrame, path: str = "path") -> DataFrame:
     """A distinct key per source: its stem, plus its rank among all sorted sources when stems collide."""
     ranked = sorted_rank(sources.withColumn("stem", stem(F.col(path))), [path], "position")
     crowded = ranked.groupBy("stem").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("stem", F.lit(True).alias("_shared"))
-    keyed = ranked.join(crowded, "stem", "left")
+    keyed = dealt_join(ranked, crowded, ["stem"], "left", deal=F.col("position"))
     key = F.when(F.coalesce("_shared", F.lit(False)), F.concat("stem", F.lit("-"), F.col("position").cast("string"))).otherwise(F.col("stem"))
     return keyed.select(path, key.alias("key"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliolake.constants import CLASSES
 from foliolake.operators.raster import gray_from_image
+from foliolake.operators.skew import dealt_join
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
@@ -54,7 +55,7 @@ def load_samples(samples: DataFrame, scanlines: DataFrame, masks: bool = True) -
     """Sample bundles as scanlines with one array column per role.
 
     ``scanlines`` is keyed by artifact path. Without ``masks`` their paths never enter the join, so
-    mask rows are not looked up at all.
+    mask rows are not looked up at all. A page with very many lines is dealt over tasks by its lines.
     """
     roles = {"input": F.col("input_path"), "clean": F.col("clean_target_path")}
     if masks:
@@ -62,7 +63,7 @@ def load_samples(samples: DataFrame, scanlines: DataFrame, masks: bool = True) -
     wanted = samples.select(
         "sample_id", F.inline(F.array(*[F.struct(F.lit(r).alias("role"), p.alias("path")) for r, p in roles.items()]))
     )
-    rows = wanted.join(scanlines.withColumnRenamed("page_id", "path"), "path")
+    rows = dealt_join(scanlines.withColumnRenamed("page_id", "path"), wanted, ["path"], deal=F.col("y"))
     return rows.groupBy("sample_id", "y").pivot("role", list(roles)).agg(F.first("values"))
 
 
