@@ -7,8 +7,10 @@ similar pairs of a bucket connect. Every decision is made on the whole sets.
 2. Buckets whose members still have several roots are searched by lossless prefix filters. A set's elements are
    put in one order for all sets, rare elements first. If two sets are similar enough, the smaller one has a
    common element in its short index prefix and the larger one has it in its probe prefix; where it stands bounds
-   what can follow (position filter), and sizes must agree (length filter). Members that share no more than a
-   common core have rare elements of their own in these prefixes and never meet.
+   what can follow (position filter), sizes must agree (length filter), and so must a few parity words: every element
+   turns one of ``PARITY`` bits, so the bits in which two sets differ are no more than the elements in which they do.
+   Members that share no more than a common core have rare elements of their own in these prefixes and do not meet,
+   or meet and differ in too many bits; only what passes becomes a row.
 3. While an element still brings together many members of several roots, these are first compared with their
    smallest node, as in step 1. What is left is paired and verified.
 
@@ -31,6 +33,9 @@ from foliolake.llm.words import find_words, hash_words, mix, window_hashes
 
 #: Counters of the element order.
 SLOTS = 1 << 20
+#: Parity bits of a set, in 64-bit words.
+PARITY = 256
+_WORDS = [f"parity{k}" for k in range(PARITY // 64)]
 #: Pairs per member above which the members of an element are first compared with its smallest node.
 CROWD = 8
 
@@ -140,10 +145,16 @@ def prefix_lengths(size: int, percent: int) -> tuple[int, int]:
     return size - -(-2 * percent * size // (100 + percent)) + 1, size - -(-percent * size // 100) + 1
 
 
+def parity_words(values: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of elements falls on it, as 64-bit words."""
+    odd = np.bincount((mix(values + np.uint64(5)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(counts: np.ndarray, percent: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, rows, places, sizes, indexed = [], [], [], [], []
+            tokens, rows, places, sizes, indexed, parity = [], [], [], [], [], []
             for row, own in enumerate(batch.column("shingles")):
                 values = _ordered(np.frombuffer(own.as_buffer(), np.uint64), counts)
                 index, probe = prefix_lengths(len(values), percent)
@@ -152,25 +163,30 @@ def _prefixes(counts: np.ndarray, percent: int):
                 places.append(np.arange(probe))
                 sizes.append(np.full(probe, len(values)))
                 indexed.append(np.arange(probe) < index)
+                parity.append(parity_words(values))
             if rows:
+                words = np.stack(parity).T
                 at = pa.array(np.concatenate(rows))
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)), batch.column("node").take(at), batch.column("root").take(at),
                         pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(indexed)),
+                        *[pa.array(np.ascontiguousarray(w)).take(at) for w in words],
                     ],
-                    names=["token", "node", "root", "size", "place", "indexed"],
+                    names=["token", "node", "root", "size", "place", "indexed", *_WORDS],
                 )
 
     return entries
 
 
 def _fits(a: str, b: str, percent: int):
-    """Length and position filters of two entries of one element, as a condition."""
+    """Length, position and parity filters of two entries of one element, as a condition."""
     small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
     after = F.least(F.col(f"{a}.size") - F.col(f"{a}.place"), F.col(f"{b}.size") - F.col(f"{b}.place"))
     both = F.col(f"{a}.size") + F.col(f"{b}.size")
-    return (100 * small >= percent * large) & ((100 + percent) * after >= percent * both)
+    differing = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS), F.lit(0))
+    in_common = (100 + percent) * (both - differing) >= 2 * percent * both
+    return (100 * small >= percent * large) & ((100 + percent) * after >= percent * both) & in_common
 
 
 def _rerooted(df: DataFrame, roots: DataFrame) -> DataFrame:
@@ -197,6 +213,7 @@ def prefix_links(unsettled: DataFrame, sets: DataFrame, known: DataFrame, percen
     own = written(unsettled.join(sets, "node").select("node", "root", "shingles"), "unsettled")
     counts = element_counts(own)
     schema = "token bigint, node bigint, root bigint, size bigint, place bigint, indexed boolean"
+    schema += "".join(f", {w} bigint" for w in _WORDS)
     entries = written(own.mapInArrow(_prefixes(counts, percent), schema), "prefixes")
     found = known
     while True:

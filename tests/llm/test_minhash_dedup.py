@@ -141,3 +141,22 @@ def test_half_hashes_meet_as_similar_sets_do():
         same = a == b
         met += same[: minhash_dedup.HALVES].any() and same[minhash_dedup.HALVES :].any()
     assert met == 200
+
+
+def test_parity_never_counts_more_than_what_differs():
+    draw = np.random.default_rng(6)
+    for n in (1, 30, 300, 5000):
+        values = draw.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = values[: n - n // 4], values[n // 8 :]
+        differing = int(np.bitwise_count((table_links.parity_words(a) ^ table_links.parity_words(b)).view(np.uint64)).sum())
+        assert differing <= len(np.setxor1d(a, b))
+
+
+def test_short_texts_with_words_left_out_are_not_paired(spark, compared):
+    """All share most of a core of 40 words, yet no two are similar enough."""
+    core = [f"c{k}" for k in range(40)]
+    rows = [(n, " ".join(w for k, w in enumerate(core) if k not in (i, j))) for n, (i, j) in enumerate((i, j) for i in range(3, 37) for j in range(i + 5, 37, 3))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.components(table).collect()}
+    assert got == plain_groups(rows, 3, 85)
+    assert sum(compared) <= 20 * len(rows)
