@@ -146,7 +146,7 @@ def cross_sql(name: str, source: str, grow: bool) -> str:
 
 def chain_sql(source: str, name: str, operation: str) -> str:
     """Ink-side morphology of a binary page as a chain of cross windows."""
-    steps = kernels._morphology_steps(operation, 1)
+    steps = kernels.morphology_steps(operation, 1)
     parts, last = [f"{name}_0 AS MATERIALIZED (SELECT page_id, y, x, 255 - v AS v FROM {source})"], f"{name}_0"
     for i, grow in enumerate(steps, start=1):
         parts.append(cross_sql(f"{name}_{i}", last, grow))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,20 +100,24 @@ def _reduce_row(rows: pa.Array, to: pa.Array) -> pa.Array:
 
 def area_reduce(
     scan: DataFrame, sized: DataFrame, inputs: Sequence[str] = ("values",), to_byte: bool = False,
-    keys: Sequence[str] = (PAGE,),
+    keys: Sequence[str] = (PAGE,), width_of: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Area-weighted shrink to ``(reduced_height, reduced_width)`` given per page in ``sized``.
 
     Rows shrink first inside the scanning stage, so the vertical sums shuffle 1/factor of the pixels
-    and are combined before the shuffle.
+    and are combined before the shuffle. ``width_of`` gives the reduced width from a line's own width, if that
+    is enough; then lines shrink before they even meet the facts of their page.
     """
     ratio = F.col("height") / F.col("reduced_height")
-    rows = attach_page_values(scan.select(*keys, "y", *inputs), sized, keys)
+    lines = scan.select(*keys, "y", *inputs)
+    if width_of is not None:
+        lines = lines.select(*keys, "y", *[_reduce_row(F.col(c), width_of(F.size(c))).alias(c) for c in inputs])
+    rows = attach_page_values(lines, sized, keys)
     low = F.floor(F.col("y") / ratio).cast("int")
     high = F.least(F.ceil((F.col("y") + 1) / ratio - 1e-12) - 1, F.col("reduced_height") - 1).cast("int")
     rows = rows.select(
         *keys, "y", "height", "reduced_height",
-        *[_reduce_row(F.col(c), F.col("reduced_width")).alias(c) for c in inputs],
+        *[(_reduce_row(F.col(c), F.col("reduced_width")) if width_of is None else F.col(c)).alias(c) for c in inputs],
         F.explode(F.sequence(low, F.greatest(low, high))).alias("ry"),
     )
     share = (
@@ -149,18 +153,17 @@ def _divide_background(rows: pa.Array, above: pa.Array, below: pa.Array, weight:
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def normalize_illumination(
-    scan: DataFrame, config: CleaningConfig = CleaningConfig(), values: str = "values", out: str = "normalized"
-) -> DataFrame:
-    """Estimate a smooth light field on a reduced page and divide it out.
+def light_field(
+    scan: DataFrame, config: CleaningConfig = CleaningConfig(), values: str = "values"
+) -> tuple[DataFrame, DataFrame]:
+    """(field: ``page_id, y, field`` of the reduced pages; sized: heights and widths of every page).
 
-    Only the reduced page (1/factor**2 of the pixels) is blurred. Each full scanline then meets the
-    one pair of reduced rows it lies between, by equality on ``(page_id, reduced row)``.
+    Only the reduced page (1/factor**2 of the pixels) is blurred.
     """
     factor = config.downsample_factor
-    shrink = lambda c: F.greatest(F.lit(1), F.rint(F.col(c) / factor).cast("int"))
+    shrink = lambda c: F.greatest(F.lit(1), F.rint(c / factor).cast("int"))
     sized = page_shape(scan, values).select(
-        PAGE, "height", "width", shrink("height").alias("reduced_height"), shrink("width").alias("reduced_width")
+        PAGE, "height", "width", shrink(F.col("height")).alias("reduced_height"), shrink(F.col("width")).alias("reduced_width")
     )
     sigma = config.gaussian_sigma / factor
     taps = stencil.gaussian_taps(stencil.taps_for_sigma(sigma), sigma)
@@ -168,8 +171,19 @@ def normalize_illumination(
     def blur(planes):
         return {"field": stencil.to_level(stencil.smooth(planes[values], taps, "edge"))}
 
-    reduced = area_reduce(scan, sized, (values,), to_byte=True)
-    field = stencil.map_bands(reduced, blur, len(taps) // 2, (values,), {"field": "int"})
+    reduced = area_reduce(scan, sized, (values,), to_byte=True, width_of=shrink)
+    return stencil.map_bands(reduced, blur, len(taps) // 2, (values,), {"field": "int"}, levels=(values,)), sized
+
+
+def normalize_illumination(
+    scan: DataFrame, config: CleaningConfig = CleaningConfig(), values: str = "values", out: str = "normalized"
+) -> DataFrame:
+    """Estimate a smooth light field on a reduced page and divide it out.
+
+    Each full scanline meets the one pair of reduced rows it lies between, by equality on
+    ``(page_id, reduced row)``.
+    """
+    field, sized = light_field(scan, config, values)
     pairs = (
         field.select(PAGE, F.col("y").alias("ry"), F.col("field").alias("above"))
         .join(field.select(PAGE, (F.col("y") - 1).alias("ry"), F.col("field").alias("below")), [PAGE, "ry"], "left")
@@ -205,11 +219,11 @@ def adaptive_binarize(
         return {**result, **{k: planes[k] for k in keep}}
 
     return stencil.map_bands(
-        scan, threshold, block // 2, (values, *keep), {out: "int", **{k: "int" for k in keep}}
+        scan, threshold, block // 2, (values, *keep), {out: "int", **{k: "int" for k in keep}}, levels=(values,)
     )
 
 
-def _morphology_steps(operation: str, iterations: int) -> list[bool]:
+def morphology_steps(operation: str, iterations: int) -> list[bool]:
     opening = [False] * iterations + [True] * iterations
     closing = [True] * iterations + [False] * iterations
     return {"open": opening, "close": closing, "open_close": opening + closing}[operation]
@@ -220,7 +234,7 @@ def morphology(
     keep: Sequence[str] = (), operation: str | None = None,
 ) -> DataFrame:
     """Open, close or open-close the ink of binary scanlines; the whole chain runs in one band pass."""
-    steps = _morphology_steps(operation or config.morphology, config.iterations)
+    steps = morphology_steps(operation or config.morphology, config.iterations)
     spans = stencil.ellipse_spans(config.kernel_size)
 
     def chain(planes):
@@ -231,48 +245,52 @@ def morphology(
 
     radius = len(steps) * (config.kernel_size // 2)
     return stencil.map_bands(
-        scan, chain, radius, (values, *keep), {out: "int", **{k: "int" for k in keep}}
+        scan, chain, radius, (values, *keep), {out: "int", **{k: "int" for k in keep}}, levels=(values,)
     )
 
 
+def variant_planes(page: np.ndarray, level: np.ndarray | int, config: CleaningConfig) -> dict[str, np.ndarray]:
+    """The binary planes of the four variants of a normalized plane, given its global threshold."""
+    block = config.adaptive_block_size
+    taps = stencil.gaussian_taps(block, stencil.sigma_for_taps(block))
+    mean = stencil.to_level(stencil.smooth(page, taps, "edge"))
+    out = {
+        "otsu": np.where(page > level, 255, 0),
+        "adaptive": np.where(page > mean - int(np.ceil(config.adaptive_c)), 255, 0),
+    }
+    spans = stencil.ellipse_spans(config.kernel_size)
+    for name in ("otsu", "adaptive"):
+        ink = 255 - out[name]
+        for grow in morphology_steps(config.morphology, config.iterations):
+            ink = stencil.spread(ink, spans, grow)
+        out[name + "_morphology"] = 255 - ink
+    return out
+
+
 def cleaning_suite(
     scan: DataFrame, config: CleaningConfig = CleaningConfig(), keep: Sequence[str] = ()
 ) -> DataFrame:
     """The four variants of one shared normalized page, one row per (page, y, variant).
 
     Illumination is computed once. Both thresholds and both morphologies come from a single band
-    pass over the normalized page, so the page is shuffled once, not once per variant.
+    pass over the normalized page, so the page is shuffled once, not once per variant. Where only
+    metrics are wanted, ``suite.suite_metrics`` sends no scanlines out at all.
     """
     normalized = shared(normalize_illumination(scan, config).select(PAGE, "y", "normalized", *keep))
     levelled = attach_page_values(normalized, otsu_pages(normalized, "normalized"))
-    block = config.adaptive_block_size
-    taps = stencil.gaussian_taps(block, stencil.sigma_for_taps(block))
-    offset = int(np.ceil(config.adaptive_c))
-    steps = _morphology_steps(config.morphology, config.iterations)
-    spans = stencil.ellipse_spans(config.kernel_size)
-    reach = len(steps) * (config.kernel_size // 2)
+    reach = len(morphology_steps(config.morphology, config.iterations)) * (config.kernel_size // 2)
 
     def all_variants(planes):
-        page, level = planes["normalized"], planes["level"][:, :1]
-        mean = stencil.to_level(stencil.smooth(page, taps, "edge"))
-        out = {
-            "otsu": np.where(page > level, 255, 0),
-            "adaptive": np.where(page > mean - offset, 255, 0),
-        }
-        for name in ("otsu", "adaptive"):
-            ink = 255 - out[name]
-            for grow in steps:
-                ink = stencil.spread(ink, spans, grow)
-            out[name + "_morphology"] = 255 - ink
-        return {**out, **{k: planes[k] for k in keep}}
+        return {**variant_planes(planes["normalized"], planes["level"][:, :1], config), **{k: planes[k] for k in keep}}
 
     wide = stencil.map_bands(
         levelled.withColumn("level", F.array("threshold")),
         all_variants,
-        block // 2 + reach,
+        config.adaptive_block_size // 2 + reach,
         ("normalized", "level", *keep),
         {**{v: "int" for v in VARIANTS}, **{k: "int" for k in keep}},
         carry=("threshold",),
+        levels=("normalized",),
     )
     stacked = F.explode(
         F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("binary")) for v in VARIANTS])

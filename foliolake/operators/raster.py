@@ -1,6 +1,7 @@
 """Raster forms and the conversions between them.
 
 * scanline: ``page_id, y, values array<int>``, dense (every row has the page's width). Storage form.
+* byte line: the same levels less 128 as ``array<tinyint>``. The form in which bands are shuffled.
 * pixel: ``page_id, y, x, v``. Only inside a stage; ``x`` starts at 0.
 * run: ``page_id, y, x0, x1``, half open. Masks at scale, since ink is sparse.
 
@@ -17,6 +18,16 @@ from pyspark.sql import functions as F
 PAGE = "page_id"
 
 
+def byte_line(values: Column) -> Column:
+    """Levels 0..255 as bytes (level - 128), a quarter of what integers take in a shuffle or a file."""
+    return F.transform(values, lambda v: (v - 128).cast("tinyint"))
+
+
+def levels_of(line: Column) -> Column:
+    """Levels of a byte line."""
+    return F.transform(line, lambda v: v.cast("int") + 128)
+
+
 def to_pixels(scan: DataFrame, values: str = "values", keep: Sequence[str] = ()) -> DataFrame:
     """Scanlines to pixels, in the scanning stage (no shuffle)."""
     return scan.select(PAGE, "y", *keep, F.posexplode(values).alias("x", "v"))

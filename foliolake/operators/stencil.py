@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliolake.operators.raster import PAGE
+from foliolake.operators.raster import PAGE, byte_line
 
 BAND_ROWS = 128
 Planes = Mapping[str, np.ndarray]
@@ -30,7 +30,10 @@ def plane_of(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks()
     if isinstance(rows, pa.ChunkedArray):
         rows = rows.chunk(0)
-    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    if flat.dtype == np.int8:  # a byte line
+        flat = flat.astype(np.int32) + 128
+    return flat.reshape(len(rows), -1)
 
 
 def list_of(plane: np.ndarray, type_: pa.DataType) -> pa.ListArray:
@@ -85,6 +88,10 @@ def map_groups(
     return clustered.mapInArrow(run, schema)
 
 
+def _travelling(names: Sequence[str], levels: Sequence[str]) -> list:
+    return [byte_line(F.col(n)).alias(n) if n in levels else F.col(n) for n in names]
+
+
 def _owned(table: pa.Table, rows: int) -> slice | None:
     band = table.column("band")[0].as_py()
     lo, hi = np.searchsorted(table.column("y").to_numpy(), [band * rows, (band + 1) * rows])
@@ -100,15 +107,16 @@ def map_bands(
     keys: Sequence[str] = (PAGE,),
     carry: Sequence[str] = (),
     rows: int = BAND_ROWS,
+    levels: Sequence[str] = (),
 ) -> DataFrame:
     """Apply ``kernel`` (planes in, planes out) and return scanlines.
 
     ``outputs`` gives each produced column's element type (``int`` or ``double``); ``carry`` lists
-    page-wide scalar columns passed through.
+    page-wide scalar columns passed through; ``levels`` names inputs of 0..255, which travel as bytes.
     """
     element = {"int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64())}
     passed, names = [*keys, "y", *carry], list(inputs)
-    source = band_rows(scan.select(*passed, *names), radius, rows)
+    source = band_rows(scan.select(*passed, *_travelling(names, levels)), radius, rows)
     schema = T.StructType(
         [source.schema[c] for c in passed]
         + [T.StructField(n, T.ArrayType(element[t][0])) for n, t in outputs.items()]
@@ -136,11 +144,12 @@ def reduce_bands(
     outputs: Mapping[str, str],
     keys: Sequence[str] = (PAGE,),
     rows: int = BAND_ROWS,
+    levels: Sequence[str] = (),
 ) -> DataFrame:
     """One row of partial sums per band; ``kernel`` gets the planes and the owned rows."""
     types = {"bigint": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64())}
     names, page_keys = list(inputs), list(keys)
-    source = band_rows(scan.select(*page_keys, "y", *names), radius, rows)
+    source = band_rows(scan.select(*page_keys, "y", *_travelling(names, levels)), radius, rows)
     schema = T.StructType(
         [source.schema[c] for c in keys] + [T.StructField(n, types[t][0]) for n, t in outputs.items()]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliolake.constants import CLASSES
 from foliolake.functions.pixel import predicted_ink, target_ink
-from foliolake.operators import kernels, metrics, quality, tiles
+from foliolake.operators import kernels, metrics, quality, suite, tiles
 from foliolake.operators.raster import PAGE, attach_page_values
 from foliolake.plans.splits import filter_splits
 from foliolake.session import shared
@@ -21,23 +21,17 @@ CLASS_SCORES = ("precision", "recall", "dice", "iou")
 def classical_rows(scan: DataFrame, config: kernels.CleaningConfig = kernels.CleaningConfig()) -> DataFrame:
     """One metric row per page and variant of the classical suite.
 
-    ``scan`` has ``page_id, y, values, clean``. Light correction, thresholds and morphology are shared
-    by the variants; counts and similarity read the same cached scanlines.
+    ``scan`` has ``page_id, y, values, clean``. The variants are made and measured in one band pass
+    (``suite.suite_metrics``), which sends out sums only.
     """
-    suite = shared(kernels.cleaning_suite(scan, config, keep=("clean",)))
-    keys = (PAGE, "variant")
-    ink = lambda v: target_ink(v, config.target_ink_threshold)
-    counts = metrics.with_scores(metrics.confusion_counts(suite, "binary", "clean", predicted_ink, ink, keys))
-    similarity = kernels.ssim(suite, "binary", "clean", keys)
-    thresholds = suite.groupBy(*keys).agg(F.first("threshold_value").alias("threshold_value"))
+    measured = metrics.with_scores(suite.suite_metrics(scan, config))
     described = F.create_map(
         *[x for v, (method, morphology) in kernels.VARIANTS.items() for x in (F.lit(v), F.struct(
             F.lit(method).alias("threshold_method"), F.lit(morphology).alias("morphology_applied"),
             F.lit(config.morphology if morphology else "none").alias("morphology_operation")))]
     )
-    joined = counts.join(similarity, list(keys)).join(thresholds, list(keys))
-    return joined.select("*", described[F.col("variant")].alias("_d")).select(
-        *keys, "_d.*", "threshold_value", *metrics.COUNTS, *SCORES, "ssim"
+    return measured.select("*", described[F.col("variant")].alias("_d")).select(
+        PAGE, "variant", "_d.*", "threshold_value", *metrics.COUNTS, *SCORES, "ssim"
     )
 
 

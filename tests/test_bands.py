@@ -27,7 +27,7 @@ def test_morphology_chain(scan_of, plane_of):
     binary = np.where(TALL > 100, 255, 0)
     config = kernels.CleaningConfig(kernel_size=5, iterations=2)
     ink = 255 - binary
-    for grow in kernels._morphology_steps("open_close", 2):
+    for grow in kernels.morphology_steps("open_close", 2):
         ink = stencil.spread(ink, stencil.ellipse_spans(5), grow)
     got = plane_of(kernels.morphology(scan_of({1: binary}), config, "values", "values"))
     np.testing.assert_array_equal(got[1], 255 - ink)
