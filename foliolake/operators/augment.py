@@ -18,12 +18,10 @@ from pyspark.sql import types as T
 from foliolake.constants import LIMITS, PRESETS
 from foliolake.functions.rand import keyed_digest, unit_uniform
 from foliolake.operators import stencil
-from foliolake.operators.raster import PAGE, attach_page_values, page_shape
-from foliolake.session import shared
+from foliolake.operators.raster import PAGE, attach_page_values, byte_line, page_shape
 
 PRIME = 2**31 - 1
 MAX_RADIUS = LIMITS["blur"]["radius"][1]
-MAX_GRID = LIMITS["uneven_illumination"]["grid_size"][1]
 
 
 def _rows(column: pa.Array, dtype) -> list[np.ndarray]:
@@ -58,7 +56,7 @@ def blur(scan: DataFrame, values: str = "values", sigma: str = "sigma") -> DataF
         return {values: _clip(stencil.smooth(planes[values], blur_taps(float(planes["_sigma"][0, 0])), "edge"))}
 
     rows = scan.select(PAGE, "y", values, F.array(F.col(sigma).cast("double")).alias("_sigma"))
-    return stencil.map_bands(rows, kernel, int(np.ceil(3 * MAX_RADIUS)), (values, "_sigma"), {values: "int"})
+    return stencil.map_bands(rows, kernel, int(np.ceil(3 * MAX_RADIUS)), (values, "_sigma"), {values: "int"}, levels=(values,))
 
 
 # --- noise ------------------------------------------------------------------------------------------
@@ -174,17 +172,7 @@ def stain_spans(shapes: DataFrame, step: str | None = None) -> DataFrame:
     return rows.groupBy(PAGE, "y").agg(F.flatten(spread).alias("spans"))
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _paint(rows: pa.Array, spans: pa.Array, steps: pa.Array) -> pa.Array:
-    """Stain masks of a scanline, one after the other per step; the last shape wins."""
-    out = []
-    for row, flat, count in zip(rows, spans, steps.to_pylist()):
-        masks = np.zeros((count, len(row.values)), dtype=np.int32)
-        if flat.is_valid:
-            for step, x0, x1, ink in flat.values.to_numpy(zero_copy_only=False).reshape(-1, 4):
-                masks[step, max(x0, 0) : max(x1, 0)] = ink
-        out.append(masks.ravel())
-    return _list_array(out, pa.int32())
+STAIN_PARAMETERS = ("opacity", "blob_count", "blob_radius_fraction", "speckle_density")
 
 
 def stain_sigma(height: Column, width: Column, fraction: Column) -> Column:
@@ -196,89 +184,135 @@ def stains(scan: DataFrame, pages: DataFrame, values: str = "values") -> DataFra
     """Ellipses drawn last-wins, softened, and subtracted from the page.
 
     ``pages`` has ``page_id, seed, height, width, opacity, blob_count, blob_radius_fraction,
-    speckle_density`` for the pages to stain. The softening radius follows the page size, so pages
-    are banded with the halo of the largest radius of this call.
+    speckle_density`` for the pages to stain; the others come through unchanged. The softening radius follows
+    the page size, and each page is banded with the halo of its own radius.
     """
-    spans = stain_spans(stain_shapes(pages))
-    soft = pages.select(PAGE, stain_sigma(F.col("height"), F.col("width"), F.col("blob_radius_fraction")).alias("_sigma"))
-    painted = attach_page_values(scan, soft).join(spans, [PAGE, "y"], "left").withColumn("_mask", _paint(F.col(values), "spans", F.lit(1)))
-    largest = pages.agg(F.max(F.least("height", "width") * F.col("blob_radius_fraction"))).first()[0] or 1.0
-    reach = int(np.ceil(3 * max(0.5, max(1.0, largest) * 0.18))) + 1
-
-    def kernel(planes):
-        soft_mask = _clip(stencil.smooth(planes["_mask"], blur_taps(float(planes["_s"][0, 0])), "edge"))
-        return {values: np.maximum(planes[values] - soft_mask, 0)}
-
-    rows = painted.select(PAGE, "y", values, "_mask", F.array("_sigma").alias("_s"))
-    return stencil.map_bands(rows, kernel, reach, (values, "_mask", "_s"), {values: "int"}, rows=max(stencil.BAND_ROWS, reach))
+    parameters = F.create_map(*[x for p in STAIN_PARAMETERS for x in (F.lit(p), F.col(p).cast("double"))])
+    step = F.struct(F.lit(1).alias("order"), F.lit("stains").alias("family"), F.col("seed"), parameters.alias("parameters"))
+    return _chained(scan, pages.select(PAGE, F.array(step).alias("degradations")), values)
 
 
 # --- chain ------------------------------------------------------------------------------------------
 
-PARAMETERS = ("radius", "sigma", "strength", "grid_size", "opacity", "blob_count", "blob_radius_fraction", "speckle_density")
+PARAMETERS = ("radius", "sigma", "strength", "grid_size", *STAIN_PARAMETERS)
 CODES = {"jpeg": 0, "blur": 1, "gaussian_noise": 2, "uneven_illumination": 3, "stains": 4}
+_FACTS, _SPANS, _LINE = 0, 1, 2
 
 
-def _recipe_facts(recipes: DataFrame, shape: DataFrame) -> DataFrame:
-    """Per page: operation codes, one softening number per step, light grids and the halo it needs."""
-    ops = F.col("_ops")
-    each = lambda f: F.transform(ops, f)
+def _recipe_facts(recipes: DataFrame, shape: DataFrame, ops: Column) -> DataFrame:
+    """Per page: operation codes, one softening number per step, light grids, and its halo class.
+
+    ``_reach`` is the power of two that holds the summed reach of the page's steps, ``_rows`` the height of its
+    bands. Bands are at least twice as tall as a halo, so no line is copied more than once on average.
+    """
+    each = lambda f: F.transform("_ops", f)
     code = lambda o: F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), o["family"])
     soft = lambda o: stain_sigma(F.col("height"), F.col("width"), o["parameters"]["blob_radius_fraction"])
     number = lambda o: (
         F.when(o["family"] == "blur", o["parameters"]["radius"]).when(o["family"] == "gaussian_noise", o["parameters"]["sigma"])
         .when(o["family"] == "stains", soft(o)).otherwise(F.lit(0.0))
     )
-    blank = F.array_repeat(F.lit(0.0), MAX_GRID * MAX_GRID)
-    grid = lambda o: F.when(
-        o["family"] == "uneven_illumination",
-        F.slice(F.concat(light_grid(o["seed"], o["parameters"]["strength"], o["parameters"]["grid_size"]), blank), 1, MAX_GRID * MAX_GRID),
-    ).otherwise(blank)
-    has = lambda family: F.exists(ops, lambda o: o["family"] == family)
-    none = F.array().cast("array<double>")
+    lit_up = lambda o: o["family"] == "uneven_illumination"
+    grid = lambda o: F.when(lit_up(o), light_grid(o["seed"], o["parameters"]["strength"], o["parameters"]["grid_size"])).otherwise(
+        F.array().cast("array<double>")
+    )
     halo = F.aggregate(
-        F.filter(ops, lambda o: o["family"].isin("blur", "stains")), F.lit(0.0), lambda a, o: a + F.greatest(F.lit(1.0), F.ceil(number(o) * 3))
+        F.filter("_ops", lambda o: o["family"].isin("blur", "stains")), F.lit(0.0), lambda a, o: a + F.greatest(F.lit(1.0), F.ceil(number(o) * 3))
     )
-    ordered = recipes.select(PAGE, F.array_sort("degradations", lambda a, b: a["order"] - b["order"]).alias("_ops"))
-    return ordered.join(shape, PAGE).select(
-        PAGE, "height", "width", "_ops", each(code).alias("_codes"), each(number).alias("_numbers"),
-        each(lambda o: F.when(o["family"] == "uneven_illumination", o["parameters"]["grid_size"]).otherwise(F.lit(0.0))).alias("_sizes"),
-        F.when(has("uneven_illumination"), F.flatten(each(grid))).otherwise(none).alias("_grids"),
-        has("stains").alias("_stained"), halo.alias("_halo"),
+    ordered = recipes.select(PAGE, ops.alias("_ops"))
+    facts = ordered.join(shape, PAGE).select(
+        PAGE, "height", "width", "_ops", each(code).alias("_codes"), each(number).alias("_numbers"), each(grid).alias("_grids"),
+        each(lambda o: F.when(o["family"] == "gaussian_noise", o["seed"])).alias("_seeds"), halo.alias("_halo"),
     )
+    reach = F.when(F.col("_halo") > 0, F.pow(F.lit(2), F.ceil(F.log2("_halo") - 1e-9))).otherwise(0).cast("int")
+    return facts.withColumn("_reach", reach).withColumn("_rows", F.greatest(F.lit(stencil.BAND_ROWS), F.col("_reach") * 2))
 
 
 def _recipe_stains(facts: DataFrame) -> DataFrame:
     """Stain spans of every step of every recipe."""
     ops = facts.select(PAGE, "height", "width", F.posexplode("_ops").alias("_step", "o")).where(F.col("o.family") == "stains")
     pages = ops.select(
-        PAGE, "height", "width", "_step", F.col("o.seed").alias("seed"),
-        *[F.col("o.parameters")[p].alias(p) for p in ("opacity", "blob_count", "blob_radius_fraction", "speckle_density")],
+        PAGE, "height", "width", "_step", F.col("o.seed").alias("seed"), *[F.col("o.parameters")[p].alias(p) for p in STAIN_PARAMETERS]
     )
     return stain_spans(stain_shapes(pages, ("_step",)), "_step")
 
 
-def _apply(planes) -> np.ndarray:
+def _masks(spans: pa.Table, step: int, y: np.ndarray, width: int) -> np.ndarray:
+    """The stain mask of one step on the lines ``y``, painted from spans; the last shape wins."""
+    mask = np.zeros((len(y), width), np.int32)
+    for at, flat in zip(spans.column("y").to_pylist(), spans.column("spans")):
+        row = at - int(y[0])
+        if 0 <= row < len(y):
+            for own, x0, x1, ink in np.array(flat.as_py(), np.int64).reshape(-1, 4):
+                if own == step:
+                    mask[row, max(x0, 0) : max(x1, 0)] = ink
+    return mask
+
+
+def _apply(facts: dict, lines: pa.Table, spans: pa.Table) -> np.ndarray:
     """All operations of one page's recipe on one band, in order."""
-    values = planes["values"]
-    height, width = int(planes["_height"][0, 0]), values.shape[1]
-    cells, draws = MAX_GRID * MAX_GRID, 8
-    for step, code in enumerate(planes["_codes"][0]):
-        number = float(planes["_numbers"][0, step])
+    values, y = stencil.plane_of(lines.column("values")), lines.column("y").to_numpy()
+    width, draws, noise = values.shape[1], 8, None
+    for step, (code, number) in enumerate(zip(facts["_codes"], facts["_numbers"])):
         if code == CODES["blur"]:
             values = _clip(stencil.smooth(values, blur_taps(number), "edge"))
         elif code == CODES["gaussian_noise"]:
-            values = _clip(values + number * _normal(planes["_noise"][:, draws * step : draws * (step + 1)], width))
+            noise = stencil.plane_of(lines.column("noise")) if noise is None else noise
+            values = _clip(values + number * _normal(noise[:, draws * step : draws * (step + 1)], width))
         elif code == CODES["uneven_illumination"]:
-            size = int(planes["_sizes"][0, step])
-            grid = planes["_grids"][0, cells * step : cells * step + size * size]
-            values = _clip(values * _light(planes["_y"][:, 0], height, width, grid))
+            values = _clip(values * _light(y, facts["height"], width, np.array(facts["_grids"][step])))
         elif code == CODES["stains"]:
-            mask = planes["_masks"][:, width * step : width * (step + 1)]
+            mask = _masks(spans, step, y, width)
             values = np.maximum(values - _clip(stencil.smooth(mask, blur_taps(number), "edge")), 0)
     return values
 
 
+def _band_applied(table: pa.Table) -> pa.Table | None:
+    """The own lines of one band after its page's recipe."""
+    kind = table.column("kind").to_numpy()
+    first_span, first_line = np.searchsorted(kind, [_SPANS, _LINE])
+    facts = table.column("facts")[0].as_py() if first_span else None
+    lines, band = table.slice(first_line), table.column("band")[0].as_py()
+    if facts is None or not lines.num_rows:
+        return None
+    low, high = np.searchsorted(lines.column("y").to_numpy(), [band * facts["_rows"], (band + 1) * facts["_rows"]])
+    if low == high:
+        return None
+    done = _apply(facts, lines, table.slice(first_span, first_line - first_span))
+    own = lines.slice(low, high - low)
+    return pa.table({PAGE: own.column(PAGE), "y": own.column("y"), "values": stencil.list_of(done[low:high], pa.int32())})
+
+
+def _chained(scan: DataFrame, recipes: DataFrame, values: str, ops: Column | None = None) -> DataFrame:
+    """Recipes applied in one band pass; lines, the facts of their page and its stain spans meet in a band."""
+    ops = F.array_sort("degradations", lambda a, b: a["order"] - b["order"]) if ops is None else ops
+    facts = _recipe_facts(recipes, page_shape(scan, values), ops)
+    planned = recipes.select(PAGE).distinct().withColumn("_planned", F.lit(True))
+    untouched = attach_page_values(scan.select(PAGE, "y", values), planned, how="left").where("_planned IS NULL").drop("_planned")
+    narrow = facts.select(PAGE, "_reach", "_rows", "_seeds")
+
+    def bands(rows: DataFrame) -> DataFrame:
+        first = F.greatest(F.floor((F.col("y") - F.col("_reach")) / F.col("_rows")), F.lit(0))
+        last = F.floor((F.col("y") + F.col("_reach")) / F.col("_rows"))
+        return rows.withColumn("band", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_reach", "_rows", "_seeds")
+
+    noise = F.flatten(F.transform(
+        "_seeds", lambda s: F.when(s.isNotNull(), noise_coefficients(s, F.col("y"))).otherwise(F.array_repeat(F.lit(0).cast("bigint"), 8))
+    ))
+    noisy = F.exists("_seeds", lambda s: s.isNotNull())
+    lines = attach_page_values(scan.select(PAGE, "y", byte_line(F.col(values)).alias("values")), narrow)
+    lines = bands(lines.withColumn("noise", F.when(noisy, noise)).withColumn("kind", F.lit(_LINE)))
+    spans = bands(attach_page_values(_recipe_stains(facts), narrow).withColumn("kind", F.lit(_SPANS)))
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / F.col("_rows")).cast("int")))
+    head = facts.select(
+        PAGE, F.lit(_FACTS).alias("kind"), F.struct("height", "_rows", "_codes", "_numbers", "_grids").alias("facts"), number.alias("band")
+    )
+    rows = lines.unionByName(spans, allowMissingColumns=True).unionByName(head, allowMissingColumns=True)
+    schema = T.StructType([scan.schema[PAGE], scan.schema["y"], T.StructField("values", T.ArrayType(T.IntegerType()))])
+    done = stencil.map_groups(rows, [PAGE, "band"], ["kind", "y"], lambda groups: [_band_applied(t) for t in groups], schema)
+    return done.withColumnRenamed("values", values).unionByName(untouched)
+
+
 #: Families whose pixels this package does not make.
 UNAPPLIED = ("jpeg",)
 
@@ -290,59 +324,53 @@ def unapplied_steps(recipes: DataFrame) -> DataFrame:
     )
 
 
+def _bounds() -> Column:
+    """(low, high) of every ``family.field``."""
+    return F.create_map(*[
+        item for family, fields in LIMITS.items() for field, (low, high) in fields.items()
+        for item in (F.lit(f"{family}.{field}"), F.array(F.lit(float(low)), F.lit(float(high))))
+    ])
+
+
+def _out_of_bounds(bounds: Column, family: Column, field: Column, value: Column) -> Column:
+    span = bounds[F.concat_ws(".", family, field)]
+    return F.coalesce((value < span[0]) | (value > span[1]), F.lit(False))
+
+
 def refused_steps(recipes: DataFrame) -> DataFrame:
     """(page_id, order, family, field, value) of parameters outside their limits, and of unknown families.
 
     Parameters that a family does not use are not looked at.
     """
-    bounds = F.create_map(*[
-        item for family, fields in LIMITS.items() for field, (low, high) in fields.items()
-        for item in (F.lit(f"{family}.{field}"), F.array(F.lit(float(low)), F.lit(float(high))))
-    ])
     steps = recipes.select(PAGE, F.explode("degradations").alias("o"))
     each = steps.select(
         PAGE, F.col("o.order").alias("order"), F.col("o.family").alias("family"), F.explode_outer("o.parameters").alias("field", "value")
     )
-    span = bounds[F.concat_ws(".", "family", "field")]
     known = F.col("family").isin(*LIMITS)
-    return each.where(~known | (F.col("value") < span[0]) | (F.col("value") > span[1]))
+    return each.where(~known | _out_of_bounds(_bounds(), F.col("family"), F.col("field"), F.col("value")))
+
+
+def _checked_steps(steps: Column) -> Column:
+    """``steps`` in their order; a step that ``refused_steps`` lists raises when the recipe is read."""
+    bounds = _bounds()
+    wrong = F.exists(steps, lambda o: ~o["family"].isin(*LIMITS) | F.exists(
+        F.map_entries(o["parameters"]), lambda e: _out_of_bounds(bounds, o["family"], e["key"], e["value"])
+    ))
+    refused = F.raise_error(F.lit("recipe parameters are outside their limits; refused_steps lists them"))
+    return F.when(F.coalesce(wrong, F.lit(False)), refused).otherwise(F.array_sort(steps, lambda a, b: a["order"] - b["order"]))
 
 
 def apply_recipes(scan: DataFrame, recipes: DataFrame, values: str = "values") -> DataFrame:
     """Apply each page's ordered operations; pages without a recipe come through unchanged.
 
-    Steps outside the limits of ``refused_steps`` are an error. Steps of a family in ``UNAPPLIED`` are left
-    out; ``unapplied_steps`` lists them.
+    Steps outside the limits of ``refused_steps`` raise when the pages are made. Steps of a family in
+    ``UNAPPLIED`` are left out; ``unapplied_steps`` lists them.
     ``recipes`` has ``page_id, degradations array<struct<order,family,seed,parameters map<string,double>>>``.
-    The whole chain runs in one band pass whose halo is the summed reach of the longest chain, so pixels
-    are shuffled once however many operations there are. Noise coefficients, light grids and stain masks
-    are made beside the scanlines before that.
+    The whole chain of a page runs in one band pass with the summed reach of its own steps, so one page of long
+    reach changes no other page's bands. Lines travel as bytes; page facts come once per band, and stain masks
+    are painted from spans inside it.
     """
-    bad = refused_steps(recipes).count()
-    if bad:
-        raise ValueError(f"{bad} recipe parameters are outside their limits; refused_steps lists them")
-    shape = page_shape(scan, values)
-    facts = shared(_recipe_facts(recipes, shape))
-    halo = int(facts.agg(F.max("_halo")).first()[0] or 0)
-    planned = recipes.select(PAGE).distinct().withColumn("_planned", F.lit(True))
-    untouched = attach_page_values(scan.select(PAGE, "y", values), planned, how="left").where("_planned IS NULL").drop("_planned")
-    steps = F.size("_codes")
-    rows = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("values")), facts).join(_recipe_stains(facts), [PAGE, "y"], "left")
-    noise = F.transform(
-        "_ops",
-        lambda o: F.when(o["family"] == "gaussian_noise", noise_coefficients(o["seed"], F.col("y"))).otherwise(
-            F.array_repeat(F.lit(0).cast("bigint"), 8)
-        ),
-    )
-    noisy = F.exists("_ops", lambda o: o["family"] == "gaussian_noise")
-    ready = rows.select(
-        PAGE, "y", "values", F.array("height").alias("_height"), F.array("y").alias("_y"), "_codes", "_numbers", "_sizes", "_grids",
-        F.when(noisy, F.flatten(noise)).otherwise(F.array().cast("array<bigint>")).alias("_noise"),
-        _paint(F.col("values"), "spans", F.when(F.col("_stained"), steps).otherwise(F.lit(0))).alias("_masks"),
-    )
-    inputs = ("values", "_height", "_y", "_codes", "_numbers", "_sizes", "_grids", "_noise", "_masks")
-    done = stencil.map_bands(ready, lambda p: {values: _apply(p)}, halo, inputs, {values: "int"}, rows=max(stencil.BAND_ROWS, 4 * halo))
-    return done.unionByName(untouched)
+    return _chained(scan, recipes, values, _checked_steps(F.col("degradations")))
 
 
 def pixel_hash(scan: DataFrame, values: str = "values", fan: int = 1024) -> DataFrame:

@@ -88,8 +88,8 @@ def test_hash_sees_size_and_pixels(scan_of):
 def test_out_of_range_steps_are_refused(spark, scan_of, page, family, parameters):
     steps = recipe(spark, family, **parameters)
     assert augment.refused_steps(steps).count() == 1
-    with pytest.raises(ValueError, match="outside their limits"):
-        augment.apply_recipes(scan_of({1: page}), steps)
+    with pytest.raises(Exception, match="outside their limits"):
+        augment.apply_recipes(scan_of({1: page}), steps).collect()
 
 
 def test_limits_themselves_are_exact_over_bands(spark, scan_of, plane_of):
@@ -116,3 +116,36 @@ def test_unknown_preset_is_refused(spark, scan_of, page, config):
     scan = scan_of({1: page})
     with pytest.raises(ValueError, match="unknown preset"):
         augment.augment(scan, scan.select("page_id").distinct(), config)
+
+
+SCHEMA = "page_id bigint, degradations array<struct<order:int,family:string,seed:bigint,parameters:map<string,double>>>"
+
+
+def test_one_page_of_long_reach_leaves_the_bands_of_others(spark, scan_of, plane_of):
+    draw = np.random.default_rng(8)
+    pages = {1: draw.integers(0, 256, (500, 30)), 2: draw.integers(0, 256, (700, 500)), 3: draw.integers(0, 256, (140, 30))}
+    small = [(1, "blur", 5, {"radius": 1.0})]
+    long = [(1, "stains", 6, {"opacity": 0.3, "blob_count": 4.0, "blob_radius_fraction": 0.1, "speckle_density": 0.0001}), (2, "blur", 7, {"radius": 5.0})]
+    facts = augment._recipe_facts(
+        spark.createDataFrame([(1, small), (2, long), (3, small)], SCHEMA), augment.page_shape(scan_of(pages)), F.col("degradations")
+    )
+    classes = {r.page_id: (r._reach, r._rows) for r in facts.collect()}
+    assert classes[1] == classes[3] == (4, 128) and classes[2][0] >= 32 and classes[2][1] == max(128, 2 * classes[2][0])
+    together = plane_of(augment.apply_recipes(scan_of(pages), spark.createDataFrame([(1, small), (2, long)], SCHEMA)))
+    for number, steps in ((1, small), (2, long)):
+        alone = plane_of(augment.apply_recipes(scan_of({number: pages[number]}), spark.createDataFrame([(number, steps)], SCHEMA)))
+        np.testing.assert_array_equal(together[number], alone[number])
+    np.testing.assert_array_equal(together[3], pages[3])
+    from foliolake.operators import stencil
+
+    want = stencil.smooth(pages[1].astype(float), augment.blur_taps(1.0), "edge")
+    np.testing.assert_array_equal(together[1], np.clip(stencil.to_level(want), 0, 255))
+
+
+def test_applying_recipes_runs_no_job(spark, scan_of, page):
+    tracker = spark.sparkContext.statusTracker()
+    scan, steps = scan_of({1: page}), recipe(spark, "blur", radius=1.2)
+    spark.sparkContext.setJobGroup("augment-plan", "augment-plan")
+    augment.apply_recipes(scan, steps)
+    spark.sparkContext.setJobGroup("", "")
+    assert not tracker.getJobIdsForGroup("augment-plan")
