@@ -14,8 +14,8 @@ the bound of the path. The best of these nodes starts the next segmentation. The
 segmentation is the probability that its noise exceeds the bound that the search ended with.
 
 Noise is a hash of (row key, draw, place), so a row gives the same segmentations wherever it is computed.
-No piece spells a space after another character, so lattices of space-led chunks are independent, and each
-distinct chunk of a slice of texts is built once. Everything works on arrays over a slice.
+No piece spells a space after another character, so lattices of space-led chunks are independent. Each distinct
+chunk of some megabytes of text is built once; segmentations are drawn on arrays over slices of that text.
 
 Defined results: null and empty texts have one segmentation, the empty one, with inclusion 1. A text with
 fewer segmentations than draws gives all of them. A null key seeds like -1; repeated rows give equal rows.
@@ -38,14 +38,16 @@ from foliolake.llm.words import hash_ranges, mix, text_buffer
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DRAWS = 2
 POWER = 1.0
-#: Bytes of text that are segmented at once.
+#: Bytes of text that are segmented at once, and that share the lattice of their distinct chunks.
 SLICE = 3 << 18
+LATTICE = 3 * SLICE
 _MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _FILTER = 20  # bits of the first look-up
 _FINE = 2.0**32
 _LONG = 512  # bytes of a chunk that is worked on alone
+_SHORT = 48  # bytes of a chunk whose probabilities are no smaller than a double can hold
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -111,14 +113,22 @@ class Lattice:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64, out=prefix[1:])
         back = _powers(_INVERSE, n)
         lead = (data & 0xC0) != 0x80
+        room = chunk_end - place
         found = []
         for length, (hashes, ids, logs, seen) in sorted(words.by_length.items(), reverse=True):
             if length > n:
                 continue
-            at = np.flatnonzero(lead[: n - length + 1] & (place[: n - length + 1] + length <= chunk_end[: n - length + 1]))
-            keys = (prefix[at + length] - prefix[at]) * back[at]
-            maybe = seen[(keys >> np.uint64(64 - _FILTER)).astype(np.int64)]
-            at, keys = at[maybe], keys[maybe]
+            fits = lead[: n - length + 1] & (room[: n - length + 1] >= length)
+            if 4 * np.count_nonzero(fits) > n:  # most places: whole arrays are faster than places
+                keys = (prefix[length:] - prefix[: n - length + 1]) * back[: n - length + 1]
+                fits &= seen[keys >> np.uint64(64 - _FILTER)]
+                at = np.flatnonzero(fits)
+                keys = keys[at]
+            else:
+                at = np.flatnonzero(fits)
+                keys = (prefix[at + length] - prefix[at]) * back[at]
+                maybe = seen[keys >> np.uint64(64 - _FILTER)]
+                at, keys = at[maybe], keys[maybe]
             hit = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
             equal = hashes[hit] == keys
             found.append((at[equal], length, ids[hit[equal]], logs[hit[equal]]))
@@ -155,28 +165,57 @@ class Lattice:
         """Edge log probabilities given their source: weights times backward sums, from the ends of chunks."""
         order = np.argsort(begin - end, kind="stable")  # longest first
         ends, lengths = end[order], (end - begin)[order]
-        # The end of a chunk is the begin of the next, so the sum at an end is kept apart: it is zero.
-        beta = np.zeros(len(self.data) + 1)
         self.closing = np.repeat(end, self._edges_per_chunk(begin, end)) == self.target
-        single = int(np.searchsorted(-lengths, -_LONG, side="left"))
-        for stop, length in zip(ends[:single].tolist(), lengths[:single].tolist()):
+        alone, middle = (int(np.searchsorted(-lengths, -most, side="left")) for most in (_LONG, _SHORT))
+        for stop, length in zip(ends[:alone].tolist(), lengths[:alone].tolist()):
             self._normalize_alone(stop - length, stop)
-        ends, lengths = ends[single:], lengths[single:]
+        self.share = np.exp(self.log)
+        self._backward(ends[alone:middle], lengths[alone:middle])
+        long = self._edges_of(ends[:middle], lengths[:middle])
+        self.share[long] = np.exp(self.log[long])
+        self._backward_plain(ends[middle:], lengths[middle:])
+        short = self._edges_of(ends[middle:], lengths[middle:])
+        self.log[short] = np.log(self.share[short])
+
+    def _edges_of(self, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        first = self.first[ends - lengths]
+        return _ragged(first, self.first[ends] - first)
+
+    def _layers(self, ends: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """States at growing distance from the ends of their chunks, with their degrees and edges."""
         steps = np.searchsorted(-lengths, -np.arange(1, int(lengths.max(initial=0)) + 1), side="right")
         for distance, n in enumerate(steps, 1):
             states = ends[:n] - distance
             degree = self.first[states + 1] - self.first[states]
-            states, degree = states[degree > 0], degree[degree > 0]
-            if not len(states):
-                continue
-            stops = np.cumsum(degree)
-            edges = np.arange(int(stops[-1])) + np.repeat(self.first[states] - (stops - degree), degree)
+            if not degree.all():
+                states, degree = states[degree > 0], degree[degree > 0]
+            if len(states):
+                yield states, degree, _ragged(self.first[states], degree)
+
+    def _backward_plain(self, ends: np.ndarray, lengths: np.ndarray) -> None:
+        """Sums of short chunks stay far from the smallest double, so they need no logarithms on the way.
+
+        The end of a chunk is the begin of the next, so the sum at an end is kept apart: it is one.
+        """
+        beta = np.ones(len(self.data) + 1)
+        for states, degree, edges in self._layers(ends, lengths):
+            after = beta[self.target[edges]]
+            after[self.closing[edges]] = 1.0
+            values = self.share[edges] * after
+            total = np.add.reduceat(values, np.cumsum(degree) - degree)
+            beta[states] = total
+            self.share[edges] = values / np.repeat(total, degree)
+
+    def _backward(self, ends: np.ndarray, lengths: np.ndarray) -> None:
+        """The same in logarithms."""
+        beta = np.zeros(len(self.data) + 1 if len(ends) else 0)
+        for states, degree, edges in self._layers(ends, lengths):
+            starts = np.cumsum(degree) - degree
             values = self.log[edges] + np.where(self.closing[edges], 0.0, beta[self.target[edges]])
-            top = np.maximum.reduceat(values, stops - degree)
-            total = np.log(np.add.reduceat(np.exp(values - np.repeat(top, degree)), stops - degree)) + top
+            top = np.maximum.reduceat(values, starts)
+            total = np.log(np.add.reduceat(np.exp(values - np.repeat(top, degree)), starts)) + top
             beta[states] = total
             self.log[edges] = values - np.repeat(total, degree)
-        self.share = np.exp(self.log)
 
     def _normalize_alone(self, begin: int, end: int) -> None:
         """The same for one long chunk, state by state."""
@@ -302,45 +341,58 @@ class _Path:
         return top, place
 
 
+class Chunks:
+    """Texts cut into chunks: the lattice of the distinct ones, and where the chunks of each text begin in it."""
+
+    def __init__(self, words: Vocabulary, texts: pa.Array):
+        data, offsets = text_buffer(texts)
+        mark = _MARK.encode()
+        if bytes(data).find(mark) >= 0:  # the mark itself is read as a space
+            texts = pa.array([(t.as_py() or "").replace(_MARK, " ") for t in texts], pa.string())
+            data, offsets = text_buffer(texts)
+        full = offsets[:-1] < offsets[1:]
+        data = np.insert(data, offsets[:-1][full], 32)
+        offsets = offsets + np.concatenate(([0], np.cumsum(full)))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets] = True
+        if words.cut_spaces and len(data):
+            cut[1:-1] |= (data[1:] == 32) & (data[:-1] != 32)
+        if words.cut_lines and len(data):
+            line = data == 10
+            cut[:-1] |= line
+            cut[1:] |= line
+        begin = np.flatnonzero(cut[:-1])
+        end = np.append(begin[1:], len(data)) if len(begin) else begin
+        # Distinct chunks, each written once.
+        hashes = hash_ranges(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
+        _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = end[chosen] - begin[chosen]
+        stop = np.cumsum(size)
+        self.lattice = Lattice(words, data[_ragged(begin[chosen], size)], stop - size, stop)
+        self.states = (stop - size)[which]
+        self.first = np.searchsorted(begin, offsets)  # chunks of row r: first[r] to first[r + 1] - 1
+
+
 def sample(words: Vocabulary, texts: pa.Array, keys: np.ndarray, draws: int = DRAWS):
     """Segmentations of texts: (row, draw, log probability, inclusion, piece ids as list array) in order of draws."""
-    data, offsets = text_buffer(texts)
-    mark = _MARK.encode()
-    if bytes(data).find(mark) >= 0:  # the mark itself is read as a space
-        texts = pa.array([(t.as_py() or "").replace(_MARK, " ") for t in texts], pa.string())
-        data, offsets = text_buffer(texts)
-    n = len(offsets) - 1
-    full = offsets[:-1] < offsets[1:]
-    data = np.insert(data, offsets[:-1][full], 32)
-    offsets = offsets + np.concatenate(([0], np.cumsum(full)))
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    if words.cut_spaces and len(data):
-        cut[1:-1] |= (data[1:] == 32) & (data[:-1] != 32)
-    if words.cut_lines and len(data):
-        line = data == 10
-        cut[:-1] |= line
-        cut[1:] |= line
-    begin = np.flatnonzero(cut[:-1])
-    end = np.append(begin[1:], len(data)) if len(begin) else begin
-    # Distinct chunks, each written once.
-    hashes = hash_ranges(data, begin, end) if len(begin) else np.zeros(0, np.uint64)
-    _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
-    size = end[chosen] - begin[chosen]
-    stop = np.cumsum(size)
-    lattice = Lattice(words, data[_ragged(begin[chosen], size)], stop - size, stop)
-    states = (stop - size)[which]
-    chunks = np.searchsorted(begin, offsets)  # chunks of row r: chunks[r] to chunks[r + 1] - 1
+    return draw_samples(words, Chunks(words, texts), 0, len(texts), keys, draws)
+
+
+def draw_samples(words: Vocabulary, cut: Chunks, low: int, high: int, keys: np.ndarray, draws: int = DRAWS):
+    """``sample`` for the texts ``low`` to ``high - 1`` of ``cut``; rows are counted from ``low``."""
+    lattice, n = cut.lattice, high - low
+    states = cut.states[cut.first[low] : cut.first[high]]
+    chunks = cut.first[low : high + 1] - cut.first[low]  # chunks of row r: chunks[r] to chunks[r + 1] - 1
     seeds = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    number = np.arange(len(begin)) - np.repeat(chunks[:-1], np.diff(chunks))
+    number = np.arange(len(states)) - np.repeat(chunks[:-1], np.diff(chunks))
 
     def chunk_seeds(occurrences: np.ndarray, rows: np.ndarray, draw: int) -> np.ndarray:
         return mix(seeds[rows] + np.uint64(draw)) + mix(number[occurrences].astype(np.uint64) + np.uint64(7))
 
     rows = np.arange(n)
     row_of = np.repeat(rows, np.diff(chunks))
-    edges, counts = lattice.walk(states, chunk_seeds(np.arange(len(begin)), row_of, 0))
-    occurrence = np.repeat(np.arange(len(begin)), counts)
+    edges, counts = lattice.walk(states, chunk_seeds(np.arange(len(states)), row_of, 0))
+    occurrence = np.repeat(np.arange(len(states)), counts)
     per_row = np.bincount(row_of, counts, n).astype(np.int64)
     bound = _gumbel(uniform(seeds, 0x51ED))
     paths = [_Path(rows, edges, occurrence, per_row, lattice, bound, mix(seeds + np.uint64(0xA5)))]
@@ -476,6 +528,15 @@ def decode(words: Vocabulary, ids: pa.Array) -> pa.Array:
     )
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each, one row at least."""
+    ends, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        yield low, high
+        low = high
+
+
 SCHEMA = "doc_id bigint, draw int, n_pieces int, log_prob double, inclusion double, ids array<int>, round_trip boolean"
 
 
@@ -484,24 +545,22 @@ def _sampler(model: str, draws: int, power: float, slice_bytes: int):
         words = vocabulary(model, power)
         for batch in batches:
             texts = batch.column("text")
-            bounds = np.cumsum(np.concatenate(([0], pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))))
-            ends = bounds[1:]
-            low = 0
-            while low < batch.num_rows:
-                high = max(low + 1, int(np.searchsorted(ends, bounds[low] + slice_bytes, side="right")))
-                part = texts.slice(low, high - low)
-                ids = batch.column("doc_id").slice(low, high - low).cast(pa.int64())
-                keys = ids.fill_null(-1).to_numpy(zero_copy_only=False)
-                row, draw, log, inclusion, lists = sample(words, part, keys, draws)
-                back = decode(words, lists)
-                same = [a == b for a, b in zip(back.to_pylist(), ((part[int(r)].as_py() or "").replace(_MARK, " ") for r in row))]
-                yield pa.record_batch(
-                    [ids.take(pa.array(row)), pa.array(draw, pa.int32()),
-                     pa.array(np.diff(lists.offsets.to_numpy()), pa.int32()), pa.array(log + 0.0), pa.array(inclusion), lists,
-                     pa.array(same, pa.bool_())],
-                    names=["doc_id", "draw", "n_pieces", "log_prob", "inclusion", "ids", "round_trip"],
-                )
-                low = high
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").cast(pa.int64())
+            keys = ids.fill_null(-1).to_numpy(zero_copy_only=False)
+            for start, stop in _runs(sizes, LATTICE):
+                cut = Chunks(words, texts.slice(start, stop - start))
+                for low, high in _runs(sizes[start:stop], slice_bytes):
+                    own = slice(start + low, start + high)
+                    row, draw, log, inclusion, lists = draw_samples(words, cut, low, high, keys[own], draws)
+                    back, part = decode(words, lists), texts.slice(own.start, high - low)
+                    # The mark of the file stands for a space, so a text with the mark itself does not come back.
+                    same = pc.equal(back, pc.fill_null(part, "").cast(pa.large_string()).take(pa.array(row)))
+                    yield pa.record_batch(
+                        [ids.slice(own.start, high - low).take(pa.array(row)), pa.array(draw, pa.int32()),
+                         pa.array(np.diff(lists.offsets.to_numpy()), pa.int32()), pa.array(log + 0.0), pa.array(inclusion), lists, same],
+                        names=["doc_id", "draw", "n_pieces", "log_prob", "inclusion", "ids", "round_trip"],
+                    )
 
     return sampled
 
@@ -511,7 +570,7 @@ def sampled(
 ) -> DataFrame:
     """Per document its sampled segmentations: draw, pieces, log probability, inclusion score, ids.
 
-    ``round_trip`` tells that the ids decode to the text.
+    ``round_trip`` tells that the ids decode to the text itself.
     """
     return docs.select("doc_id", "text").mapInArrow(_sampler(model, draws, power, slice_bytes), SCHEMA)
 

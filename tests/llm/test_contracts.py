@@ -96,3 +96,19 @@ def test_fingerprint_definition():
 
     for text in (None, "", "A", "A b", "A b C", "ümlaut A\x0bb c d", "x " * 70000):
         assert fingerprint(text) == plain_fingerprint(text)
+
+
+def test_a_text_with_the_mark_does_not_come_back(spark):
+    from foliolake.llm import spm_sampling
+
+    table = spark.createDataFrame([(1, "a▁b c"), (2, "a b c"), (3, None), (4, "x" * 3000 + " " + "y" * 100)], "doc_id bigint, text string")
+    found = {(r.doc_id, r.round_trip) for r in spm_sampling.sampled(table).collect()}
+    assert found == {(1, False), (2, True), (3, True), (4, True)}
+
+
+def test_slices_do_not_change_the_rows(spark):
+    from foliolake.llm import spm_sampling
+
+    table = spark.createDataFrame([(k, f"some words {k} and " + "z" * (k % 70) * k) for k in range(40)], "doc_id bigint, text string").coalesce(1)
+    whole = sorted(map(tuple, spm_sampling.sampled(table).drop("log_prob", "inclusion").collect()))
+    assert whole == sorted(map(tuple, spm_sampling.sampled(table, slice_bytes=200).drop("log_prob", "inclusion").collect()))

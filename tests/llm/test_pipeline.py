@@ -4,7 +4,8 @@ import re
 
 import corpus_pipeline
 from foliolake.llm import quality_rules, spm_sampling
-from tests.llm.helpers import plain_components, plain_line_dedup
+from tests.llm.test_long_lines import plain_cut
+from tests.llm.test_near_dedup import plain_groups
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[\w]+")
@@ -18,10 +19,9 @@ def shingles(text):
 def plain_pipeline(docs, kept, items):
     """{doc_id: text} after the four stages that keep the columns of documents."""
     docs = [(i, t) for i, t in docs if i in kept]
-    cut = plain_line_dedup(docs)
-    docs = [(i, cut[i][2] if cut[i][1] else t) for i, t in docs if not cut[i][1] or cut[i][1] < cut[i][0]]
-    groups = plain_components(docs)
-    docs = [(i, t) for i, t in docs if groups[i][1] == i]
+    docs = sorted(plain_cut(docs, words=50).items())
+    groups = plain_groups(docs)
+    docs = [(i, t) for i, t in docs if groups[i] == i]
     wanted = [shingles(t) for t in items]
     return {
         i: t for i, t in docs
