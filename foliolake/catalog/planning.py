@@ -347,7 +347,9 @@ def augmentation_plan(spark, sf):
 
 CUSTOM = f"""
 {PRESETS},
-owned AS (SELECT doc_id AS config_id, (['light', 'medium', 'heavy', 'custom'])[CAST(doc_id % 4 + 1 AS INT)] AS preset FROM documents),
+owned AS (
+  SELECT doc_id AS config_id, CASE WHEN doc_id % 23 = 5 THEN 'typo' WHEN doc_id % 23 <> 7 THEN (['light', 'medium', 'heavy', 'custom'])[CAST(doc_id % 4 + 1 AS INT)] END AS preset
+  FROM documents),
 overrides AS (
   SELECT doc_id AS config_id, 'blur' AS family, 'radius' AS field, 500000 AS low, CAST(NULL AS BIGINT) AS high, true AS enabled FROM documents WHERE doc_id % 3 = 0
   UNION ALL SELECT doc_id, 'jpeg', 'quality', CAST(NULL AS BIGINT), 99, CASE WHEN doc_id % 8 = 7 THEN true END FROM documents WHERE doc_id % 4 = 3
@@ -362,7 +364,8 @@ resolved AS (
 def resolved(spark, sf):
     d, doc = docs(spark, sf), F.col("doc_id")
     presets = F.array(*[F.lit(p) for p in ("light", "medium", "heavy", "custom")])
-    owned = d.select(doc.alias("config_id"), F.element_at(presets, (doc % 4 + 1).cast("int")).alias("preset"))
+    preset = F.when(doc % 23 == 5, F.lit("typo")).when(doc % 23 != 7, F.element_at(presets, (doc % 4 + 1).cast("int")))
+    owned = d.select(doc.alias("config_id"), preset.alias("preset"))
     null = F.lit(None).cast("bigint")
     whole = lambda v: F.lit(v).cast("bigint")
     rows = [
@@ -371,7 +374,8 @@ def resolved(spark, sf):
         F.when(doc % 4 == 3, F.struct(F.lit("").alias("family"), F.lit("operation_count").alias("field"), whole(2).alias("low"), whole(4).alias("high"), F.lit(None).cast("boolean").alias("enabled"))),
     ]
     overrides = d.select(doc.alias("config_id"), F.inline(F.array_compact(F.array(*rows))))
-    return augment.resolve_presets(owned, overrides)
+    refused = augment.refused_configs(owned, overrides).select("config_id")
+    return augment.resolve_presets(owned.join(refused, "config_id", "left_anti"), overrides.join(refused, "config_id", "left_anti"))
 
 
 @query("resolved_presets", sql=f"WITH {CUSTOM} SELECT * FROM resolved")

@@ -11,6 +11,7 @@ Keys are ``(page_id, y)`` or finer, so one huge page is spread over the cluster
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,15 +99,23 @@ def runs_from_pixels(ink: DataFrame) -> DataFrame:
 def run_overlap(left: DataFrame, right: DataFrame, by: Sequence[str] = (PAGE,)) -> DataFrame:
     """Total intersection length of two run relations per group.
 
-    The equality on ``(page_id, y)`` keeps the range condition inside one row of one page.
+    A sweep along each row: every run is one event where it begins and one where it ends. Between two events the
+    numbers of open runs of both sides are constant, so their product times the distance is what overlaps. Rows
+    are linear in the runs, whatever their number in one row of a page; runs without a key have no partner.
     """
-    a = left.select(*by, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = right.select(*by, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    return (
-        a.join(b, [*by, "y"])
-        .where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")))
-        .groupBy(*by)
-        .agg(F.sum(F.least("a1", "b1") - F.greatest("a0", "b0")).cast("bigint").alias("overlap"))
+
+    def events(runs: DataFrame, a: int, b: int) -> DataFrame:
+        ends = [F.struct(F.col(x).alias("x"), F.lit(s * a).alias("a"), F.lit(s * b).alias("b")) for x, s in (("x0", 1), ("x1", -1))]
+        whole = [F.col(c).isNotNull() for c in (*by, "y", "x0", "x1")]
+        return runs.where(reduce(lambda p, q: p & q, whole) & (F.col("x0") < F.col("x1"))).select(*by, "y", F.inline(F.array(*ends)))
+
+    row = Window.partitionBy(*by, "y").orderBy("x")
+    upto = row.rowsBetween(Window.unboundedPreceding, 0)
+    swept = events(left, 1, 0).unionByName(events(right, 0, 1)).select(
+        *by, F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b"), (F.lead("x").over(row) - F.col("x")).alias("n")
+    )
+    return swept.where("a > 0 AND b > 0 AND n > 0").groupBy(*by).agg(
+        F.sum(F.col("a") * F.col("b") * F.col("n")).cast("bigint").alias("overlap")
     )
 
 

@@ -35,34 +35,16 @@ def preset_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(preset_rows(), RANGE_SCHEMA)
 
 
-def resolve_presets(plan: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Ranges of each plan row's preset, with per-field overrides of its ``config_id`` laid over them.
+KNOWN_PRESETS = (*PRESETS, "custom")
 
-    ``overrides`` has ``config_id, family, field, low, high, enabled``; NULLs keep the preset's value.
-    """
-    base = plan.join(F.broadcast(preset_table(plan.sparkSession)), "preset")
-    if overrides is None:
-        return base
-    laid = overrides.select(
-        "config_id", "family", "field", F.col("low").alias("_low"), F.col("high").alias("_high"),
-        F.col("enabled").alias("_enabled"),
-    )
-    joined = base.join(laid, ["config_id", "family", "field"], "left")
-    for name in ("low", "high", "enabled"):
-        joined = joined.withColumn(name, F.coalesce(F.col(f"_{name}"), F.col(name))).drop(f"_{name}")
-    return joined
 
+def _preset_problem() -> Column:
+    unknown = F.col("preset").isNull() | ~F.col("preset").isin(*KNOWN_PRESETS)
+    return F.when(unknown, F.concat(F.lit("unknown preset "), F.coalesce("preset", F.lit("null"))))
 
-def refused_configs(plan: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(config_id, problem) of plan rows with an unknown preset and of overrides that no config may have.
 
-    An override is refused for an unknown family or field, and for a range that is not ordered inside the
-    field's limits. ``resolve_presets`` is meant for what is left.
-    """
-    presets = [*PRESETS, "custom"]
-    unknown = plan.where(F.col("preset").isNull() | ~F.col("preset").isin(presets)).select(
-        "config_id", F.concat(F.lit("unknown preset "), F.coalesce("preset", F.lit("null"))).alias("problem")
-    )
+def _override_problem() -> Column:
+    """Why an override may not stand: an unknown family or field, or a range not ordered inside its limits."""
     name = F.when(F.col("family") == "", F.col("field")).otherwise(F.concat_ws(".", "family", "field"))
     top = 2**62
     limits = [("operation_count", 1, top)] + [
@@ -74,10 +56,43 @@ def refused_configs(plan: DataFrame, overrides: DataFrame) -> DataFrame:
     wrong = F.coalesce(F.col("low") < span[0], F.lit(False)) | F.coalesce(F.col("high") > span[1], F.lit(False)) | F.coalesce(
         F.col("low") > F.col("high"), F.lit(False)
     )
-    problem = F.when(span.isNull(), F.concat(F.lit("unknown field "), name)).when(
+    return F.when(span.isNull(), F.concat(F.lit("unknown field "), F.coalesce(name, F.lit("null")))).when(
         wrong, F.concat(name, F.lit(" must be ordered within its limits"))
     )
-    return unknown.unionByName(overrides.select("config_id", problem.alias("problem")).where("problem IS NOT NULL"))
+
+
+def refused_configs(plan: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(config_id, problem) of plan rows with an unknown preset and of overrides that no config may have.
+
+    An override is refused for an unknown family or field, and for a range that is not ordered inside the
+    field's limits. ``resolve_presets`` raises on all of these, so drop the configs listed here first.
+    """
+    unknown = plan.select("config_id", _preset_problem().alias("problem"))
+    return unknown.unionByName(overrides.select("config_id", _override_problem().alias("problem"))).where("problem IS NOT NULL")
+
+
+def _raising(problem: Column, value: str) -> Column:
+    return F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col(value))
+
+
+def resolve_presets(plan: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Ranges of each plan row's preset, with per-field overrides of its ``config_id`` laid over them.
+
+    ``overrides`` has ``config_id, family, field, low, high, enabled``; NULLs keep the preset's value. An unknown
+    preset, and an override that ``refused_configs`` lists, raises when the ranges are read: nothing vanishes.
+    """
+    named = plan.withColumn("preset", _raising(_preset_problem(), "preset"))
+    base = named.join(F.broadcast(preset_table(plan.sparkSession)), "preset", "left")
+    if overrides is None:
+        return base
+    laid = overrides.select(
+        "config_id", _raising(_override_problem(), "family").alias("family"), "field",
+        F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("enabled").alias("_enabled"),
+    )
+    joined = base.join(laid, ["config_id", "family", "field"], "left")
+    for name in ("low", "high", "enabled"):
+        joined = joined.withColumn(name, F.coalesce(F.col(f"_{name}"), F.col(name))).drop(f"_{name}")
+    return joined
 
 
 def configs_without_family(resolved: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.constants import CLASSES
@@ -113,10 +113,30 @@ def id_collisions(plan: DataFrame) -> DataFrame:
     return plan.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Hex digits of a digest that make a bucket of the seeded sample; 65,536 counts are broadcast at most.
+BUCKET_DIGITS = 4
+
+
 def seeded_sample(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
-    """``count`` distinct ids without replacement, whatever the order or repetition of the input."""
-    ids = rows.select(key).distinct()
-    return ids.orderBy(keyed_digest(seed, F.col(key).cast("string")), key).limit(count)
+    """``count`` distinct ids without replacement, whatever the order or repetition of the input.
+
+    The ids with the smallest digests are taken. Counts per digest prefix tell which buckets are taken whole and
+    which one is cut; only that one is ranked, so neither all ids nor the sample are ever sorted or gathered. A null
+    is an id like others.
+    """
+    digest = keyed_digest(seed, F.col(key).cast("string"))
+    ids = rows.select(key).distinct().withColumn("_digest", digest)
+    ids = ids.withColumn("_bucket", F.conv(F.substring("_digest", 1, BUCKET_DIGITS), 16, 10).cast("int"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = ids.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    ).where(F.col("_before") < count)
+    placed = ids.join(F.broadcast(buckets), "_bucket")
+    whole = placed.where(F.col("_before") + F.col("_n") <= count)
+    cut = placed.where(F.col("_before") + F.col("_n") > count)
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
+    cut = cut.withColumn("_rank", F.col("_before") + rank).where(F.col("_rank") <= count)
+    return whole.select(key).unionByName(cut.select(key))
 
 
 def epoch_draws(

@@ -93,3 +93,53 @@ def test_seeded_sample_ignores_order_and_repeats(spark):
     a = {r.k for r in samples.seeded_sample(rows, "k", 7, 3).collect()}
     b = {r.k for r in samples.seeded_sample(rows.union(rows).repartition(6), "k", 7, 3).collect()}
     assert a == b and len(a) == 7
+
+
+def test_seeded_sample_is_the_head_of_the_digest_order(spark):
+    from foliolake.functions.rand import keyed_digest
+
+    rows = spark.range(5000).selectExpr("id % 3000 AS k")
+    order = [r.k for r in rows.distinct().orderBy(keyed_digest(3, F.col("k").cast("string"))).collect()]
+    for count in (0, 1, 700, 2999, 3000, 9000):
+        found = samples.seeded_sample(rows, "k", count, 3)
+        assert {r.k for r in found.collect()} == set(order[:count])
+    plan = samples.seeded_sample(rows, "k", 1_000_000, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("preset", ["typo", None])
+def test_unknown_preset_raises_where_ranges_are_resolved(spark, preset):
+    plan = spark.createDataFrame([(1, "light"), (2, preset)], "config_id bigint, preset string")
+    with pytest.raises(Exception, match="unknown preset"):
+        augment.resolve_presets(plan).collect()
+
+
+@pytest.mark.parametrize("family, field, low, high", [("blur", "colour", 1, 2), ("fog", "depth", 1, 2), ("blur", "radius", 2, 1), ("", "operation_count", 0, 3)])
+def test_refused_overrides_raise_where_ranges_are_resolved(spark, family, field, low, high):
+    plan = spark.createDataFrame([(1, "light")], "config_id bigint, preset string")
+    overrides = spark.createDataFrame([(1, family, field, low, high, True)], "config_id bigint, family string, field string, low bigint, high bigint, enabled boolean")
+    assert augment.refused_configs(plan, overrides).count() == 1
+    with pytest.raises(Exception, match="unknown field|within its limits"):
+        augment.resolve_presets(plan, overrides).collect()
+
+
+def test_run_overlap_of_overlapping_and_odd_runs(spark):
+    import numpy as np
+
+    from foliolake.operators import raster
+
+    draw = np.random.default_rng(1)
+    sides = []
+    for _ in range(2):
+        x0 = draw.integers(0, 60, 300)
+        sides.append([(int(p), int(y), int(a), int(a + n)) for p, y, a, n in zip(draw.integers(0, 4, 300), draw.integers(0, 3, 300), x0, draw.integers(0, 9, 300))])
+    sides[0] += [(None, 0, 0, 5), (9, 0, 0, 3)]
+    sides[1] += [(None, 0, 0, 5), (9, 0, 3, 4)]
+    want = {}
+    for p, y, a, b in sides[0]:
+        for q, z, c, d in sides[1]:
+            n = min(b, d) - max(a, c)
+            if p is not None and (p, y) == (q, z) and n > 0:
+                want[p] = want.get(p, 0) + n
+    left, right = (spark.createDataFrame(s, "page_id bigint, y int, x0 int, x1 int") for s in sides)
+    assert {r.page_id: r.overlap for r in raster.run_overlap(left, right).collect()} == want
