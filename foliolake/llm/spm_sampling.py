@@ -40,7 +40,7 @@ DRAWS = 2
 POWER = 1.0
 #: Bytes of text that are segmented at once, and that share the lattice of their distinct chunks.
 SLICE = 3 << 18
-LATTICE = 3 * SLICE
+LATTICE = 2 * SLICE
 _MARK = "▁"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
