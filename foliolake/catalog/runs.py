@@ -198,8 +198,7 @@ def draws(spark, sf):
 
 
 def plan(spark, sf):
-    integral = crops.integral_rows(members(spark, sf))
-    return crops.crop_plan(draws(spark, sf), integral, SIZE, 0.8, 0.16, SEED)
+    return crops.crop_plan(draws(spark, sf), members(spark, sf), SIZE, 0.8, 0.16, SEED)
 
 
 def _origin(axis: str, length: str) -> str:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliolake.functions.rand import unit_uniform
 from foliolake.operators import stencil
 from foliolake.operators.raster import PAGE
-from foliolake.session import shared
+from foliolake.operators.skew import dealt
 
 ATTEMPTS = 20
 
@@ -42,18 +44,58 @@ def origin(length: Column, size: int, *parts) -> Column:
     return F.floor(unit_uniform(*parts) * F.greatest(length - size + 1, F.lit(1))).cast("int")
 
 
+def _covered(table: pa.Table, rows: int) -> pa.Table | None:
+    """Members under each asked piece of one band, from the summed areas of that band alone."""
+    kind = table.column("kind").to_numpy()
+    split = int(np.searchsorted(kind, 1))
+    lines, asked = table.slice(0, split), table.slice(split)
+    if not lines.num_rows or not asked.num_rows:
+        return None
+    plane = lines.column("member").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(split, -1)
+    area = np.zeros((plane.shape[0] + 1, plane.shape[1] + 1), np.int64)
+    np.cumsum(np.cumsum(plane, axis=0, dtype=np.int64), axis=1, out=area[1:, 1:])
+    base = table.column("band")[0].as_py() * rows
+    y0, y1, x0, x1 = (asked.column(c).to_numpy() for c in ("y", "bottom", "left", "right"))
+    y0, y1 = np.maximum(y0, base) - base, np.minimum(y1, base + plane.shape[0]) - base
+    n = area[y1, x1] - area[y0, x1] - area[y1, x0] + area[y0, x0]
+    return pa.table({**{c: asked.column(c) for c in (PAGE, "epoch", "index", "attempt")}, "n": pa.array(n)})
+
+
+def covered_members(pieces: DataFrame, members: DataFrame, member: str = "member", rows: int = stencil.BAND_ROWS) -> DataFrame:
+    """``page_id, epoch, index, attempt, n``: members inside ``[y, bottom) x [left, right)``, summed over bands.
+
+    Lines (as bytes) and rectangles meet in bands; what leaves is one number per rectangle and band. Summed areas
+    exist for one band at a time only. The rectangles of a page that is asked for very often are dealt over copies
+    of its lines.
+    """
+    span = F.sequence(F.floor(F.col("y") / rows).cast("int"), F.floor((F.col("bottom") - 1) / rows).cast("int"))
+    lines = members.select(
+        PAGE, F.lit(0).alias("kind"), "y", F.transform(member, lambda m: m.cast("tinyint")).alias("member"),
+        F.floor(F.col("y") / rows).cast("int").alias("band"),
+    )
+    asked, lines = dealt(pieces, lines, [PAGE], deal=F.xxhash64("epoch", "index", "attempt"))
+    asked = asked.withColumn("kind", F.lit(1)).withColumn("band", F.explode(span))
+    both = lines.unionByName(asked, allowMissingColumns=True)
+    kept = [both.schema[c] for c in (PAGE, "epoch", "index", "attempt")]
+    counted = stencil.map_groups(
+        both, [PAGE, "band", "_copy"], ["kind", "y"], lambda groups: [_covered(t, rows) for t in groups],
+        T.StructType([*kept, T.StructField("n", T.LongType())]),
+    )
+    return counted.groupBy(PAGE, "epoch", "index", "attempt").agg(F.sum("n").alias("n"))
+
+
 def crop_plan(
-    draws: DataFrame, integral: DataFrame, size: int, foreground_fraction: float, minimum_occupancy: float, seed: int
+    draws: DataFrame, members: DataFrame, size: int, foreground_fraction: float, minimum_occupancy: float, seed: int,
+    member: str = "member",
 ) -> DataFrame:
     """One crop per draw ``(epoch, index, page_id, height, width)``: ``top, left`` and how it was chosen.
 
-    Attempt 0 is the fallback. A foreground-aware crop takes the first of 20 attempts with enough
-    foreground; a uniform crop takes attempt 1; a page without foreground is uniform. An attempt
-    needs two rows of the page's integral image, so its cost does not depend on the crop size.
+    ``members`` has scanlines of 0 and 1. Attempt 0 is the fallback. A foreground-aware crop takes the first of 20
+    attempts with enough foreground; a uniform crop takes attempt 1; a page without foreground is uniform. An
+    attempt asks each band that it covers for one number.
     """
-    integral = shared(integral)
     tag = (seed, F.col("epoch").cast("string"), F.col("index").cast("string"))
-    filled = integral.groupBy(PAGE).agg(F.max(F.element_at("integral", -1)).alias("_foreground"))
+    filled = members.groupBy(PAGE).agg(F.max(F.array_max(member)).alias("_foreground"))
     drawn = draws.join(filled, PAGE).withColumn(
         "aware", (unit_uniform(*tag, "aware") < foreground_fraction) & (F.col("_foreground") > 0)
     )
@@ -63,17 +105,11 @@ def crop_plan(
     attempts = attempts.withColumn("top", origin(F.col("height"), size, *tag, "top", step)).withColumn(
         "left", origin(F.col("width"), size, *tag, "left", step)
     )
-    bottom = F.least(F.col("top") + size, F.col("height")) - 1
-    lines = F.array(F.struct(bottom.alias("y"), F.lit(1).alias("sign")), F.struct((F.col("top") - 1).alias("y"), F.lit(-1).alias("sign")))
-    ask = F.col("aware") & (F.col("attempt") > 0)
-    corners = attempts.where(ask).select(PAGE, "epoch", "index", "attempt", "top", "left", "width", F.inline(lines)).where("y >= 0")
-    right = F.least(F.col("left") + size, F.col("width")) - 1
-    strip = F.get(F.col("integral"), right) - F.coalesce(F.get(F.col("integral"), F.col("left") - 1), F.lit(0))
-    occupancy = (
-        corners.join(integral, [PAGE, "y"])
-        .groupBy(PAGE, "epoch", "index", "attempt")
-        .agg((F.sum(strip * F.col("sign")) / float(size * size)).alias("occupancy"))
+    pieces = attempts.where(F.col("aware") & (F.col("attempt") > 0)).select(
+        PAGE, "epoch", "index", "attempt", F.col("top").alias("y"), F.least(F.col("top") + size, F.col("height")).alias("bottom"),
+        "left", F.least(F.col("left") + size, F.col("width")).alias("right"),
     )
+    occupancy = covered_members(pieces, members, member).withColumn("occupancy", F.col("n") / float(size * size)).drop("n")
     tried = attempts.join(occupancy, [PAGE, "epoch", "index", "attempt"], "left")
     good = F.when(F.col("aware"), F.coalesce(F.col("occupancy") >= minimum_occupancy, F.lit(False)) & (F.col("attempt") > 0)).otherwise(F.col("attempt") == 1)
     place = F.struct("top", "left", "attempt")

@@ -42,11 +42,11 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], share: float = SHARE) -> Da
     return each.where(F.col("t.count") >= share * F.col("total")).select(F.col("t.item").alias("key_hash"))
 
 
-def dealt_join(
-    rows: DataFrame, partners: DataFrame, keys: Sequence[str], how: str = "inner", share: float = SHARE,
-    copies: int = COPIES, deal: Column | None = None,
-) -> DataFrame:
-    """``rows`` joined to ``partners`` (inner, left, left_semi or left_anti) without gathering a heavy id.
+def dealt(
+    rows: DataFrame, partners: DataFrame, keys: Sequence[str], share: float = SHARE, copies: int = COPIES,
+    deal: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_copy``: the rows of a heavy id are dealt over copies, and its partners are in all of them.
 
     ``rows`` is read once more for its keys. The sketch is broadcast: it has fewer than ``1 / share`` rows. ``deal``
     (default: a hash of the row) places the rows of a heavy id; equal rows may share a place.
@@ -61,4 +61,13 @@ def dealt_join(
     left = marked(rows.withColumn("_place", place)).withColumn("_copy", F.when(F.col("_heavy"), F.col("_place")).otherwise(0))
     last = F.when(F.col("_heavy"), copies - 1).otherwise(0)
     right = marked(partners).withColumn("_copy", F.explode(F.sequence(F.lit(0), last)))
-    return left.drop("_heavy", "_place").join(right.drop("_heavy"), [*keys, "_copy"], how).drop("_copy")
+    return left.drop("_heavy", "_place"), right.drop("_heavy")
+
+
+def dealt_join(
+    rows: DataFrame, partners: DataFrame, keys: Sequence[str], how: str = "inner", share: float = SHARE,
+    copies: int = COPIES, deal: Column | None = None,
+) -> DataFrame:
+    """``rows`` joined to ``partners`` (inner, left, left_semi or left_anti) without gathering a heavy id."""
+    left, right = dealt(rows, partners, keys, share, copies, deal)
+    return left.join(right, [*keys, "_copy"], how).drop("_copy")

@@ -56,9 +56,9 @@ def test_huge_logits_stay_finite(spark):
 
 def test_crop_of_a_blank_page_is_uniform_and_padded(spark, scan_of):
     scan = scan_of({1: np.full((10, 12), 9)})
-    integral = crops.integral_rows(scan.withColumn("member", F.transform("values", lambda v: F.lit(0))))
+    members = scan.withColumn("member", F.transform("values", lambda v: F.lit(0)))
     draws = spark.createDataFrame([(0, 0, 1, 10, 12), (0, 1, 1, 10, 12)], "epoch int, index int, page_id bigint, height int, width int")
-    plan = crops.crop_plan(draws, integral, 16, 1.0, 0.5, 3)
+    plan = crops.crop_plan(draws, members, 16, 1.0, 0.5, 3)
     assert {(r.aware, r.attempt, r.top, r.left) for r in plan.collect()} == {(False, 1, 0, 0)}
     rows = crops.extract_crops(plan, scan, 16, 255).where("index = 0").orderBy("cy").collect()
     assert len(rows) == 16 and all(len(r.cells) == 16 for r in rows)
@@ -68,9 +68,9 @@ def test_crop_of_a_blank_page_is_uniform_and_padded(spark, scan_of):
 def test_aware_crop_falls_back_to_the_first_draw(spark, scan_of):
     member = np.zeros((60, 60), dtype=int)
     member[0, 0] = 1
-    integral = crops.integral_rows(scan_of({1: member}).withColumnRenamed("values", "member"))
+    members = scan_of({1: member}).withColumnRenamed("values", "member")
     draws = spark.createDataFrame([(0, i, 1, 60, 60) for i in range(8)], "epoch int, index int, page_id bigint, height int, width int")
-    rows = crops.crop_plan(draws, integral, 8, 1.0, 0.9, 3).collect()
+    rows = crops.crop_plan(draws, members, 8, 1.0, 0.9, 3).collect()
     assert {(r.aware, r.attempt) for r in rows} == {(True, 0)}
 
 
@@ -114,3 +114,21 @@ def test_nan_loss_never_improves(spark):
     rows = {r.epoch: r for r in runs.early_stopping(log, 1).collect()}
     assert [rows[e].improved for e in (1, 2, 3, 4)] == [False, True, False, True]
     assert [rows[e].best_loss for e in (2, 3, 4)] == [5.0, 5.0, 4.0]
+
+
+def test_covered_members_over_bands_and_a_page_asked_for_often(spark, scan_of):
+    draw = np.random.default_rng(4)
+    pages = {1: draw.integers(0, 2, (300, 40)), 2: draw.integers(0, 2, (20, 9))}
+    asked = []
+    for n in range(900):
+        page = 1 if n % 9 else 2
+        height, width = pages[page].shape
+        y, x = int(draw.integers(0, height)), int(draw.integers(0, width))
+        asked.append((page, 0, n, 1, y, int(draw.integers(y + 1, height + 1)), x, int(draw.integers(x + 1, width + 1))))
+    schema = "page_id bigint, epoch int, `index` int, attempt int, y int, bottom int, `left` int, `right` int"
+    members = scan_of(pages).withColumnRenamed("values", "member")
+    found = crops.covered_members(spark.createDataFrame(asked, schema), members)
+    want = {a[2]: int(pages[a[0]][a[4] : a[5], a[6] : a[7]].sum()) for a in asked}
+    assert {r["index"]: r.n for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "array<bigint>" not in plan and "integral" not in plan
