@@ -373,6 +373,24 @@ def apply_recipes(scan: DataFrame, recipes: DataFrame, values: str = "values") -
     return _chained(scan, recipes, values, _checked_steps(F.col("degradations")))
 
 
+def recipe_details(recipes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row per step of a recipe, with the fields that follow from the page's size or from the family alone.
+
+    ``sizes`` has ``page_id, height, width``. Stains tell how many speckles they have and how wide their edges
+    are softened; uneven light is a smooth shadow field; JPEG is neither optimized nor progressive.
+    """
+    steps = recipes.join(sizes.select(PAGE, "height", "width"), PAGE, "left").select(PAGE, "height", "width", F.explode("degradations").alias("o"))
+    of = lambda family, value: F.when(F.col("o.family") == family, value)
+    number = lambda name: F.col("o.parameters")[name]
+    return steps.select(
+        PAGE, F.col("o.order").alias("order"), F.col("o.family").alias("family"), F.col("o.seed").alias("seed"), F.col("o.parameters").alias("parameters"),
+        of("stains", F.rint(F.col("height") * F.col("width") * number("speckle_density")).cast("int")).alias("speckle_count"),
+        of("stains", stain_sigma(F.col("height"), F.col("width"), number("blob_radius_fraction"))).alias("edge_blur_radius"),
+        of("uneven_illumination", F.lit("smooth_shadow_field")).alias("kind"),
+        of("jpeg", F.lit(False)).alias("optimize"), of("jpeg", F.lit(False)).alias("progressive"),
+    )
+
+
 def pixel_hash(scan: DataFrame, values: str = "values", fan: int = 1024) -> DataFrame:
     """One hash per page over mode, size and pixels, folded from scanline hashes.
 

@@ -23,6 +23,18 @@ CHANNELS = ("cleaning", *CLASSES)
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
+def check_settings(
+    tile: int, overlap: int, cleaning_threshold: float = 0.5, segmentation_threshold: float = 0.5, multiple: int = 16
+) -> None:
+    """Refuse settings that no page can be scored with; ``multiple`` is what the network halves its input by."""
+    if tile < multiple or tile % multiple:
+        raise ValueError(f"tile must be at least {multiple} and divisible by {multiple}")
+    if not 0 <= overlap < tile:
+        raise ValueError("overlap must be in [0, tile)")
+    if not 0 <= cleaning_threshold <= 1 or not 0 <= segmentation_threshold <= 1:
+        raise ValueError("thresholds must be in [0, 1]")
+
+
 def tile_starts(length: Column, tile: int, overlap: int) -> Column:
     """0, stride, ... and a last start flush with the edge; a single 0 when the page fits."""
     if not 0 <= overlap < tile:
@@ -198,9 +210,11 @@ def blend_rows(scored: DataFrame, band: int = 64) -> DataFrame:
 
 
 def score_pages(
-    scan: DataFrame, scorer: Scorer, tile: int, overlap: int, values: str = "values", logits: str = "float"
+    scan: DataFrame, scorer: Scorer, tile: int, overlap: int, values: str = "values", logits: str = "float",
+    multiple: int = 16,
 ) -> DataFrame:
     """Blended logits per scanline for whole pages of any size."""
+    check_settings(tile, overlap, multiple=multiple)
     return blend_rows(score_strips(cut_strips(scan, tile, overlap, values), scorer, tile, overlap, logits).drop("seconds"))
 
 
@@ -208,6 +222,7 @@ def page_results(
     logits: DataFrame, cleaning_threshold: float = 0.5, segmentation_threshold: float = 0.5
 ) -> DataFrame:
     """Cleaned page, probabilities and masks as layers of each scanline."""
+    check_settings(16, 0, cleaning_threshold, segmentation_threshold)
     prob = lambda c: F.transform(F.col(c), pixel.sigmoid)
     probabilities = logits.select(PAGE, "y", *[prob(c).alias(c) for c in CHANNELS])
     byte = lambda c: F.transform(F.col(c), pixel.probability_byte)
@@ -230,6 +245,20 @@ def page_metadata(scan: DataFrame, tile: int, overlap: int, values: str = "value
     )
 
 
+def page_facts(
+    scan: DataFrame, pages: DataFrame, tile: int, overlap: int, cleaning_threshold: float = 0.5,
+    segmentation_threshold: float = 0.5, values: str = "values", multiple: int = 16,
+) -> DataFrame:
+    """``page_metadata`` with the page's own facts and the thresholds its results were made with.
+
+    ``pages`` has ``page_id, page_number, dpi``; a page that it does not name keeps its row with nulls.
+    """
+    check_settings(tile, overlap, cleaning_threshold, segmentation_threshold, multiple)
+    return page_metadata(scan, tile, overlap, values).join(pages.select(PAGE, "page_number", "dpi"), PAGE, "left").withColumns(
+        {"cleaning_threshold": F.lit(float(cleaning_threshold)), "segmentation_threshold": F.lit(float(segmentation_threshold))}
+    )
+
+
 def blend_pixels(contributions: DataFrame) -> DataFrame:
     """Blending in pixel form, for contributions that do not come as tile rows.
 

@@ -120,6 +120,37 @@ def unannotated_comparison(scan: DataFrame, panels: Sequence[tuple[str, str, Dat
     return quality.quality_rows(shared(stacked.join(original, [PAGE, "y"])), original.select(PAGE, "y", "original"))
 
 
+def page_index(pages: DataFrame, keys: DataFrame, panels: Sequence[tuple[str, int | None, int]]) -> DataFrame:
+    """Where each page of an unannotated comparison lies: one row per page and panel.
+
+    ``pages`` has ``source, page_number, input_dpi, width, height``, ``keys`` the key of each source. A panel is
+    ``(id, tile size, overlap)``, with the tile size None for results that were not tiled. Paths are relative to
+    the output; a tiled result also says how many tiles it took.
+    """
+    file = lambda folder: F.concat(F.lit(f"{folder}/"), F.col("key"), F.format_string("/page-%04d.png", F.col("page_number").cast("int")))
+
+    def panel(name: str, tile: int | None, overlap: int) -> Column:
+        count = F.lit(None).cast("int") if tile is None else (
+            F.size(tiles.tile_starts(F.col("height"), tile, overlap)) * F.size(tiles.tile_starts(F.col("width"), tile, overlap))
+        )
+        return F.struct(F.lit(name).alias("comparison_id"), file(name).alias("cleaned"), count.alias("tile_count"))
+
+    placed = pages.join(keys.select("source", "key"), "source")
+    return placed.select(
+        "source", "page_number", "input_dpi", "width", "height", file("original").alias("original"), F.inline(F.array(*[panel(*p) for p in panels]))
+    )
+
+
+def comparison_totals(index: DataFrame) -> DataFrame:
+    """One row: how many sources and pages were compared, and how many tiles were scored."""
+    per_page = index.groupBy("source", "page_number").agg(F.coalesce(F.sum("tile_count"), F.lit(0)).alias("tiles"))
+    per_source = per_page.groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum("tiles").alias("tiles"))
+    return per_source.agg(
+        F.count(F.lit(1)).alias("source_count"), F.coalesce(F.sum("pages"), F.lit(0)).alias("page_count"),
+        F.coalesce(F.sum("tiles"), F.lit(0)).alias("tile_count"),
+    )
+
+
 def source_audit(problems: DataFrame) -> DataFrame:
     """Failing sources, sorted, with the number of different problems and the first of them.
 

@@ -7,7 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolake.constants import SPLITS
+from foliolake.constants import MANIFEST_SCHEMA_VERSION, SPLITS
+
+
+def fingerprint(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``row_count, digest`` of a table, per ``by`` if given, whatever the order and partitioning of its rows.
+
+    The digest sums 52 bits of each row's SHA-256, so it is mergeable, repeated rows count, and two tables agree only
+    when their rows do (but for one chance in some 10**15). Nulls differ from empty text.
+    """
+    cell = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *[cell(c) for c in columns]), 256), 1, 13), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("digest"))
+
+
+def completed_evaluations(rows: DataFrame, summaries: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Whether the stored metric rows of each run are those its summary tells of: ``run, status``.
+
+    ``summaries`` has ``run, sample_count, digest``, written when the run ended. ``complete`` runs need no work;
+    ``unfinished`` ones lack the summary's count or have another number of rows; ``altered`` ones have the right number
+    of other rows.
+    """
+    found = fingerprint(rows, columns, ("run",)).withColumnRenamed("digest", "_found")
+    joined = summaries.join(found, "run", "left")
+    counted = F.coalesce(F.col("sample_count") == F.coalesce("row_count", F.lit(0)), F.lit(False))
+    same = F.coalesce(F.col("digest") == F.coalesce("_found", F.lit("0")), F.lit(False))
+    status = F.when(~counted, F.lit("unfinished")).when(same, F.lit("complete")).otherwise(F.lit("altered"))
+    return joined.select("run", status.alias("status"))
 
 
 def config_signature(config_json: Column, ignored: Sequence[str] = ("workers",)) -> Column:
@@ -87,3 +113,38 @@ def dataset_summary(records: DataFrame, config_json: str, dataset_id: str) -> Da
 def source_assignments(records: DataFrame) -> DataFrame:
     """Source to split, one row per source; the split of the first line wins."""
     return records.groupBy("source_id").agg(F.min_by("split", "line_no").alias("split"))
+
+
+def dataset_metadata(
+    records: DataFrame, manifest: DataFrame, config_json: str, dataset_id: str, skipped_page_count: int, versions: dict[str, str]
+) -> DataFrame:
+    """The whole dataset description: ``dataset_summary`` with skipped pages, versions and the source manifest.
+
+    ``manifest`` has the lines (``line_no, value``) that the sources came from; their fingerprint stands for the file,
+    since lines may come from many files in any order.
+    """
+    source = fingerprint(manifest, ("line_no", "value")).select(
+        F.col("row_count").alias("source_manifest_lines"), F.col("digest").alias("source_manifest_digest")
+    )
+    literal = F.create_map(*[F.lit(x) for item in sorted(versions.items()) for x in item])
+    summary = dataset_summary(records, config_json, dataset_id).withColumns(
+        {
+            "schema_version": F.lit(MANIFEST_SCHEMA_VERSION), "skipped_page_count": F.lit(skipped_page_count).cast("bigint"),
+            "software_versions": literal, "_one": F.lit(1),
+        }
+    )
+    return summary.join(source.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def reproduction_from_plan(stored: DataFrame, scan: DataFrame, recipes: DataFrame) -> DataFrame:
+    """Recompute pages from their plan and compare pixel hashes: ``page_id, status``.
+
+    ``stored`` has ``page_id, pixel_sha256``, ``scan`` the clean pages and ``recipes`` their planned degradations. The
+    pixels are made again by the kernels; a page that cannot be made has ``failed``.
+    """
+    from foliolake.operators import augment
+
+    made = augment.pixel_hash(augment.apply_recipes(scan, recipes))
+    again = made.select(F.col("page_id").alias("sample_id"), F.col("pixel_sha256").alias("input"))
+    known = stored.select(F.col("page_id").alias("sample_id"), F.col("pixel_sha256").alias("input"))
+    return reproduction_audit(known, again, ("input",), ()).select(F.col("sample_id").alias("page_id"), "status")

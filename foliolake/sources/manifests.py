@@ -2,29 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake import schemas
+from foliolake.constants import MANIFEST_SCHEMA_VERSION
+from foliolake.session import checkpointed
+
+
+#: Splits whose line counts are broadcast; a table of more is joined as Spark plans it.
+BROADCAST_SPLITS = 200_000
+
+
+def _numbered_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``_place``: the number of the line in its split, in the order in which the scan reads."""
+    before, last = 0, None
+    for batch in batches:
+        file, block = batch.column("file"), batch.column("_block")
+        new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+        n = batch.num_rows
+        if not n:
+            continue
+        if last != (file[0].as_py(), block[0].as_py()):
+            before = 0
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+        sizes = np.diff(np.append(starts, n))
+        places = np.arange(n) - np.repeat(starts, sizes) + 1
+        places[: sizes[0]] += before
+        last, before = (file[n - 1].as_py(), block[n - 1].as_py()), int(places[-1])
+        yield pa.record_batch([*batch.columns, pa.array(places)], names=[*batch.schema.names, "_place"])
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of text files with their true line numbers: ``file, line_no, value``.
 
-    Files are read in splits. Inside a split the scan numbers rows in file order; a table with one row
-    per split carries how many lines came before it, so even one huge file is read in parallel.
+    Files are read in splits, so even one huge file is read in parallel. A first scan counts the lines of each
+    split; in the second one lines are numbered where they are read and meet the number of lines before their
+    split, one row per split of some hundred megabytes. The text itself is never shuffled while there are fewer
+    than ``BROADCAST_SPLITS`` splits.
     """
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"), "value",
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value"
     )
-    splits = lines.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = splits.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return lines.join(placed, ["file", "_block"]).select("file", number.cast("bigint").alias("line_no"), "value")
+    placed = checkpointed(splits.select("file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    small = placed.count() <= BROADCAST_SPLITS
+    numbered = lines.mapInArrow(_numbered_inside, "file string, _block bigint, value string, _place bigint")
+    joined = numbered.join(F.broadcast(placed) if small else placed, ["file", "_block"])
+    return joined.select("file", (F.col("_before") + F.col("_place")).cast("bigint").alias("line_no"), "value")
 
 
 def empty_files(listed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -50,6 +81,18 @@ def read_dataset_metadata(spark: SparkSession, paths: str | Sequence[str]) -> Da
     )
 
 
+def metadata_file_problems(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``file, message`` of dataset descriptions that are no JSON, no object, or of another version."""
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+    # Only a whole number counts; true and "1" are no versions.
+    version = F.when(F.schema_of_variant(F.try_variant_get("doc", "$.schema_version", "variant")) == "BIGINT", F.try_variant_get("doc", "$.schema_version", "bigint"))
+    message = F.when(F.col("doc").isNull(), F.lit("invalid dataset metadata JSON")).when(
+        ~is_object, F.lit("dataset metadata root must be an object")
+    ).when(~version.eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION)), F.lit(f"dataset metadata schema_version must be {MANIFEST_SCHEMA_VERSION}"))
+    return raw.select("file", message.alias("message")).where("message IS NOT NULL")
+
+
 def read_asset_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Assets of source manifests with their index in the list."""
     raw = spark.read.schema(schemas.ASSET_MANIFEST).json(paths, multiLine=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,28 @@ def is_complete(spark: SparkSession, path: str) -> bool:
         if "PATH_NOT_FOUND" in str(error):
             return False
         raise
+
+
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write ``path, content`` rows as binary files below ``root`` and return how many there are.
+
+    Each task writes its own files, first under a name of their own, then moved, so a file is whole or absent and
+    a task that is run again leaves the same files. ``root`` is a folder or URI that all executors reach.
+    """
+    from foliolake.sources.headers import open_filesystem
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_filesystem(root)
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, target)
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.select("path", F.col("content").cast("binary")).mapInArrow(written, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -179,3 +179,49 @@ def test_artifacts_against_storage(spark, store):
     listed = rasters.stored_artifacts(spark, str(store), with_hash=False)
     found = {(r.line_no, r.rule) for r in validation.artifact_problems(declared, listed, verify_hashes=False).collect()}
     assert found == {(2, "artifact_size"), (4, "artifact_missing")}
+
+
+def test_headers_of_real_files_and_odd_ones(spark, tmp_path):
+    import struct
+    import zlib
+
+    from foliolake.sources import headers, sinks
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0abc" * 2)) + chunk(b"IEND", b"")
+    files = {
+        "a/one.PNG": (png, ("png", 3, 2)), "a/empty.png": (b"", (None, None, None)), "b/cut.jpg": (b"\xff\xd8\xff\xc0", ("jpeg", None, None)),
+        "b/late.jpeg": (b"\xff\xd8" + b"\xff\xe1\x03\x02" + b"x" * 768 + b"\xff\xc2\x00\x11\x08\x00\x07\x00\x09\x03", ("jpeg", 9, 7)),
+        "c/none.tif": (b"II*\0\xff\0\0\0", ("tiff", None, None)), "c/text.txt": (png, None),
+    }
+    rows = spark.createDataFrame([(k, bytearray(v[0])) for k, v in files.items()], "path string, content binary")
+    assert sinks.write_files(rows, str(tmp_path)) == 6
+    found = headers.read_headers(spark, str(tmp_path))
+    got = {r.path.removeprefix(f"{tmp_path}/"): (r.format, r.width, r.height) for r in found.collect()}
+    assert got == {k: v[1] for k, v in files.items() if v[1]}
+    assert headers.read_headers(spark, str(tmp_path / "c"), ".gif").count() == 0
+
+
+def test_lines_are_numbered_over_small_splits(spark, tmp_path):
+    text = "\n".join(f"line {k} " + "x" * (k % 50) for k in range(3000))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text("only")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = manifests.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        found = {(r.file.rpartition("/")[2], r.line_no): r.value for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {("a.jsonl", k + 1): v for k, v in enumerate(text.split("\n"))} | {("b.jsonl", 1): "only"}
+
+
+@pytest.mark.parametrize("tile, overlap, a, b", [(8, 0, 0.5, 0.5), (40, 8, 0.5, 0.5), (32, 32, 0.5, 0.5), (32, -1, 0.5, 0.5), (32, 8, 1.5, 0.5), (32, 8, 0.5, -0.1)])
+def test_settings_that_no_page_can_be_scored_with_are_refused(tile, overlap, a, b):
+    from foliolake.operators import tiles
+
+    with pytest.raises(ValueError):
+        tiles.check_settings(tile, overlap, a, b)
