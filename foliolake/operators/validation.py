@@ -38,12 +38,16 @@ def rule_rows(rows: DataFrame, keys: Sequence[str], rules: Sequence[Rule]) -> Da
 
 # --- parsed lines -----------------------------------------------------------------------------------
 
-DOC = "doc"
+DOC, RAW = "doc", "raw"
+_MAP = "map<string,string>"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds the line as VARIANT, which keeps the JSON types a typed read would coerce away."""
-    return lines.withColumn(DOC, F.try_parse_json("value"))
+    """Adds the line as VARIANT, which keeps the JSON types a typed read would coerce away, and as raw fields.
+
+    These two are the only times that a line is parsed; every rule reads one of them.
+    """
+    return lines.withColumns({DOC: F.try_parse_json("value"), RAW: F.from_json("value", _MAP)})
 
 
 def field(path: str) -> Column:
@@ -59,10 +63,16 @@ def text(path: str) -> Column:
     return F.when(kind(path) == "STRING", F.try_variant_get(F.col(DOC), f"$.{path}", "string"))
 
 
+def raw(path: str) -> Column:
+    """The JSON text at ``path``; the fields of an object inside come from its own text, not from the line."""
+    head, _, rest = path.partition(".")
+    return F.from_json(F.col(RAW)[head], _MAP)[rest] if rest else F.col(RAW)[head]
+
+
 def integer(path: str) -> Column:
     """The integer at ``path``; booleans and 1.0 are not integers."""
     number = kind(path).rlike(r"^(BIGINT|DECIMAL)")
-    whole = F.coalesce(number & F.get_json_object("value", f"$.{path}").rlike(r"^-?\d+$"), F.lit(False))
+    whole = F.coalesce(number & raw(path).rlike(r"^-?\d+$"), F.lit(False))
     return F.when(whole, F.try_variant_get(F.col(DOC), f"$.{path}", "decimal(38,0)"))
 
 
@@ -71,8 +81,8 @@ def is_object(path: str) -> Column:
 
 
 def object_keys(path: str | None = None) -> Column:
-    source = F.col("value") if path is None else F.get_json_object("value", f"$.{path}")
-    return F.coalesce(F.json_object_keys(source), F.array().cast("array<string>"))
+    source = F.col(RAW) if path is None else F.try_variant_get(F.col(DOC), f"$.{path}", "map<string,variant>")
+    return F.coalesce(F.map_keys(source), F.array().cast("array<string>"))
 
 
 def nonempty(path: str) -> Column:
