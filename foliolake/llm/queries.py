@@ -45,11 +45,14 @@ WITH texts AS (
 words AS (
   SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
   FROM texts),
+short AS (SELECT DISTINCT len(w) AS n FROM words WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4),
 shingles AS (
   SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5
     THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
-  FROM words),
+  FROM words
+  UNION SELECT kind, id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))
+  FROM words JOIN short ON len(w) >= n WHERE kind = 'd'),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n AS item_shingles, count(*) AS shared_shingles, count(*) / n AS containment
 FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.id = i.id

@@ -265,13 +265,13 @@ def test_lines(spark):
 def test_decontamination(spark):
     item = " ".join(WORDS)
     docs = [(1, "before. " + item.upper().replace(" ", ", ") + " after"), (2, " ".join(WORDS[:12])), (3, None), (4, "tiny item"),
-            (5, " ".join(WORDS[:-2]) + " other end"), (6, "a tiny item"), (None, item)]
+            (5, " ".join(WORDS[:-2]) + " other end"), (6, "a tiny item"), (None, item), (7, "tiny long text of words with a tiny, ITEM in it"), (8, "item tiny and more words here")]
     items = [(1, item), (2, "Tiny item!"), (3, ""), (4, None)]
     got = decontamination.contained_items(table(spark, docs), table(spark, items, "item_id bigint, text string"))
     n = len(WORDS) - 4
-    assert {(r.doc_id, r.item_id, r.shared_shingles) for r in got.collect()} == {(1, 1, n), (4, 2, 1), (5, 1, n - 2)}
+    assert {(r.doc_id, r.item_id, r.shared_shingles) for r in got.collect()} == {(1, 1, n), (4, 2, 1), (5, 1, n - 2), (6, 2, 1), (7, 2, 1)}
     clean = decontamination.clean_documents(table(spark, docs), table(spark, items, "item_id bigint, text string"))
-    assert sorted((r.doc_id for r in clean.collect()), key=str) == [2, 3, 6, None]
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == [2, 3, 8]
 
 
 def test_signatures_are_long_enough(spark):
