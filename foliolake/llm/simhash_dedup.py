@@ -149,13 +149,17 @@ def _router(trees: dict):
     return routed
 
 
-def sharded(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE, rounds: int = 6) -> DataFrame:
-    """(shard, fp): every two fingerprints within the radius share a shard."""
+def sharded(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(shard, fp): every two fingerprints within the radius share a shard.
+
+    Rounds go on until no large shard splits any more; a shard is tried once.
+    """
     rows = checkpointed(distinct.select(F.lit(0).cast("long").alias("shard"), "fp"))
     free, settled = 1, set()
-    for _ in range(rounds):
-        sizes = rows.groupBy("shard").count().filter(F.col("count") > shard).orderBy(F.desc("count")).limit(sample // 16)
-        large = {r["shard"]: r["count"] for r in sizes.collect() if r["shard"] not in settled}
+    while True:
+        sizes = rows.groupBy("shard").count().filter((F.col("count") > shard) & ~F.col("shard").isin(sorted(settled)))
+        # A round takes as many shards as its sample can part; the others have their turn in the next one.
+        large = {r["shard"]: r["count"] for r in sizes.orderBy(F.desc("count")).limit(sample // 16).collect()}
         if not large:
             break
         share = sample / sum(large.values())
@@ -169,13 +173,13 @@ def sharded(distinct: DataFrame, shard: int = SHARD, sample: int = SAMPLE, round
                 continue
             own = prints.to_numpy().view(np.uint64)
             nodes = grow(np.sort(own), max(8, int(len(own) * shard / large[number])))
-            settled.add(number)
+            settled.add(int(number))
             if nodes:
                 trees[int(number)] = (free, nodes)
                 free += len(nodes) + 1
         settled |= set(large)
         if not trees:
-            break
+            continue
         rows = checkpointed(rows.mapInArrow(_router(trees), "shard bigint, fp bigint"))
     return rows
 
