@@ -175,7 +175,7 @@ def unannotated_comparison(spark, sf):
     scan = dense(spark, sf).withColumns(
         {"source": F.concat(F.lit("s"), (page % 3).cast("string")), "page_number": (F.floor(page / 3) + 1).cast("int")}
     )
-    classical = kernels.cleaning_suite(dense(spark, sf)).where("variant = 'otsu'").withColumnRenamed("binary", "cleaned")
+    classical = kernels.cleaning_suite(dense(spark, sf), variants=("otsu",)).withColumnRenamed("binary", "cleaned")
     model = tiles.page_results(tiles.score_pages(dense(spark, sf), pointwise, 24, 8, multiple=8))
     rows = reports.unannotated_comparison(scan, [("classical", "Classical", classical, None, 0), ("tiled", "Model", model, 24, 8)])
     return rounded(rows, QUALITY_METRICS)

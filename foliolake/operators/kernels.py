@@ -249,51 +249,60 @@ def morphology(
     )
 
 
-def variant_planes(page: np.ndarray, level: np.ndarray | int, config: CleaningConfig) -> dict[str, np.ndarray]:
-    """The binary planes of the four variants of a normalized plane, given its global threshold."""
-    block = config.adaptive_block_size
-    taps = stencil.gaussian_taps(block, stencil.sigma_for_taps(block))
-    mean = stencil.to_level(stencil.smooth(page, taps, "edge"))
-    out = {
-        "otsu": np.where(page > level, 255, 0),
-        "adaptive": np.where(page > mean - int(np.ceil(config.adaptive_c)), 255, 0),
-    }
+def variant_planes(
+    page: np.ndarray, level: np.ndarray | int, config: CleaningConfig, variants: Sequence[str] = tuple(VARIANTS)
+) -> dict[str, np.ndarray]:
+    """The binary planes of the asked variants of a normalized plane, given its global threshold."""
+    out = {}
+    if any(v.startswith("otsu") for v in variants):
+        out["otsu"] = np.where(page > level, 255, 0)
+    if any(v.startswith("adaptive") for v in variants):
+        block = config.adaptive_block_size
+        taps = stencil.gaussian_taps(block, stencil.sigma_for_taps(block))
+        mean = stencil.to_level(stencil.smooth(page, taps, "edge"))
+        out["adaptive"] = np.where(page > mean - int(np.ceil(config.adaptive_c)), 255, 0)
     spans = stencil.ellipse_spans(config.kernel_size)
-    for name in ("otsu", "adaptive"):
-        ink = 255 - out[name]
-        for grow in morphology_steps(config.morphology, config.iterations):
-            ink = stencil.spread(ink, spans, grow)
-        out[name + "_morphology"] = 255 - ink
-    return out
+    for name in list(out):
+        if f"{name}_morphology" in variants:
+            ink = 255 - out[name]
+            for grow in morphology_steps(config.morphology, config.iterations):
+                ink = stencil.spread(ink, spans, grow)
+            out[f"{name}_morphology"] = 255 - ink
+    return {v: out[v] for v in variants}
 
 
 def cleaning_suite(
-    scan: DataFrame, config: CleaningConfig = CleaningConfig(), keep: Sequence[str] = ()
+    scan: DataFrame, config: CleaningConfig = CleaningConfig(), keep: Sequence[str] = (), variants: Sequence[str] = tuple(VARIANTS)
 ) -> DataFrame:
-    """The four variants of one shared normalized page, one row per (page, y, variant).
+    """The asked variants of one shared normalized page, one row per (page, y, variant).
 
     Illumination is computed once. Both thresholds and both morphologies come from a single band
     pass over the normalized page, so the page is shuffled once, not once per variant. Where only
     metrics are wanted, ``suite.suite_metrics`` sends no scanlines out at all.
     """
+    unknown = sorted(set(variants) - set(VARIANTS))
+    if unknown or not variants:
+        raise ValueError(f"variants must be some of {', '.join(VARIANTS)}")
     normalized = shared(normalize_illumination(scan, config).select(PAGE, "y", "normalized", *keep))
     levelled = attach_page_values(normalized, otsu_pages(normalized, "normalized"))
-    reach = len(morphology_steps(config.morphology, config.iterations)) * (config.kernel_size // 2)
+    reach = config.adaptive_block_size // 2 if any(v.startswith("adaptive") for v in variants) else 0
+    if any(v.endswith("_morphology") for v in variants):
+        reach += len(morphology_steps(config.morphology, config.iterations)) * (config.kernel_size // 2)
 
-    def all_variants(planes):
-        return {**variant_planes(planes["normalized"], planes["level"][:, :1], config), **{k: planes[k] for k in keep}}
+    def made(planes):
+        return {**variant_planes(planes["normalized"], planes["level"][:, :1], config, variants), **{k: planes[k] for k in keep}}
 
     wide = stencil.map_bands(
         levelled.withColumn("level", F.array("threshold")),
-        all_variants,
-        config.adaptive_block_size // 2 + reach,
+        made,
+        reach,
         ("normalized", "level", *keep),
-        {**{v: "int" for v in VARIANTS}, **{k: "int" for k in keep}},
+        {**{v: "int" for v in variants}, **{k: "int" for k in keep}},
         carry=("threshold",),
         levels=("normalized",),
     )
     stacked = F.explode(
-        F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("binary")) for v in VARIANTS])
+        F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("binary")) for v in variants])
     )
     return wide.select(PAGE, "y", "threshold", *keep, stacked.alias("c")).select(
         PAGE, "y", "c.variant", "c.binary",

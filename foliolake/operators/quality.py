@@ -66,7 +66,9 @@ def line_sums(source: str, cleaned: str) -> tuple[Column, Column]:
         runs, F.lit(0),
         lambda acc, s: acc + F.greatest(F.least(r["x1"], s["x1"]) - F.greatest(r["x0"], s["x0"]), F.lit(0)),
     )
-    kept = F.aggregate(long_runs(source), F.lit(0), lambda acc, r: acc + within(r, long_runs(cleaned)))
+    # The lambda variable keeps the cleaned runs of a row from being found again for each of its source runs.
+    over = lambda runs: F.aggregate(long_runs(source), F.lit(0), lambda acc, r: acc + within(r, runs))
+    kept = F.get(F.transform(F.array(long_runs(cleaned)), over), F.lit(0))
     return length.alias("line_source"), kept.alias("line_kept")
 
 
