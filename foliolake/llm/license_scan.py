@@ -1,7 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-One pass of an Aho-Corasick automaton over a text finds the keywords that occur; only rules whose keyword
-does are tried. Detections are resolved in rule order: one that lies inside an accepted detection is
+Rules are matched on a copy of the text in which every gap is one space: white space, line breaks and the comment
+marks that begin a line (``#``, ``//``, ``*``, ``;``, ``--``, ``%``, ``<!--``), so it does not matter where a notice is
+wrapped or what it is commented with. Spans are told in the text itself. One pass of an Aho-Corasick automaton over
+that copy finds the keywords that occur; only rules whose keyword does are tried. Detections are resolved in rule order: one that lies inside an accepted detection is
 suppressed. What is left gives the labels and a score, 1 minus the product of the detections' doubts, where
 each label counts once with its surest rule.
 
@@ -61,6 +63,32 @@ def _compiled():
     return rules, base, automaton
 
 
+_MARKS = r"(?:(?:#+|//+!?|/?\*+/?|;+|--+|%+|<!--|-->|\.\\\"|dnl|rem)(?=\s|$))?"
+#: What is read as one space: white space of two or more characters or other than a space, and commented line breaks.
+_JOINED = re.compile(rf"(?:\s*\n\s*{_MARKS}\s*|^\s*{_MARKS}\s+|\s*-->\s*$|\s{{2,}}|[^\S ])+")
+
+
+class Collapsed:
+    """A text with its gaps as single spaces, and the way back to its places."""
+
+    def __init__(self, text: str):
+        self.source, self.text = text, _JOINED.sub(" ", text)
+        self._gaps = None
+
+    def _place(self, at: int) -> int:
+        if self._gaps is None:
+            spans = np.array([m.span() for m in _JOINED.finditer(self.source)], np.int64).reshape(-1, 2)
+            removed = np.cumsum(spans[:, 1] - spans[:, 0] - 1)
+            # Where each gap's space stands in the copy, and how much was left out up to and with it.
+            self._gaps = spans[:, 0] - (removed - (spans[:, 1] - spans[:, 0] - 1)), removed
+        before = int(np.searchsorted(self._gaps[0], at, side="left"))
+        return at + (int(self._gaps[1][before - 1]) if before else 0)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the text that a nonempty span of the copy stands for."""
+        return self._place(start), self._place(end - 1) + 1
+
+
 def detections(text: str, numbers) -> list[tuple[int, int, str, float]]:
     """(start, end, label, confidence) of the rules ``numbers``, without those inside an earlier rule's."""
     rules = _compiled()[0]
@@ -83,12 +111,14 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, str, float]], list
     """Detections, and base places as (first character, label), of one text."""
     text = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     _, base, automaton = _compiled()
+    copy = Collapsed(text)
     numbers, phrases = set(), set()
-    for _, (rules, own) in automaton.iter(text):
+    for _, (rules, own) in automaton.iter(copy.text):
         numbers.update(rules)
         phrases.update(own)
     places = [(m.start(), base[k][0]) for k in sorted(phrases) for m in base[k][2].finditer(text)]
-    return detections(text, numbers), sorted(places)
+    found = [(*copy.span(a, b), label, sure) for a, b, label, sure in detections(copy.text, numbers)]
+    return found, sorted(places)
 
 
 _WORD_OF_TEXT = re.compile(rf"{_WORD}+")
