@@ -35,7 +35,9 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, kind=None) -> tuple
 
 
 def to_planes(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of unsigned values, one byte plane after another, which compress well."""
+    """Unsigned values of ``width`` bytes, one byte plane after another, which compress well; larger ones are refused."""
+    if width < 8 and len(values) and int(values.max()) >> (8 * width):
+        raise OverflowError(f"a value needs more than {width} bytes")
     parts = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
     return parts.T[::-1].tobytes()
 

@@ -37,6 +37,8 @@ FOLDS, HELD_OUT, DELETED = 7, 2, 3
 STEPS = 4  # histogram bins per power of two
 BUCKETS = 48
 ROUNDS = 60
+#: Bytes of a count on its way; ``to_planes`` refuses a count that needs more (281 million million).
+COUNT_BYTES = 6
 _END = np.uint64(0x5851F42D4C957F2D)
 _CONTEXT = np.uint64(0xA0761D6478BD642F)
 _ONE = np.uint64(1)
@@ -75,7 +77,7 @@ def _ask(buckets: int):
         counts = np.add.reduceat(np.concatenate((counted, counted))[order], starts)
         keys = keys[order[starts]]
         rows = [
-            (b, chunk, exchange.to_planes(keys[low:high], 8), exchange.to_planes(counts[low:high], 8))
+            (b, chunk, exchange.to_planes(keys[low:high], 8), exchange.to_planes(counts[low:high], COUNT_BYTES))
             for b, low, high in exchange.bucket_ranges(keys, buckets)
         ]
         columns = list(zip(*rows)) or [[], [], [], []]
@@ -91,7 +93,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Per chunk, training and retained counts of what it asked; and one row of totals."""
     chunks = table["chunk"].to_pylist()
     asked = [exchange.from_planes(k, 8) for k in table["keys"].to_pylist()]
-    counts = [exchange.from_planes(p, 8).astype(np.int64) for p in table["payload"].to_pylist()]
+    counts = [exchange.from_planes(p, COUNT_BYTES).astype(np.int64) for p in table["payload"].to_pylist()]
     deleted = np.repeat(np.array(chunks) % 2, [len(k) for k in asked])
     keys, counts = np.concatenate(asked), np.concatenate(counts)
     order, starts = _sorted_groups(keys)
@@ -101,7 +103,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     ends = np.cumsum([len(k) for k in asked])
     payload = [
-        exchange.to_planes(total[g], 8) + exchange.to_planes(retained[g], 8) for g in np.split(group, ends[:-1])
+        exchange.to_planes(total[g], COUNT_BYTES) + exchange.to_planes(retained[g], COUNT_BYTES) for g in np.split(group, ends[:-1])
     ]
     word = (keys[order[starts]] & _ONE) == 0
     n = len(chunks)
@@ -129,8 +131,8 @@ def _counts(table: pa.Table, answers: pa.Table, buckets: int):
     values = [np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)]
     for bucket, low, high in exchange.bucket_ranges(distinct, buckets):
         half = len(told[bucket]) // 2
-        values[0][low:high] = exchange.from_planes(told[bucket][:half], 8)
-        values[1][low:high] = exchange.from_planes(told[bucket][half:], 8)
+        values[0][low:high] = exchange.from_planes(told[bucket][:half], COUNT_BYTES)
+        values[1][low:high] = exchange.from_planes(told[bucket][half:], COUNT_BYTES)
     group = np.empty(len(keys), np.int64)
     group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     n = len(unigrams)

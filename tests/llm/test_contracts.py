@@ -112,3 +112,12 @@ def test_slices_do_not_change_the_rows(spark):
     table = spark.createDataFrame([(k, f"some words {k} and " + "z" * (k % 70) * k) for k in range(40)], "doc_id bigint, text string").coalesce(1)
     whole = sorted(map(tuple, spm_sampling.sampled(table).drop("log_prob", "inclusion").collect()))
     assert whole == sorted(map(tuple, spm_sampling.sampled(table, slice_bytes=200).drop("log_prob", "inclusion").collect()))
+
+
+def test_counts_that_do_not_fit_are_refused():
+    from foliolake.llm import exchange, lm_scoring
+
+    values = np.array([0, 5, (1 << 40) + 5, (1 << 48) - 1], np.uint64)
+    assert (exchange.from_planes(exchange.to_planes(values, lm_scoring.COUNT_BYTES), lm_scoring.COUNT_BYTES) == values).all()
+    with pytest.raises(OverflowError):
+        exchange.to_planes(values + np.uint64(1), lm_scoring.COUNT_BYTES)
