@@ -6,23 +6,39 @@ however long the page is. Spark does the partitioning; a short NumPy function do
 one band as if it were a whole page, and only the rows owned by the band are kept. Rows at a cut are
 wrong by construction for at most ``radius`` rows and are never kept; rows at a true page edge get
 the kernel's own border rule.
+
+A page may lack scanlines. Its bands also get the ``radius`` lines that come next on either side, however far,
+and the planes of a kernel hold the lines that are there, in order, so a neighbour is the next line present.
+Weighted means go by place: there a missing line counts as zero (``Lines``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliolake.operators.raster import PAGE, byte_line
+from foliolake.operators.raster import PAGE, attach_page_values, byte_line
+from foliolake.session import checkpointed
 
 BAND_ROWS = 128
 Planes = Mapping[str, np.ndarray]
+#: Among the planes: where the lines of a band lie, or None for a page without gaps.
+LINES = "_lines"
+
+
+@dataclass(frozen=True)
+class Lines:
+    """Places of the lines of a band whose page lacks some, and the page's last place."""
+
+    y: np.ndarray
+    last: int
 
 
 def plane_of(column: pa.ChunkedArray) -> np.ndarray:
@@ -48,6 +64,40 @@ def band_rows(scan: DataFrame, radius: int, rows: int = BAND_ROWS) -> DataFrame:
     return scan.withColumn("band", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
 
 
+def gapped_pages(scan: DataFrame, keys: Sequence[str] = (PAGE,)) -> DataFrame | None:
+    """Pages that lack lines, with their last line ``_last``; None if every page is whole, as is usual."""
+    pages = scan.groupBy(*keys).agg(F.max("y").cast("int").alias("_last"), F.count("y").alias("_n"))
+    gapped = checkpointed(pages.where("_n <> _last + 1").select(*keys, "_last"))
+    return None if gapped.isEmpty() else gapped
+
+
+def _gapped_band_rows(scan: DataFrame, radius: int, rows: int, keys: Sequence[str], gapped: DataFrame) -> DataFrame:
+    """``band_rows`` where lines of ``gapped`` pages also go to the bands of the ``radius`` lines next to them.
+
+    Only line numbers of gapped pages are sorted by page; the window looks at ``2 * radius + 1`` of them at a time.
+    """
+    near = Window.partitionBy(*keys).orderBy("y").rowsBetween(-radius, radius)
+    numbers = scan.select(*keys, "y").join(gapped.select(*keys), list(keys), "left_semi").distinct()
+    reach = numbers.select(*keys, "y", F.collect_set(F.floor(F.col("y") / rows).cast("int")).over(near).alias("_reach"))
+    first = F.greatest(F.floor((F.col("y") - radius) / rows), F.lit(0)).cast("int")
+    last = F.floor((F.col("y") + radius) / rows).cast("int")
+    bands = F.array_union(F.sequence(first, last), F.coalesce("_reach", F.array().cast("array<int>")))
+    marked = attach_page_values(scan, gapped, keys, how="left").join(reach, [*keys, "y"], "left")
+    return marked.withColumn("band", F.explode(bands)).drop("_reach")
+
+
+def _banded(scan: DataFrame, radius: int, rows: int, keys: Sequence[str], whole: bool) -> DataFrame:
+    gapped = None if whole else gapped_pages(scan, keys)
+    return band_rows(scan, radius, rows) if gapped is None else _gapped_band_rows(scan, radius, rows, keys, gapped)
+
+
+def _planes(table: pa.Table, names: Sequence[str]) -> dict:
+    lines = None
+    if "_last" in table.column_names and table.column("_last")[0].is_valid:
+        lines = Lines(table.column("y").to_numpy(), table.column("_last")[0].as_py())
+    return {**{n: plane_of(table.column(n)) for n in names}, LINES: lines}
+
+
 def group_tables(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[list[pa.Table]]:
     """Complete groups of a partition sorted by ``keys``, a list per Arrow batch; holds one open group."""
     held: list[pa.Table] = []
@@ -108,15 +158,17 @@ def map_bands(
     carry: Sequence[str] = (),
     rows: int = BAND_ROWS,
     levels: Sequence[str] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """Apply ``kernel`` (planes in, planes out) and return scanlines.
 
     ``outputs`` gives each produced column's element type (``int`` or ``double``); ``carry`` lists
     page-wide scalar columns passed through; ``levels`` names inputs of 0..255, which travel as bytes.
+    ``whole`` states that no page lacks lines, which is looked up otherwise.
     """
     element = {"int": (T.IntegerType(), pa.int32()), "double": (T.DoubleType(), pa.float64())}
     passed, names = [*keys, "y", *carry], list(inputs)
-    source = band_rows(scan.select(*passed, *_travelling(names, levels)), radius, rows)
+    source = _banded(scan.select(*passed, *_travelling(names, levels)), radius, rows, keys, whole)
     schema = T.StructType(
         [source.schema[c] for c in passed]
         + [T.StructField(n, T.ArrayType(element[t][0])) for n, t in outputs.items()]
@@ -126,7 +178,7 @@ def map_bands(
         core = _owned(table, rows)
         if core is None:
             return None
-        result = kernel({n: plane_of(table.column(n)) for n in names})
+        result = kernel(_planes(table, names))
         kept = table.slice(core.start, core.stop - core.start)
         return pa.table(
             {**{c: kept.column(c) for c in passed},
@@ -145,11 +197,12 @@ def reduce_bands(
     keys: Sequence[str] = (PAGE,),
     rows: int = BAND_ROWS,
     levels: Sequence[str] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """One row of partial sums per band; ``kernel`` gets the planes and the owned rows."""
     types = {"bigint": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64())}
     names, page_keys = list(inputs), list(keys)
-    source = band_rows(scan.select(*page_keys, "y", *_travelling(names, levels)), radius, rows)
+    source = _banded(scan.select(*page_keys, "y", *_travelling(names, levels)), radius, rows, page_keys, whole)
     schema = T.StructType(
         [source.schema[c] for c in keys] + [T.StructField(n, types[t][0]) for n, t in outputs.items()]
     )
@@ -158,7 +211,7 @@ def reduce_bands(
         core = _owned(table, rows)
         if core is None:
             return None
-        sums = kernel({n: plane_of(table.column(n)) for n in names}, core)
+        sums = kernel(_planes(table, names), core)
         return pa.table(
             {**{c: table.column(c).slice(0, 1) for c in page_keys},
              **{n: pa.array([sums[n]], types[t][1]) for n, t in outputs.items()}}
@@ -191,16 +244,40 @@ def sigma_for_taps(size: int) -> float:
     return 0.3 * ((size - 1) * 0.5 - 1) + 0.8
 
 
-def smooth(plane: np.ndarray, taps: np.ndarray, border: str) -> np.ndarray:
-    """Separable weighted mean; ``border`` is ``edge`` (replicate) or ``reflect`` (edge pixel once)."""
+def smooth(plane: np.ndarray, taps: np.ndarray, border: str, lines: Lines | None = None) -> np.ndarray:
+    """Separable weighted mean; ``border`` is ``edge`` (replicate) or ``reflect`` (edge pixel once).
+
+    With ``lines``, rows lie at their places and missing ones count as zero.
+    """
     r = len(taps) // 2
     height, width = plane.shape
     wide = np.pad(plane.astype(np.float64), ((0, 0), (r, r)), mode=border)
     across = sum(w * wide[:, k : k + width] for k, w in enumerate(taps))
+    if lines is not None:
+        return _smooth_down(across, taps, border, lines)
     tall = np.pad(across, ((r, r), (0, 0)), mode=border)
     return sum(w * tall[k : k + height] for k, w in enumerate(taps))
 
 
+def _smooth_down(across: np.ndarray, taps: np.ndarray, border: str, lines: Lines) -> np.ndarray:
+    """The vertical pass by place; runs of lines too far apart to meet are worked on one by one."""
+    r, out = len(taps) // 2, np.zeros(across.shape)
+    cuts = [0, *(np.flatnonzero(np.diff(lines.y) > 2 * r) + 1).tolist(), len(lines.y)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        at = lines.y[lo:hi]
+        places = np.arange(int(at[0]) - r, int(at[-1]) + r + 1)
+        if border == "edge":
+            places = np.clip(places, 0, lines.last)
+        else:
+            period = max(2 * lines.last, 1)
+            places = np.minimum(places % period, period - places % period) if lines.last else np.zeros_like(places)
+        found = np.minimum(np.searchsorted(at, places), len(at) - 1)
+        tall = np.where((at[found] == places)[:, None], across[lo:hi][found], 0.0)
+        for k, w in enumerate(taps):
+            out[lo:hi] += w * tall[at - at[0] + k]
+    return out
+
+
 def ellipse_spans(size: int) -> list[tuple[int, int]]:
     """(row offset, half width) pairs of the elliptic structuring element."""
     r = size // 2
