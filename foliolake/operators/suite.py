@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolake.constants import SSIM_C1, SSIM_C2
+from foliolake.functions.pixel import predicted_ink
 from foliolake.operators import stencil
-from foliolake.operators.kernels import CleaningConfig, light_field, morphology_steps, otsu_threshold, variant_planes
-from foliolake.operators.metrics import COUNTS
+from foliolake.operators.kernels import (
+    CleaningConfig, cleaning_suite, light_field, morphology_steps, otsu_threshold, ssim, variant_planes,
+)
+from foliolake.operators.metrics import COUNTS, confusion_counts
 from foliolake.operators.raster import PAGE, byte_line
+from foliolake.session import checkpointed
 
 ROWS = stencil.BAND_ROWS
 #: Rows on either side that similarity needs, in rows of the page it is measured on.
@@ -47,7 +51,7 @@ def halo(width: Column, config: CleaningConfig) -> Column:
 
 def banded(scan: DataFrame, config: CleaningConfig) -> tuple[DataFrame, DataFrame]:
     """(rows of all bands, page sizes): lines with their targets, and the light field rows under them."""
-    field, sized = light_field(scan, config)
+    field, sized = light_field(scan, config, whole=True)
     reach = halo(F.size("values"), config)
     lines = scan.withColumn("_halo", reach).select(
         PAGE, F.lit(_LINE).alias("kind"), "y", byte_line(F.col("values")).alias("line"), byte_line(F.col("clean")).alias("target"),
@@ -201,8 +205,22 @@ def _measurer(config: CleaningConfig):
 def suite_metrics(scan: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
     """``page_id, variant``, the four counts, ``ssim`` and ``threshold_value`` of the suite's variants.
 
-    ``scan`` has ``page_id, y, values, clean`` with levels from 0 to 255.
+    ``scan`` has ``page_id, y, values, clean`` with levels from 0 to 255. Pages that lack lines are measured
+    apart, on the scanlines of ``cleaning_suite``.
     """
+    gapped = stencil.gapped_pages(scan)
+    if gapped is None:
+        return _whole_pages(scan, config)
+    torn = checkpointed(cleaning_suite(scan.join(gapped, PAGE, "left_semi"), config, keep=("clean",)))
+    wanted = lambda v: (255.0 - v) / 255.0 >= config.target_ink_threshold
+    keys = (PAGE, "variant")
+    counts = confusion_counts(torn, "binary", "clean", predicted_ink, wanted, keys)
+    levels = torn.groupBy(*keys).agg(F.max("threshold_value").alias("threshold_value"))
+    apart = counts.join(ssim(torn, "binary", "clean", keys), list(keys)).join(levels, list(keys))
+    return _whole_pages(scan.join(gapped, PAGE, "left_anti"), config).unionByName(apart)
+
+
+def _whole_pages(scan: DataFrame, config: CleaningConfig) -> DataFrame:
     bands, sized = banded(scan, config)
     order = [PAGE, "band", "kind", "y"]
     page = f"`{PAGE}` {scan.schema[PAGE].dataType.simpleString()}"
