@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolake.catalog.cleaning_metrics import rounded
 from foliolake.catalog.masks import runs_sql
-from foliolake.catalog.rasters import DENSE, TEXT, dense, otsu_sql, r6_sql, text
+from foliolake.catalog.rasters import DENSE, HEIGHT, TEXT, dense, otsu_sql, r6_sql, text
 from foliolake.catalog.registry import query, table
 from foliolake.constants import QUALITY_METRICS
 from foliolake.functions.score import r6
@@ -44,7 +44,7 @@ def comparisons(spark, sf):
     return ruled(spark, sf).select(
         "page_id", "y", F.col("values").alias("original"),
         F.concat(F.lit("s"), (page % 3).cast("string")).alias("source"),
-        (F.floor(page / 3) + 1).cast("int").alias("page_number"), F.inline(kinds),
+        (F.floor(page / 3) + 1).cast("int").alias("page_number"), F.lit(HEIGHT).alias("height"), F.inline(kinds),
     )
 
 

@@ -9,7 +9,7 @@ from foliolake.catalog.kernels import CLEAN_SQL, SUITE, ssim_sql, with_clean
 from foliolake.catalog.masks import layer_sql, layers
 from foliolake.catalog.planning import S, docs, key
 from foliolake.catalog.quality import LINES, ZONES, tiny_sql
-from foliolake.catalog.rasters import DENSE, SCORES_SQL, SEED, WEIGHTS, dense, otsu_sql, r6_sql, ratio_sql, split_sql
+from foliolake.catalog.rasters import DENSE, HEIGHT, SCORES_SQL, SEED, WEIGHTS, dense, otsu_sql, r6_sql, ratio_sql, split_sql
 from foliolake.catalog.registry import query, table
 from foliolake.catalog.tiles import POINT, pointwise, starts_sql
 from foliolake.constants import CLASSES, QUALITY_METRICS
@@ -173,7 +173,10 @@ quality AS (
 def unannotated_comparison(spark, sf):
     page = F.col("page_id")
     scan = dense(spark, sf).withColumns(
-        {"source": F.concat(F.lit("s"), (page % 3).cast("string")), "page_number": (F.floor(page / 3) + 1).cast("int")}
+        {
+            "source": F.concat(F.lit("s"), (page % 3).cast("string")), "page_number": (F.floor(page / 3) + 1).cast("int"),
+            "height": F.lit(HEIGHT),
+        }
     )
     classical = kernels.cleaning_suite(dense(spark, sf), variants=("otsu",)).withColumnRenamed("binary", "cleaned")
     model = tiles.page_results(tiles.score_pages(dense(spark, sf), pointwise, 24, 8, multiple=8))

@@ -99,15 +99,17 @@ def quality_rows(scan: DataFrame, originals: DataFrame | None = None) -> DataFra
 
     ``scan`` has ``page_id, comparison_id, y, original array<int>, cleaned array<int>`` and the page-wide
     ``source, page_number, comparison_label, tile_size, overlap`` (tile size NULL for untiled results).
+    A page-wide column ``height`` states how high pages are; without it a page ends with its last line.
     ``originals`` (``page_id, y, original``) saves one histogram per extra comparison. One aggregate over
     the scanlines counts ink, overlap, seam zones and line pixels (line runs are found inside each row);
     only tiny components need neighbouring rows.
     """
+    height = F.first("height") if "height" in scan.columns else F.max("y") + 1
     facts = scan.groupBy(*KEYS).agg(
         F.first("source").alias("source"), F.first("page_number").alias("page_number"),
         F.first("comparison_label").alias("comparison_label"),
         F.first("tile_size").alias("tile_size"), F.first("overlap").alias("overlap"),
-        (F.max("y") + 1).cast("int").alias("height"), F.max(F.size("cleaned")).alias("width"),
+        height.cast("int").alias("height"), F.max(F.size("cleaned")).alias("width"),
     )
     tiled = F.col("tile_size").isNotNull() & (
         (F.col("height") > F.col("tile_size")) | (F.col("width") > F.col("tile_size"))

@@ -66,15 +66,21 @@ def _tops(tile: int, overlap: int) -> Column:
     return F.array_distinct(F.concat(regular, F.when(F.col("y") >= last, F.array(last)).otherwise(none)))
 
 
-def cut_strips(scan: DataFrame, tile: int, overlap: int, values: str = "values") -> DataFrame:
-    """Scanlines dealt to the rows of tiles that cover them (``top``), without a range join."""
-    shaped = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("line")), page_shape(scan, values))
+def cut_strips(scan: DataFrame, tile: int, overlap: int, values: str = "values", height: int | None = None) -> DataFrame:
+    """Scanlines dealt to the rows of tiles that cover them (``top``), without a range join.
+
+    ``height`` is that of all pages, where it is known; otherwise a page ends with its last line.
+    """
+    shape = page_shape(scan, values)
+    if height is not None:
+        shape = shape.withColumn("height", F.lit(height))
+    shaped = attach_page_values(scan.select(PAGE, "y", F.col(values).alias("line")), shape)
     return shaped.withColumn("top", F.explode(_tops(tile, overlap)))
 
 
-def cut_tiles(scan: DataFrame, tile: int, overlap: int, values: str = "values") -> DataFrame:
-    """Scanline pieces per tile."""
-    pieces = cut_strips(scan, tile, overlap, values).withColumn("left", F.explode(tile_starts(F.col("width"), tile, overlap)))
+def cut_tiles(scan: DataFrame, tile: int, overlap: int, values: str = "values", height: int | None = None) -> DataFrame:
+    """Scanline pieces per tile; ``height`` as in ``cut_strips``."""
+    pieces = cut_strips(scan, tile, overlap, values, height).withColumn("left", F.explode(tile_starts(F.col("width"), tile, overlap)))
     return pieces.select(
         PAGE, "height", "width", "top", "left", "y", F.slice("line", F.col("left") + 1, F.lit(tile)).alias("piece")
     )

@@ -104,10 +104,12 @@ def summary_table(summaries: DataFrame, columns: Mapping[str, str]) -> DataFrame
 def unannotated_comparison(scan: DataFrame, panels: Sequence[tuple[str, str, DataFrame, int | None, int]]) -> DataFrame:
     """Quality rows of every page under every cleaning.
 
-    ``scan`` has ``page_id, y, values, source, page_number``; a panel is ``(id, label, cleaned scanlines,
+    ``scan`` has ``page_id, y, values, source, page_number`` and, where pages may end before their last line,
+    ``height``; a panel is ``(id, label, cleaned scanlines,
     tile size, overlap)`` with the tile size None for results that were not tiled.
     """
-    original = scan.select(PAGE, "y", F.col("values").alias("original"), "source", "page_number")
+    stated = [c for c in ("height",) if c in scan.columns]
+    original = scan.select(PAGE, "y", F.col("values").alias("original"), "source", "page_number", *stated)
     stacked = None
     for name, label, cleaned, tile, overlap in panels:
         one = cleaned.select(PAGE, "y", "cleaned").withColumns(
