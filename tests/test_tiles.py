@@ -64,3 +64,11 @@ def test_metadata(scan_of):
     row = tiles.page_metadata(scan_of({1: np.ones((79, 20))}), 32, 8).first()
     assert (row.height, row.width, row.tile_count) == (79, 20, 3)
     assert raster.page_shape(scan_of({1: np.ones((79, 20))})).count() == 1
+
+
+def test_logits_are_blended_where_they_are_scored(scan_of):
+    page = np.random.default_rng(3).integers(0, 256, (1100, 40))
+    logits = tiles.score_pages(scan_of({1: page}), pointwise, 32, 8, logits="double")
+    assert logits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = np.array([r.staff for r in sorted(logits.collect(), key=lambda r: r.y)])
+    assert np.allclose(got, 2 * page / 255.0)
