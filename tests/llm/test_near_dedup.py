@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from foliolake.llm import near_dedup
+from foliolake.llm import near_dedup, simhash_dedup
 from tests.llm.helpers import SPACE, lower
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +63,24 @@ def test_edited_copies_chains_and_groups(spark):
     assert got == plain_groups([r for r in rows if r[0] < 200 or r[0] > 201]) | {200: 200, 201: 200}
 
 
+def test_vantage_points_bring_near_fingerprints_together(spark, monkeypatch):
+    """The search of fingerprints finds near copies by itself, and what it finds is checked on whole sets."""
+    draw = np.random.default_rng(5)
+    pool = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(40):
+        base = list(draw.choice(pool, 900))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:450], "edit", *base[451:]]))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    prints = [simhash_dedup.fingerprint(t) for _, t in rows]
+    near = {2 * k for k in range(40) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= simhash_dedup.RADIUS}
+    assert len(near) > 20
+    # No two texts share a band.
+    monkeypatch.setattr(near_dedup, "band_hashes", lambda sets: np.array([[near_dedup._node(s)] * 25 for s in sets], np.uint64))
+    got = {r.doc_id: r.component_id for r in near_dedup.components(table).collect()}
+    assert {i for i in range(0, 80, 2) if got[i + 1] == i} == near
+
+
 def test_rows_of_one_id_are_judged_each_by_its_text(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "something else that nobody wrote before"), (None, "a b c d e f g h")]
     kept = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
