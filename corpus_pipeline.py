@@ -19,6 +19,11 @@ from foliolake.llm.queries import QUERIES, SQL
 cloudpickle.register_pickle_by_value(foliolake)
 
 
+#: Bytes of text that the last stage works on at once. Executors have run four stages before it, so it takes less than op1.
+SLICE = 3 << 16
+LATTICE = 1 << 19
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
     return quality_rules.kept_documents(docs)
@@ -30,7 +35,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near duplicates (five-word Jaccard of 0.8 or more)."""
+    """One document, that with the smallest doc_id, of each group of near duplicates (five-word Jaccard of 0.8 or more).
+
+    Candidates come from SimHash fingerprints over vantage points, as in op5, and from MinHash bands.
+    """
     return near_dedup.deduplicated(docs)
 
 
@@ -41,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of the documents that are left, with their inclusion scores."""
-    return spm_sampling.sampled(docs)
+    return spm_sampling.sampled(docs, slice_bytes=SLICE, lattice_bytes=LATTICE)
 
 
 STAGES = [

@@ -540,7 +540,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 SCHEMA = "doc_id bigint, draw int, n_pieces int, log_prob double, inclusion double, ids array<int>, round_trip boolean"
 
 
-def _sampler(model: str, draws: int, power: float, slice_bytes: int):
+def _sampler(model: str, draws: int, power: float, slice_bytes: int, lattice_bytes: int = LATTICE):
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model, power)
         for batch in batches:
@@ -548,7 +548,7 @@ def _sampler(model: str, draws: int, power: float, slice_bytes: int):
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             ids = batch.column("doc_id").cast(pa.int64())
             keys = ids.fill_null(-1).to_numpy(zero_copy_only=False)
-            for start, stop in _runs(sizes, LATTICE):
+            for start, stop in _runs(sizes, lattice_bytes):
                 cut = Chunks(words, texts.slice(start, stop - start))
                 for low, high in _runs(sizes[start:stop], slice_bytes):
                     own = slice(start + low, start + high)
@@ -566,13 +566,15 @@ def _sampler(model: str, draws: int, power: float, slice_bytes: int):
 
 
 def sampled(
-    docs: DataFrame, draws: int = DRAWS, model: str = MODEL, power: float = POWER, slice_bytes: int = SLICE
+    docs: DataFrame, draws: int = DRAWS, model: str = MODEL, power: float = POWER, slice_bytes: int = SLICE,
+    lattice_bytes: int = LATTICE,
 ) -> DataFrame:
     """Per document its sampled segmentations: draw, pieces, log probability, inclusion score, ids.
 
-    ``round_trip`` tells that the ids decode to the text itself.
+    ``round_trip`` tells that the ids decode to the text itself. The rows do not depend on ``slice_bytes`` and
+    ``lattice_bytes``, which bound the memory of a worker.
     """
-    return docs.select("doc_id", "text").mapInArrow(_sampler(model, draws, power, slice_bytes), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_sampler(model, draws, power, slice_bytes, lattice_bytes), SCHEMA)
 
 
 def decoded(encoded: DataFrame, model: str = MODEL, power: float = POWER) -> DataFrame:

@@ -47,3 +47,11 @@ def test_stages_are_the_dealt_ones():
     ]
     assert corpus_pipeline.queries()["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in corpus_pipeline.oracle_sql()
+
+
+def test_encoding_does_not_depend_on_its_slices(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.LATTICE < spm_sampling.LATTICE
+    plain = {(r.doc_id, r.draw): r for r in spm_sampling.sampled(documents).collect()}
+    got = corpus_pipeline.encoding_stage(spark, documents, SF).collect()
+    assert len(got) == len(plain) and all(plain[r.doc_id, r.draw] == r for r in got)
