@@ -10,7 +10,7 @@ from foliolake.catalog.cleaning_metrics import rounded
 from foliolake.catalog.kernels import ADAPTIVE, NORMALIZED, chain_sql, pixels_of, with_clean
 from foliolake.catalog.planning import docs, key
 from foliolake.catalog.rasters import DENSE, SEED, SHAPE, WEIGHTS, dense, r6_sql, split_sql
-from foliolake.catalog.registry import SQL, query, table
+from foliolake.catalog.registry import SQL, query, spread, table
 from foliolake.catalog.reports import classical_suite_rows  # noqa: F401  its SQL is used below
 from foliolake.catalog.sources import scratch
 from foliolake.catalog.tiles import starts_sql
@@ -278,13 +278,17 @@ def dataset_metadata(spark, sf):
     "'dataset metadata schema_version must be 1'])[CAST(s_suppkey % 5 AS INT)] AS message FROM supplier WHERE s_suppkey % 5 <> 0",
 )
 def metadata_file_problems(spark, sf):
-    """One description per supplier: sound, broken, no object, another version, a version that is no number."""
+    """One description per supplier: sound, broken, no object, another version, a version that is no number.
+
+    Every description is a file of its own. The files lie in a hundred folders and are written by all cores.
+    """
     path, k = scratch(spark), F.col("s_suppkey")
     value = F.when(k % 5 == 1, F.lit("{oops")).when(k % 5 == 2, F.lit("[1]")).when(k % 5 == 3, F.lit('{"schema_version":2}')).when(
         k % 5 == 4, F.lit('{"schema_version":true}')).otherwise(F.lit('{"schema_version":1}'))
-    table(spark, sf, "supplier").select(k.alias("id"), value.alias("value")).repartition("id").write.partitionBy("id").text(path)
-    found = manifests.metadata_file_problems(spark, path)
-    return found.select(F.regexp_extract("file", "id=([0-9]+)", 1).cast("bigint").alias("id"), "message")
+    name = F.concat((k % 100).cast("string"), F.lit("/"), k.cast("string"), F.lit(".json"))
+    sinks.write_files(spread(table(spark, sf, "supplier"), "s_suppkey").select(name.alias("path"), value.alias("content")), path)
+    found = manifests.metadata_file_problems(spark, f"{path}/*")
+    return found.select(F.regexp_extract("file", "([0-9]+)[.]json$", 1).cast("bigint").alias("id"), "message")
 
 
 @query(

@@ -234,3 +234,14 @@ def test_a_brand_is_one_manifest(spark):
     sf = "/root/testdata/sf0.01"
     most = spark.read.parquet(f"{sf}/part.parquet").groupBy("p_brand").count().agg(F.max("count")).first()[0]
     assert asset_manifest_scan(spark, sf).agg(F.max("line_no")).first()[0] == most - 1
+
+
+def test_descriptions_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    """One file per supplier, but no folder per supplier: listing folders one by one took most of the time."""
+    from foliolake.catalog import pages
+
+    spark.range(1, 501).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(pages, "scratch", lambda spark: str(tmp_path / "files"))
+    found = {r.id: r.message for r in pages.metadata_file_problems(spark, str(tmp_path)).collect()}
+    assert set(found) == {k for k in range(1, 501) if k % 5}
+    assert len(list((tmp_path / "files").glob("*/*.json"))) == 500 and len(list((tmp_path / "files").iterdir())) == 100
