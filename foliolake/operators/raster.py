@@ -10,11 +10,15 @@ Keys are ``(page_id, y)`` or finer, so one huge page is spread over the cluster
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE = "page_id"
 
@@ -76,13 +80,36 @@ def row_runs(values: Column, is_ink: Callable[[Column], Column]) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("x0"), (b + 1).alias("x1")))
 
 
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the lists of booleans in ``_ink``, with the other columns of their rows."""
+    for batch in batches:
+        lists = batch.column("_ink")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        ink = pc.fill_null(lists.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)
+        # Every line is led by paper, so no run goes on from one line to the next.
+        line = np.arange(len(sizes))
+        spaced = np.zeros(len(ink) + len(sizes) + 1, bool)
+        spaced[np.arange(len(ink)) + np.repeat(line, sizes) + 1] = ink
+        turns = np.flatnonzero(spaced[1:] != spaced[:-1]) + 1
+        starts, stops = turns[::2], turns[1::2]
+        head = ends - sizes + line + 1  # where a line's first pixel is
+        row = np.searchsorted(head, starts, side="right") - 1
+        kept = [batch.column(c).take(pa.array(row)) for c in batch.schema.names if c != "_ink"]
+        yield pa.record_batch(
+            [*kept, pa.array((starts - head[row]).astype(np.int32)), pa.array((stops - head[row]).astype(np.int32))],
+            names=[*[c for c in batch.schema.names if c != "_ink"], "x0", "x1"],
+        )
+
+
 def ink_runs(
     scan: DataFrame, is_ink: Callable[[Column], Column], values: str = "values", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Run relation of a scanline relation."""
-    return scan.select(PAGE, "y", *keep, F.explode(row_runs(F.col(values), is_ink)).alias("r")).select(
-        PAGE, "y", *keep, F.col("r.x0").alias("x0"), F.col("r.x1").alias("x1")
-    )
+    """Run relation of a scanline relation: a condition per pixel, and runs of it found in the scanning task."""
+    lines = scan.select(PAGE, "y", *keep, F.transform(values, is_ink).alias("_ink"))
+    kept = [f for f in lines.schema.fields if f.name != "_ink"]
+    ends = [T.StructField(c, T.IntegerType()) for c in ("x0", "x1")]
+    return lines.mapInArrow(_runs_of, T.StructType([*kept, *ends]))
 
 
 def runs_from_pixels(ink: DataFrame) -> DataFrame:
