@@ -6,8 +6,8 @@ or more; a component is all documents that links reach.
 
 Method. Equal sets are one node. Buckets of nodes come from two searches. The first is that of ``simhash_dedup``: nodes
 have SimHash fingerprints, vantage-point shards find all that differ in two bits or fewer, and a component of
-fingerprints is a bucket. Pairs near 0.8 differ in some eight of 64 bits, a radius at which vantage points part
-nothing, so the second search takes what is farther apart: each node has 100 MinHash values in 25 bands of four, and
+fingerprints is a bucket. By calculation pairs near 0.8 differ in some eight of 64 bits, a radius at which vantage points
+part hardly anything, so the second search takes what is farther apart: each node has 100 MinHash values in 25 bands of four, and
 nodes that agree in a band share a bucket. A pair of similarity 0.8 shares none with a chance of 2 in a million, which
 is the only loss. ``table_links`` links the members of a bucket on their whole sets: first with its smallest node, then,
 where several roots are left, through lossless prefix filters, so members that only share a common core never meet.

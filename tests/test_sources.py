@@ -237,7 +237,7 @@ def test_a_brand_is_one_manifest(spark):
 
 
 def test_descriptions_lie_in_few_folders(spark, tmp_path, monkeypatch):
-    """One file per supplier, but no folder per supplier: listing folders one by one took most of the time."""
+    """One file per supplier, but no folder per supplier."""
     from foliolake.catalog import pages
 
     spark.range(1, 501).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
