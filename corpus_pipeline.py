@@ -20,8 +20,8 @@ cloudpickle.register_pickle_by_value(foliolake)
 
 
 #: Bytes of text that the last stage works on at once. Executors have run four stages before it, so it takes less than op1.
-SLICE = 3 << 16
-LATTICE = 1 << 19
+SLICE = 1 << 16
+LATTICE = 1 << 17
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

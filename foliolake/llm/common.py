@@ -17,6 +17,9 @@ from foliolake.session import checkpointed
 #: A side of a join is broadcast up to this many rows of a few numbers each (a few megabytes).
 BROADCAST_ROWS = 100_000
 
+#: Rows of a few numbers each that a written part holds at least, where there are more parts than cores.
+PART_ROWS = 50_000
+
 #: White space of the word rule: space and the six controls from tab to carriage return.
 SPACE = r"[ \t-\r]"
 
@@ -80,10 +83,15 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back; its shuffle files are freed."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read back; its shuffle files are freed.
+
+    With ``rows``, an upper bound of its counted rows, it is written in no more parts than these need, one per core at least.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
     with freed_shuffles(spark):
         df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

@@ -233,26 +233,28 @@ def links(distinct: DataFrame) -> DataFrame:
 def rooted(edges: DataFrame) -> DataFrame:
     """(fp, root) with one root per fingerprint of a component: iterated minima with pointer jumping.
 
-    Every round is written to the shared folder and read back, so plans and lineage stay short.
+    Every round is written to the shared folder and read back, so plans and lineage stay short. No round has more rows
+    than ``edges``; they are counted, and written in as many parts as they need.
     """
     edges = written(edges, "links")
+    n = edges.count()
     while True:
         # A fingerprint keeps its least root; its other roots are linked to that one.
         least = edges.groupBy("fp").agg(F.min("root").alias("least"))
-        relinked = edges.join(written(least, "least"), "fp")
+        relinked = edges.join(written(least, "least", n), "fp")
         joined = written(
             relinked.select(
                 F.when(F.col("root") == F.col("least"), F.col("fp")).otherwise(F.col("root")).alias("fp"),
                 F.col("least").alias("root"),
                 (F.col("root") > F.col("least")).alias("moved"),
             ).groupBy("fp", "root").agg(F.max("moved").alias("moved")).filter("fp <> root"),
-            "joined",
+            "joined", n,
         )
-        parents = written(joined.groupBy(F.col("fp").alias("root")).agg(F.min("root").alias("parent")), "parents")
+        parents = written(joined.groupBy(F.col("fp").alias("root")).agg(F.min("root").alias("parent")), "parents", n)
         jumped = joined.join(parents, "root", "left").select(
             "fp", F.coalesce("parent", "root").alias("root"), (F.col("moved") | F.col("parent").isNotNull()).alias("moved")
         )
-        jumped = written(jumped.groupBy("fp", "root").agg(F.max("moved").alias("moved")), "jumped")
+        jumped = written(jumped.groupBy("fp", "root").agg(F.max("moved").alias("moved")), "jumped", n)
         edges = jumped.select("fp", "root")
         if not jumped.filter("moved").limit(1).count():
             return edges
