@@ -21,15 +21,18 @@ def rounded(df, names=SCORE_NAMES):
 
 
 def otsu_counts(scan, keys=("page_id",)):
-    """Otsu-cleaned page against its own thresholded target."""
-    levelled = raster.attach_page_values(scan, kernels.otsu_pages(scan))
-    pixels = levelled.select(*keys, "threshold", F.explode("values").alias("v"))
+    """Otsu-cleaned page against its own thresholded target.
+
+    Both are functions of a pixel's level, so the page's histogram, taken once, tells threshold and counts.
+    """
+    levels = kernels.levels_with_threshold(scan)
     p, t = F.col("v") <= F.col("threshold"), target_ink(F.col("v"))
-    return pixels.groupBy(*keys).agg(
-        F.count_if(p & t).alias("true_positive"),
-        F.count_if(p & ~t).alias("false_positive"),
-        F.count_if(~p & t).alias("false_negative"),
-        F.count_if(~p & ~t).alias("true_negative"),
+    pixels = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0)))
+    return levels.groupBy(*keys).agg(
+        pixels(p & t).alias("true_positive"),
+        pixels(p & ~t).alias("false_positive"),
+        pixels(~p & t).alias("false_negative"),
+        pixels(~p & ~t).alias("true_negative"),
     )
 
 
