@@ -175,16 +175,14 @@ def quality_summaries(spark, sf):
     f"{r6_sql('sum(c * s) * 1.0 / nullif(sum(c), 0)')} AS cleaned_ink_from_source_fraction FROM p GROUP BY page_id",
 )
 def source_ink_retention(spark, sf):
-    """Ink fractions of document pages, with the inverse Otsu mask of the scan as source ink."""
+    """Ink fractions of document pages, with the inverse Otsu mask of the scan as source ink; both go by level."""
     from foliolake.functions.score import ratio_or_null
-    from foliolake.operators.kernels import otsu_pages
-    from foliolake.operators.raster import attach_page_values
-
-    scan = text(spark, sf)
-    px = attach_page_values(scan, otsu_pages(scan)).select("page_id", "threshold", F.explode("values").alias("v"))
-    s, c = (F.col("v") <= F.col("threshold")).cast("int"), (F.col("v") < 60).cast("int")
-    return px.groupBy("page_id").agg(
-        r6(F.avg(c)).alias("cleaned_ink_fraction"),
-        r6(ratio_or_null(F.sum(c * s), F.sum(s))).alias("source_ink_retention"),
-        r6(ratio_or_null(F.sum(c * s), F.sum(c))).alias("cleaned_ink_from_source_fraction"),
+    from foliolake.operators.kernels import levels_with_threshold
+
+    levels = levels_with_threshold(text(spark, sf))
+    s, c, n = (F.col("v") <= F.col("threshold")).cast("int"), (F.col("v") < 60).cast("int"), F.col("n")
+    return levels.groupBy("page_id").agg(
+        r6(F.sum(c * n).cast("double") / F.sum(n)).alias("cleaned_ink_fraction"),
+        r6(ratio_or_null(F.sum(c * s * n), F.sum(s * n))).alias("source_ink_retention"),
+        r6(ratio_or_null(F.sum(c * s * n), F.sum(c * n))).alias("cleaned_ink_from_source_fraction"),
     )
