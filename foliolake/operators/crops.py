@@ -12,6 +12,7 @@ from foliolake.functions.rand import unit_uniform
 from foliolake.operators import stencil
 from foliolake.operators.raster import PAGE
 from foliolake.operators.skew import dealt
+from foliolake.session import checkpointed
 
 ATTEMPTS = 20
 
@@ -96,9 +97,10 @@ def crop_plan(
     """
     tag = (seed, F.col("epoch").cast("string"), F.col("index").cast("string"))
     filled = members.groupBy(PAGE).agg(F.max(F.array_max(member)).alias("_foreground"))
-    drawn = draws.join(filled, PAGE).withColumn(
+    # One row per draw is kept, so that attempts, pieces and the look for heavy pages do not read the lines again.
+    drawn = checkpointed(draws.join(filled, PAGE).withColumn(
         "aware", (unit_uniform(*tag, "aware") < foreground_fraction) & (F.col("_foreground") > 0)
-    )
+    ))
     last = F.when(F.col("aware"), F.lit(ATTEMPTS)).otherwise(F.lit(1))
     attempts = drawn.withColumn("attempt", F.explode(F.sequence(F.lit(0), last)))
     step = F.col("attempt").cast("string")
