@@ -239,9 +239,8 @@ def crop_plan(spark, sf):
     "SELECT page_id, y, CAST(sum(n * (x + 1)) AS BIGINT) AS weighted, CAST(max(n) AS BIGINT) AS total FROM b GROUP BY page_id, y",
 )
 def integral_image(spark, sf):
-    rows = crops.integral_rows(members(spark, sf))
-    px = rows.select("page_id", "y", F.posexplode("integral").alias("x", "n"))
-    return px.groupBy("page_id", "y").agg(F.sum(F.col("n") * (F.col("x") + 1)).alias("weighted"), F.max("n").alias("total"))
+    lines = raster.line_moments(crops.integral_rows(members(spark, sf)), "integral", ("page_id", "y"))
+    return lines.groupBy("page_id", "y").agg(F.sum(F.col("moment") + F.col("mass")).alias("weighted"), F.max("most").alias("total"))
 
 
 @query(
@@ -252,7 +251,7 @@ def integral_image(spark, sf):
 )
 def extracted_crops(spark, sf):
     cut = crops.extract_crops(plan(spark, sf), text(spark, sf), SIZE, 255)
-    px = cut.select("epoch", "index", "page_id", "cy", F.posexplode("cells").alias("cx", "v"))
-    return px.groupBy("epoch", "index", "page_id").agg(
-        F.sum("v").alias("mass"), F.sum(F.col("v") * (F.col("cy") * SIZE + F.col("cx"))).alias("weighted"), F.count(F.lit(1)).alias("cells")
+    lines = raster.line_moments(cut, "cells", ("epoch", "index", "page_id", "cy"))
+    return lines.groupBy("epoch", "index", "page_id").agg(
+        F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("cy") * SIZE + F.col("moment")).alias("weighted"), F.sum("n").alias("cells")
     )

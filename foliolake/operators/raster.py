@@ -44,6 +44,35 @@ def to_scanlines(pixels: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return pixels.groupBy(PAGE, "y", *keep).agg(F.transform(cells, lambda c: c["v"]).alias("values"))
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``n, mass, moment, most`` of the lists in ``_values``, with the other columns of their rows."""
+    for batch in batches:
+        lists = batch.column("_values")
+        kept = pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in batch.schema.names if c != "_values"], names=[c for c in batch.schema.names if c != "_values"]
+        )
+        full = pc.fill_null(pc.greater(pc.list_value_length(lists), 0), False)
+        lists, kept = lists.filter(full), kept.filter(full)
+        if not len(lists):
+            continue
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        x = np.arange(len(values)) - np.repeat(first, sizes)
+        sums = [sizes, np.add.reduceat(values, first), np.add.reduceat(values * x, first), np.maximum.reduceat(values, first)]
+        yield pa.record_batch([*kept.columns, *map(pa.array, sums)], names=[*kept.schema.names, "n", "mass", "moment", "most"])
+
+
+def line_moments(lines: DataFrame, values: str, keep: Sequence[str]) -> DataFrame:
+    """Per line of whole numbers without nulls: count, sum, sum of value times place, and maximum, in the task that has the line.
+
+    Empty lines give no row, as they have no pixels.
+    """
+    rows = lines.select(*keep, F.col(values).alias("_values"))
+    sums = [T.StructField(c, T.LongType()) for c in ("n", "mass", "moment", "most")]
+    return rows.mapInArrow(_moments, T.StructType([*[rows.schema[c] for c in keep], *sums]))
+
+
 def page_shape(scan: DataFrame, values: str = "values", keys: Sequence[str] = (PAGE,)) -> DataFrame:
     """One row per page: height and width."""
     return scan.groupBy(*keys).agg(
