@@ -18,7 +18,7 @@ from foliolake.constants import (
 )
 from foliolake.functions.paths import is_confined, is_http_url
 from foliolake.operators.raster import attach_page_values
-from foliolake.session import shared
+from foliolake.session import checkpointed, shared
 
 Rule = tuple[str, Column, Column]
 LINE = ("file", "line_no")
@@ -217,10 +217,11 @@ def repeated_ids(rows: DataFrame, keys: Sequence[str], order: str = "line_no") -
 
 def cross_record_problems(lines: DataFrame) -> DataFrame:
     """Duplicate ids, changing dataset ids and sources that span splits, judged in line order."""
-    records = complete_records(lines).where(F.size("missing") == 0).select(
+    # Five short columns are kept, so that six readers do not parse every line again.
+    records = checkpointed(complete_records(lines).where(F.size("missing") == 0).select(
         *LINE, text("sample_id").alias("sample_id"), text("dataset_id").alias("dataset_id"),
         text("source_id").alias("source_id"), text("split").alias("split"),
-    )
+    ))
     as_row = lambda df, name, message: df.select(*LINE, F.lit(name).alias("rule"), message.alias("message"))
     ids = records.where(F.length("sample_id") > 0)
     repeated = repeated_ids(ids, ("file", "sample_id"))
@@ -324,7 +325,7 @@ def metadata_problems(lines: DataFrame, metadata: DataFrame) -> DataFrame:
 def manifest_problems(lines: DataFrame) -> DataFrame:
     """Structural problems, and the record problems of files that have none."""
     lines = shared(lines)
-    structural = structural_problems(lines)
+    structural = checkpointed(structural_problems(lines))
     broken = structural.select("file").distinct()
     sound = record_problems(lines).unionByName(cross_record_problems(lines)).join(broken, "file", "left_anti")
     return structural.unionByName(sound)
