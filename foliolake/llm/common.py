@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
 import numpy as np
@@ -83,17 +83,18 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back; its shuffle files are freed.
 
     With ``rows``, an upper bound of its counted rows, it is written in no more parts than these need, one per core at least.
+    ``options`` are the writer's.
     """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
     with freed_shuffles(spark):
-        df.write.parquet(folder)
+        df.write.options(**(options or {})).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,11 @@ def to_planes(values: np.ndarray, width: int) -> bytes:
     return parts.T[::-1].tobytes()
 
 
-def from_planes(data: bytes, width: int) -> np.ndarray:
+def from_planes(data: bytes | pa.Buffer, width: int) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(width, -1)[::-1].T
     whole = np.zeros((planes.shape[0], 8), np.uint8)
     whole[:, :width] = planes
-    return whole.view("<u8").reshape(-1).astype(np.uint64)
+    return whole.view("<u8").reshape(-1).astype(np.uint64, copy=False)
 
 
 def bucket_ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:

@@ -17,7 +17,7 @@ _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 @dataclass
