@@ -28,6 +28,8 @@ from foliolake.operators.raster import PAGE, attach_page_values, byte_line
 from foliolake.session import checkpointed
 
 BAND_ROWS = 128
+#: Rows whose results a task holds at once, where a group has no more: what comes out of a row can be many times as large.
+PORTION_ROWS = 1024
 Planes = Mapping[str, np.ndarray]
 #: Among the planes: where the lines of a band lie, or None for a page without gaps.
 LINES = "_lines"
@@ -98,23 +100,50 @@ def _planes(table: pa.Table, names: Sequence[str]) -> dict:
     return {**{n: plane_of(table.column(n)) for n in names}, LINES: lines}
 
 
+def _changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Rows, but the first, whose keys are not those of the row before."""
+    changed = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        column = table.column(k)
+        after, before = column.slice(1), column.slice(0, len(column) - 1)
+        one_null = pc.xor(after.is_null(), before.is_null())  # two nulls are the same group
+        changed |= pc.fill_null(pc.not_equal(after, before), False).to_numpy() | one_null.to_numpy()
+    return np.flatnonzero(changed) + 1
+
+
 def group_tables(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[list[pa.Table]]:
-    """Complete groups of a partition sorted by ``keys``, a list per Arrow batch; holds one open group."""
-    held: list[pa.Table] = []
+    """Complete groups of a partition sorted by ``keys``, a list per Arrow batch; holds one open group.
+
+    Groups are slices of their batch; only one that goes on in the next batch is copied.
+    """
+    held: pa.Table | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         table = pa.Table.from_batches([batch])
-        if held:
-            table = pa.concat_tables([*held, table]).combine_chunks()
-        changed = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
-        for k in keys:
-            column = table.column(k)
-            after, before = column.slice(1), column.slice(0, len(column) - 1)
-            one_null = pc.xor(after.is_null(), before.is_null())  # two nulls are the same group
-            changed |= pc.fill_null(pc.not_equal(after, before), False).to_numpy() | one_null.to_numpy()
-        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), table.num_rows]
-        yield [table.slice(lo, hi - lo) for lo, hi in zip(cuts[:-2], cuts[1:-1])]
-        held = [table.slice(cuts[-2])] if len(cuts) > 1 else []
-    if held and held[0].num_rows:
+        cuts = [0, *_changes(table, keys).tolist(), table.num_rows]
+        groups = [table.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        if held is not None:
+            if len(_changes(pa.concat_tables([held.slice(held.num_rows - 1), table.slice(0, 1)]), keys)):
+                groups.insert(0, held)
+            else:
+                groups[0] = pa.concat_tables([held, groups[0]]).combine_chunks()
+        held = groups.pop()
+        yield groups
+    if held is not None:
+        yield [held]
+
+
+def portions(groups: Sequence[pa.Table], rows: int = PORTION_ROWS) -> Iterator[list[pa.Table]]:
+    """Runs of groups of up to ``rows`` rows in all, one group at least."""
+    held, n = [], 0
+    for group in groups:
+        if held and n + group.num_rows > rows:
+            yield held
+            held, n = [], 0
+        held.append(group)
+        n += group.num_rows
+    if held:
         yield held
 
 
@@ -125,14 +154,15 @@ def map_groups(
     """Run ``fn`` on lists of whole groups, each sorted by ``order``.
 
     Groups are clustered by hash and streamed many to an Arrow batch, so small groups cost no round
-    trip of their own. A group must be bounded by construction (a band, a tile), never a whole page.
+    trip of their own; results leave in portions, so a full batch does not have all of its results in memory. A group must be bounded by construction (a band, a tile), never a whole page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups in group_tables(batches, keys):
-            made = [t for t in fn(groups) if t is not None and t.num_rows] if groups else []
-            if made:
-                yield from pa.concat_tables(made).combine_chunks().to_batches()
+            for portion in portions(groups):
+                made = [t for t in fn(portion) if t is not None and t.num_rows]
+                if made:
+                    yield from pa.concat_tables(made).combine_chunks().to_batches()
 
     clustered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return clustered.mapInArrow(run, schema)
