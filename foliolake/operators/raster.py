@@ -28,6 +28,16 @@ def byte_line(values: Column) -> Column:
     return F.transform(values, lambda v: (v - 128).cast("tinyint"))
 
 
+def byte_lines(values: Column) -> tuple[Column, Column]:
+    """``byte_line`` for levels of any size: the line of bytes, and the levels themselves where some are not in 0..255.
+
+    Such a line's bytes are the nearest levels, so that all lines stay equally long; other lines have null beside them.
+    """
+    fits = F.coalesce((F.array_min(values) >= 0) & (F.array_max(values) <= 255), F.lit(True))
+    nearest = F.transform(values, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), v)))
+    return F.when(fits, byte_line(values)).otherwise(byte_line(nearest)), F.when(~fits, values)
+
+
 def levels_of(line: Column) -> Column:
     """Levels of a byte line."""
     return F.transform(line, lambda v: v.cast("int") + 128)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliolake.constants import CLASSES
 from foliolake.functions import pixel
-from foliolake.operators.raster import PAGE, attach_page_values, byte_line, page_shape
+from foliolake.operators.raster import PAGE, attach_page_values, byte_lines, page_shape
 from foliolake.operators.stencil import band_rows, list_of, map_groups, plane_of
 
 CHANNELS = ("cleaning", *CLASSES)
@@ -229,14 +229,16 @@ def _score_bands(
 ) -> DataFrame:
     """Bands of lines with the whole tiles that reach into them, scored and blended in one task.
 
-    Only scanlines are shuffled, as bytes; logits, forty bytes and more a pixel, leave no task before they are blended.
+    Only scanlines are shuffled, as bytes (with their levels beside them, if those are no bytes); logits, forty bytes and
+    more a pixel, leave no task before they are blended.
     Tiles over a cut are scored on both sides, which are some six in a hundred at 512 rows and tiles of 32.
     """
     rows, axis = max(4 * tile, 512), blend_axis(tile)
     arrow = {"float": pa.float32(), "double": pa.float64()}[logits]
     at_once = max(1, cells_per_call // (tile * tile))
+    line, wide = byte_lines(F.col(values))
     shaped = attach_page_values(
-        scan.select(PAGE, "y", byte_line(F.col(values)).alias("line")), page_shape(scan, values).select(PAGE, "height")
+        scan.select(PAGE, "y", line.alias("line"), wide.alias("wide")), page_shape(scan, values).select(PAGE, "height")
     )
     bands = band_rows(shaped, tile - 1, rows)
 
@@ -245,7 +247,11 @@ def _score_bands(
         low, high = np.searchsorted(y, [band * rows, (band + 1) * rows])
         if low == high:
             return None
-        plane = plane_of(table.column("line")).astype(np.float64) / 255.0
+        plane = plane_of(table.column("line")).astype(np.float64)
+        wide = table.column("wide")
+        if wide.null_count < len(wide):
+            plane[wide.is_valid().to_numpy()] = plane_of(wide.drop_null())
+        plane /= 255.0
         begin, end = int(y[low]), int(y[high - 1]) + 1
         tops = [t for t in _starts(table.column("height")[0].as_py(), tile, overlap) if t < end and t + tile > begin]
         lefts = _starts(plane.shape[1], tile, overlap)

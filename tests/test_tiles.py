@@ -72,3 +72,10 @@ def test_logits_are_blended_where_they_are_scored(scan_of):
     assert logits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     got = np.array([r.staff for r in sorted(logits.collect(), key=lambda r: r.y)])
     assert np.allclose(got, 2 * page / 255.0)
+
+
+def test_levels_beyond_bytes_are_scored_as_they_are(spark, scan_of, plane_of):
+    page = np.arange(20 * 30).reshape(20, 30) % 256
+    page[3, 4], page[7, 0], page[7, 29] = -7, 300, -200
+    logits = tiles.score_pages(scan_of({1: page}), lambda v: np.stack([v] * 5, axis=1), 16, 4, logits="double")
+    assert np.allclose(plane_of(logits, "text")[1], page / 255.0)
