@@ -69,7 +69,8 @@ def covered_members(pieces: DataFrame, members: DataFrame, member: str = "member
     exist for one band at a time only. The rectangles of a page that is asked for very often are dealt over copies
     of its lines.
     """
-    span = F.sequence(F.floor(F.col("y") / rows).cast("int"), F.floor((F.col("bottom") - 1) / rows).cast("int"))
+    last = F.greatest(F.col("bottom") - 1, F.col("y"))  # an empty rectangle asks one band, not those before it
+    span = F.sequence(F.floor(F.col("y") / rows).cast("int"), F.floor(last / rows).cast("int"))
     lines = members.select(
         PAGE, F.lit(0).alias("kind"), "y", F.transform(member, lambda m: m.cast("tinyint")).alias("member"),
         F.floor(F.col("y") / rows).cast("int").alias("band"),
@@ -92,14 +93,14 @@ def crop_plan(
     """One crop per draw ``(epoch, index, page_id, height, width)``: ``top, left`` and how it was chosen.
 
     ``members`` has scanlines of 0 and 1. Attempt 0 is the fallback. A foreground-aware crop takes the first of 20
-    attempts with enough foreground; a uniform crop takes attempt 1; a page without foreground is uniform. An
-    attempt asks each band that it covers for one number.
+    attempts with enough foreground; a uniform crop takes attempt 1; a page without foreground, or without lines, is
+    uniform. An attempt asks each band that it covers for one number.
     """
     tag = (seed, F.col("epoch").cast("string"), F.col("index").cast("string"))
     filled = members.groupBy(PAGE).agg(F.max(F.array_max(member)).alias("_foreground"))
     # One row per draw is kept, so that attempts, pieces and the look for heavy pages do not read the lines again.
-    drawn = checkpointed(draws.join(filled, PAGE).withColumn(
-        "aware", (unit_uniform(*tag, "aware") < foreground_fraction) & (F.col("_foreground") > 0)
+    drawn = checkpointed(draws.join(filled, PAGE, "left").withColumn(
+        "aware", (unit_uniform(*tag, "aware") < foreground_fraction) & F.coalesce(F.col("_foreground") > 0, F.lit(False))
     ))
     last = F.when(F.col("aware"), F.lit(ATTEMPTS)).otherwise(F.lit(1))
     attempts = drawn.withColumn("attempt", F.explode(F.sequence(F.lit(0), last)))
@@ -113,7 +114,7 @@ def crop_plan(
     )
     occupancy = covered_members(pieces, members, member).withColumn("occupancy", F.col("n") / float(size * size)).drop("n")
     tried = attempts.join(occupancy, [PAGE, "epoch", "index", "attempt"], "left")
-    good = F.when(F.col("aware"), F.coalesce(F.col("occupancy") >= minimum_occupancy, F.lit(False)) & (F.col("attempt") > 0)).otherwise(F.col("attempt") == 1)
+    good = F.when(F.col("aware"), (F.coalesce(F.col("occupancy"), F.lit(0.0)) >= minimum_occupancy) & (F.col("attempt") > 0)).otherwise(F.col("attempt") == 1)
     place = F.struct("top", "left", "attempt")
     chosen = F.coalesce(
         F.min_by(F.when(good, place), F.when(good, F.col("attempt"))), F.min_by(place, F.col("attempt"))

@@ -132,3 +132,11 @@ def test_covered_members_over_bands_and_a_page_asked_for_often(spark, scan_of):
     assert {r["index"]: r.n for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "array<bigint>" not in plan and "integral" not in plan
+
+
+def test_crops_of_pages_without_lines_or_height(spark, scan_of):
+    members = scan_of({1: np.ones((1, 9))}).withColumnRenamed("values", "member")
+    schema = "epoch int, index int, page_id bigint, height int, width int"
+    draws = spark.createDataFrame([(0, 0, 1, 0, 9), (0, 1, 2, 0, 9), (0, 2, 3, None, 9)], schema)
+    rows = {r["index"]: r for r in crops.crop_plan(draws, members, 16, 1.0, 0.5, 3).collect()}
+    assert {i: (r.aware, r.top, r.left, r.attempt) for i, r in rows.items()} == {0: (True, 0, 0, 0), 1: (False, 0, 0, 1), 2: (False, 0, 0, 1)}
