@@ -119,24 +119,29 @@ def row_runs(values: Column, is_ink: Callable[[Column], Column]) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("x0"), (b + 1).alias("x1")))
 
 
+def _runs_in(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, start and end of the runs of lists of booleans."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    ink = pc.fill_null(lists.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)
+    # Every line is led by paper, so no run goes on from one line to the next.
+    line = np.arange(len(sizes))
+    spaced = np.zeros(len(ink) + len(sizes) + 1, bool)
+    spaced[np.arange(len(ink)) + np.repeat(line, sizes) + 1] = ink
+    turns = np.flatnonzero(spaced[1:] != spaced[:-1]) + 1
+    starts, stops = turns[::2], turns[1::2]
+    head = ends - sizes + line + 1  # where a line's first pixel is
+    row = np.searchsorted(head, starts, side="right") - 1
+    return row, starts - head[row], stops - head[row]
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the lists of booleans in ``_ink``, with the other columns of their rows."""
     for batch in batches:
-        lists = batch.column("_ink")
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(sizes)
-        ink = pc.fill_null(lists.flatten(), False).to_numpy(zero_copy_only=False).astype(bool)
-        # Every line is led by paper, so no run goes on from one line to the next.
-        line = np.arange(len(sizes))
-        spaced = np.zeros(len(ink) + len(sizes) + 1, bool)
-        spaced[np.arange(len(ink)) + np.repeat(line, sizes) + 1] = ink
-        turns = np.flatnonzero(spaced[1:] != spaced[:-1]) + 1
-        starts, stops = turns[::2], turns[1::2]
-        head = ends - sizes + line + 1  # where a line's first pixel is
-        row = np.searchsorted(head, starts, side="right") - 1
+        row, starts, stops = _runs_in(batch.column("_ink"))
         kept = [batch.column(c).take(pa.array(row)) for c in batch.schema.names if c != "_ink"]
         yield pa.record_batch(
-            [*kept, pa.array((starts - head[row]).astype(np.int32)), pa.array((stops - head[row]).astype(np.int32))],
+            [*kept, pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))],
             names=[*[c for c in batch.schema.names if c != "_ink"], "x0", "x1"],
         )
 
@@ -167,17 +172,20 @@ def run_overlap(left: DataFrame, right: DataFrame, by: Sequence[str] = (PAGE,))
 
     A sweep along each row: every run is one event where it begins and one where it ends. Between two events the
     numbers of open runs of both sides are constant, so their product times the distance is what overlaps. Rows
-    are linear in the runs, whatever their number in one row of a page; runs without a key have no partner.
+    are linear in the runs, whatever their number in one row of a page; runs without a key have no partner. Runs are
+    shuffled, once; their events are made where they are swept. ``line_overlap`` shuffles no runs at all.
     """
 
-    def events(runs: DataFrame, a: int, b: int) -> DataFrame:
-        ends = [F.struct(F.col(x).alias("x"), F.lit(s * a).alias("a"), F.lit(s * b).alias("b")) for x, s in (("x0", 1), ("x1", -1))]
+    def sound(runs: DataFrame, a: int, b: int) -> DataFrame:
         whole = [F.col(c).isNotNull() for c in (*by, "y", "x0", "x1")]
-        return runs.where(reduce(lambda p, q: p & q, whole) & (F.col("x0") < F.col("x1"))).select(*by, "y", F.inline(F.array(*ends)))
+        kept = runs.where(reduce(lambda p, q: p & q, whole) & (F.col("x0") < F.col("x1")))
+        return kept.select(*by, "y", "x0", "x1", F.lit(a).alias("a"), F.lit(b).alias("b"))
 
     row = Window.partitionBy(*by, "y").orderBy("x")
     upto = row.rowsBetween(Window.unboundedPreceding, 0)
-    swept = events(left, 1, 0).unionByName(events(right, 0, 1)).select(
+    ends = [F.struct(F.col(x).alias("x"), (F.col("a") * s).alias("a"), (F.col("b") * s).alias("b")) for x, s in (("x0", 1), ("x1", -1))]
+    both = sound(left, 1, 0).unionByName(sound(right, 0, 1)).repartition(*by, "y")
+    swept = both.select(*by, "y", F.inline(F.array(*ends))).select(
         *by, F.sum("a").over(upto).alias("a"), F.sum("b").over(upto).alias("b"), (F.lead("x").over(row) - F.col("x")).alias("n")
     )
     return swept.where("a > 0 AND b > 0 AND n > 0").groupBy(*by).agg(
@@ -185,6 +193,37 @@ def run_overlap(left: DataFrame, right: DataFrame, by: Sequence[str] = (PAGE,))
     )
 
 
+def _overlap_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intersection length of the runs in ``_left`` and ``_right`` of each line that has any, with its other columns."""
+    for batch in batches:
+        sides = [_runs_in(batch.column(c)) for c in ("_left", "_right")]
+        line = np.concatenate([r for row, _, _ in sides for r in (row, row)])
+        x = np.concatenate([ends for _, starts, stops in sides for ends in (starts, stops)])
+        a, b = (np.concatenate([np.full(len(row), s * (i == side)) for i, (row, _, _) in enumerate(sides) for s in (1, -1)]) for side in (0, 1))
+        order = np.lexsort((x, line))
+        line, x = line[order], x[order]
+        # All runs of a line end in it, so nothing is open from one line to the next.
+        n = (np.cumsum(a[order]) * np.cumsum(b[order]))[:-1] * np.diff(x)
+        total = np.zeros(batch.num_rows, np.int64)
+        np.add.at(total, line[:-1], n)
+        met = np.flatnonzero(total)
+        kept = [batch.column(c).take(pa.array(met)) for c in batch.schema.names if not c.startswith("_")]
+        yield pa.record_batch([*kept, pa.array(total[met])], names=[*[c for c in batch.schema.names if not c.startswith("_")], "n"])
+
+
+def line_overlap(
+    scan: DataFrame, left: Callable[[Column], Column], right: Callable[[Column], Column], values: str = "values", by: Sequence[str] = (PAGE,)
+) -> DataFrame:
+    """``run_overlap`` of the ink runs of two conditions on the same scanlines.
+
+    Both masks of a line are in one task, so its runs are found and swept there, from one reading of the lines, and
+    what is shuffled is a sum per group.
+    """
+    lines = scan.select(*by, F.transform(values, left).alias("_left"), F.transform(values, right).alias("_right"))
+    schema = T.StructType([*[lines.schema[c] for c in by], T.StructField("n", T.LongType())])
+    return lines.mapInArrow(_overlap_of, schema).groupBy(*by).agg(F.sum("n").alias("overlap"))
+
+
 def gray_from_image(images: DataFrame, page_id: str = PAGE) -> DataFrame:
     """Scanlines from Spark's image struct (BGR or BGRA or gray bytes), one row per image line."""
     from foliolake.functions import pixel

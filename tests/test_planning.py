@@ -143,3 +143,23 @@ def test_run_overlap_of_overlapping_and_odd_runs(spark):
                 want[p] = want.get(p, 0) + n
     left, right = (spark.createDataFrame(s, "page_id bigint, y int, x0 int, x1 int") for s in sides)
     assert {r.page_id: r.overlap for r in raster.run_overlap(left, right).collect()} == want
+
+
+def test_line_overlap_is_that_of_the_runs_and_shuffles_none(spark, scan_of):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from foliolake.operators import raster
+
+    draw = np.random.default_rng(2)
+    scan = scan_of({p: draw.integers(-9, 256, (5, w)) for p, w in ((1, 64), (2, 1), (3, 7), (4, 300))}).union(
+        spark.createDataFrame([(5, 0, []), (5, 1, None), (6, 0, [200, None, 5])], "page_id bigint, y int, values array<int>")
+    )
+    dark, odd = lambda v: v < 128, lambda v: v % 3 != 0
+    found = raster.line_overlap(scan, dark, odd)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    want = raster.run_overlap(raster.ink_runs(scan, dark), raster.ink_runs(scan, odd))
+    pixels = raster.to_pixels(scan).where(dark(F.col("v")) & odd(F.col("v"))).groupBy("page_id").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, pixels.collect()))
+    assert plan.count("Exchange") == 1 and "Window" not in plan and plan.count("MapInArrow") == 1
