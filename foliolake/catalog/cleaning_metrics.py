@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolake.catalog.rasters import (
-    DENSE, SCORES_SQL, SEED, TEXT, WEIGHTS, dense, otsu_sql, r6_sql, split_sql, text,
+    DENSE, SCORES_SQL, SEED, TEXT, WEIGHTS, dense, otsu_sql, r6_sql, split_sql, textpage,
 )
 from foliolake.catalog.registry import query
 from foliolake.functions.pixel import target_ink
@@ -77,9 +77,9 @@ def otsu_split_scores(spark, sf):
     f"tagged AS (SELECT *, {split_sql('CAST(page_id AS VARCHAR)')} AS split FROM counts), {MICRO_SQL} "
     f"SELECT *, {SCORES_SQL} FROM summed",
 )
-def otsu_split_scores_text(spark, sf):
+def otsu_split_scores_textpage(spark, sf):
     """The same over document pages, whose sizes differ by orders of magnitude."""
-    counts = otsu_counts(text(spark, sf)).withColumn(
+    counts = otsu_counts(textpage(spark, sf)).withColumn(
         "split", split_of(F.col("page_id").cast("string"), WEIGHTS, SEED)
     )
     return rounded(metrics.variant_summary(counts, by=()))

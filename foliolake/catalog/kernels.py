@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolake.catalog.cleaning_metrics import rounded
 from foliolake.catalog.rasters import (
-    DENSE, SCORES_SQL, SHAPE, dense, level_sql, otsu_sql, r6_sql, smooth_sql, text, TEXT,
+    DENSE, SCORES_SQL, SHAPE, dense, level_sql, otsu_sql, r6_sql, smooth_sql, textpage, TEXT,
 )
 from foliolake.catalog.registry import query
 from foliolake.functions.pixel import predicted_ink, target_ink
@@ -93,12 +93,12 @@ def illumination_normalized(spark, sf):
 
 @query("otsu_thresholds", sql=f"WITH {TEXT}, {otsu_sql('textpage')} SELECT page_id, threshold FROM otsu")
 def otsu_thresholds(spark, sf):
-    return kernels.otsu_pages(text(spark, sf))
+    return kernels.otsu_pages(textpage(spark, sf))
 
 
 @query("gray_histogram", sql=f"WITH {TEXT} SELECT page_id, v, count(*) AS n FROM textpage GROUP BY page_id, v")
 def gray_histogram(spark, sf):
-    return kernels.histogram(text(spark, sf))
+    return kernels.histogram(textpage(spark, sf))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliolake.catalog.cleaning_metrics import rounded
 from foliolake.catalog.masks import runs_sql
-from foliolake.catalog.rasters import DENSE, HEIGHT, TEXT, dense, otsu_sql, r6_sql, text
+from foliolake.catalog.rasters import DENSE, HEIGHT, TEXT, dense, otsu_sql, r6_sql, textpage
 from foliolake.catalog.registry import query, table
 from foliolake.constants import QUALITY_METRICS
 from foliolake.functions.score import r6
@@ -179,7 +179,7 @@ def source_ink_retention(spark, sf):
     from foliolake.functions.score import ratio_or_null
     from foliolake.operators.kernels import levels_with_threshold
 
-    levels = levels_with_threshold(text(spark, sf))
+    levels = levels_with_threshold(textpage(spark, sf))
     s, c, n = (F.col("v") <= F.col("threshold")).cast("int"), (F.col("v") < 60).cast("int"), F.col("n")
     return levels.groupBy("page_id").agg(
         r6(F.sum(c * n).cast("double") / F.sum(n)).alias("cleaned_ink_fraction"),

@@ -8,7 +8,7 @@ from foliolake.catalog.cleaning_metrics import rounded
 from foliolake.catalog.kernels import CLEAN_SQL, with_clean
 from foliolake.catalog.masks import layer_sql, layers
 from foliolake.catalog.planning import S, docs, key, vsql
-from foliolake.catalog.rasters import DENSE, SEED, TEXT, dense, r6_sql, text, u_sql
+from foliolake.catalog.rasters import DENSE, SEED, TEXT, dense, r6_sql, textpage, u_sql
 from foliolake.catalog.registry import query, table
 from foliolake.constants import CLASSES
 from foliolake.functions.score import r6
@@ -186,7 +186,7 @@ SIZE = 24
 def members(spark, sf):
     """Sparse foreground on document pages; every fourth page has none."""
     ink = F.transform("values", lambda v: F.when((v < 60) & (F.col("page_id") % 4 != 0), F.lit(1)).otherwise(F.lit(0)))
-    return text(spark, sf).withColumn("member", ink)
+    return textpage(spark, sf).withColumn("member", ink)
 
 
 def draws(spark, sf):
@@ -250,7 +250,7 @@ def integral_image(spark, sf):
     "FROM cells c LEFT JOIN textpage t ON t.page_id = c.page_id AND t.y = c.top + c.cy AND t.x = c.\"left\" + c.cx GROUP BY c.epoch, c.\"index\", c.page_id",
 )
 def extracted_crops(spark, sf):
-    cut = crops.extract_crops(plan(spark, sf), text(spark, sf), SIZE, 255)
+    cut = crops.extract_crops(plan(spark, sf), textpage(spark, sf), SIZE, 255)
     lines = raster.line_moments(cut, "cells", ("epoch", "index", "page_id", "cy"))
     return lines.groupBy("epoch", "index", "page_id").agg(
         F.sum("mass").alias("mass"), F.sum(F.col("mass") * F.col("cy") * SIZE + F.col("moment")).alias("weighted"), F.sum("n").alias("cells")
